@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import jaccard, substring
 
-QUERIES = {"op1_substring_dedup": substring.op1_substring_dedup}
-SQL = {"op1_substring_dedup": substring.SQL}
+QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+}
+SQL = {
+    "op1_substring_dedup": substring.SQL,
+    "op2_ngram_jaccard": jaccard.SQL,
+}
