@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,3 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def power_of_two(x: float) -> int:
     return 1 << max(0, int(x) - 1).bit_length()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet in the shared folder and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stored-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, substring
+from . import jaccard, langid, packing, quality, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op6_language_id": langid.op6_language_id,
+    "op7_quality_rules": quality.op7_quality_rules,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
     "op2_ngram_jaccard": jaccard.SQL,
+    "op7_quality_rules": quality.SQL,
 }
