@@ -81,6 +81,15 @@ def chunks(off: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the bytes of each range."""
+    n = len(data)
+    up, down = _power(n + 1, seed)
+    total = np.zeros(n + 1, U64)
+    np.cumsum(_table(seed)[data] * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start], seed)
+
+
 class Words:
     """Words of the texts in rows i..j: byte positions and the index of each text's first word."""
 
@@ -110,11 +119,7 @@ class Words:
         return np.repeat(self.first[1:], self.count)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        n = len(self.data)
-        up, down = _power(n + 1, seed)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(_table(seed)[self.data] * up[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start], seed)
+        return range_hashes(self.data, self.start, self.end, seed)
 
 
 def spans(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

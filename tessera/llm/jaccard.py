@@ -10,10 +10,12 @@ the segment of its n-grams that falls there; overlaps are counted inside each fr
 3. Document: in the order (frequency, hash) of all n-grams, two sets that reach the threshold share one of their first
    |x| - ceil(t|x|) + 1. The unique ones fill these places first; where they fill them all, the document has no partner
    and ends here. The others send their segments out again, places inside that prefix being marked.
-4. Fragment: partial overlaps of all pairs of the n-grams that are in the prefix of two documents, or rare. What is left
-   are frequent n-grams in at most one prefix (boilerplate inside long documents): to pair them would cost the square of
-   their frequency, so they are only looked up for pairs that the others found.
-5. The partial overlaps are summed per pair and compared with the threshold.
+4. Fragment: partial overlaps of all pairs that have an n-gram in both prefixes, and of all others where that costs little
+   more (rare n-grams, and those that are in a quarter of their documents' prefixes). What is left are frequent n-grams
+   outside the prefix (boilerplate inside long documents): to pair them would cost the square of their frequency, so they
+   are looked up only for pairs that the others found. Pairs of too different sizes are dropped.
+5. The partial overlaps are summed per pair, what was looked up is added where it can decide, and the sum is compared with
+   the threshold.
 
 No step has a cap; a lossless shorthand keeps groups of thousands of equal sets linear: the lowest id stands for the set,
 is paired with each equal document (jaccard 1) and alone has the pairs with other sets.
@@ -40,8 +42,9 @@ from .common import checkpointed, power_of_two, table, text_bytes
 GRAM = 5
 THRESHOLD = 0.5
 POSTINGS_A_FRAGMENT = 4_000_000
-RARE = 64
-PAIRS_AT_ONCE = 4_000_000
+RARE = 8
+PAIRS_AT_ONCE = 1_000_000
+GRAMS_AT_ONCE = 1_500_000
 BROADCAST_IDS = 2_000_000
 LOW = U64((1 << 40) - 1)
 BLOBS = pa.schema([("key", pa.int32()), ("blob", pa.binary())])
@@ -84,11 +87,16 @@ def _segments(n: int, fragments: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             off, data = strings(batch.column("text"), lower=True)
             rows, grams, docs, sizes, sigs = [], [], [], [], []
-            base = 0
+            base = held = 0
             for i, j in chunks(off):
                 row, g = gram_sets(Words(off, data, i, j, ALNUM), n, bits)
                 if not len(row):
                     continue
+                if held > GRAMS_AT_ONCE:
+                    yield sent(rows, grams, docs, sizes, sigs)
+                    rows, grams, docs, sizes, sigs = [], [], [], [], []
+                    base = held = 0
+                held += len(g)
                 at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 size = np.diff(np.append(at, len(row)))
                 sigs.append(mix(np.add.reduceat(mix(g, 5), at) + size.astype(U64), 6))
@@ -97,19 +105,21 @@ def _segments(n: int, fragments: int):
                 rows.append(np.repeat(np.arange(base, base + len(at)), size))
                 grams.append(g)
                 base += len(at)
-            if not base:
-                continue
-            row, g, doc, size, sig = (np.concatenate(x) for x in (rows, grams, docs, sizes, sigs))
-            own = dict(by_group((sig & U64(fragments - 1)).astype(np.int64), fragments))
-            none, out = np.zeros(0, np.int64), {"key": [], "blob": []}
-            segment = dict(by_group((g >> U64(40)).astype(np.int32), fragments))
-            for f in sorted(own.keys() | segment.keys()):
-                at, mine = segment.get(f, none), own.get(f, none)
-                there, index = np.unique(row[at], return_inverse=True)
-                small = np.uint16 if len(there) < 65536 else np.uint32
-                out["key"].append(f)
-                out["blob"].append(pack(*_split(g[at]), index.astype(small), sig[there], sig[mine], size[mine].astype(np.int32), doc[mine]))
-            yield pa.RecordBatch.from_pydict(out, BLOBS)
+            if base:
+                yield sent(rows, grams, docs, sizes, sigs)
+
+    def sent(rows, grams, docs, sizes, sigs) -> pa.RecordBatch:
+        row, g, doc, size, sig = (np.concatenate(x) for x in (rows, grams, docs, sizes, sigs))
+        own = dict(by_group((sig & U64(fragments - 1)).astype(np.int64), fragments))
+        none, out = np.zeros(0, np.int64), {"key": [], "blob": []}
+        segment = dict(by_group((g >> U64(40)).astype(np.int32), fragments))
+        for f in sorted(own.keys() | segment.keys()):
+            at, mine = segment.get(f, none), own.get(f, none)
+            there, index = np.unique(row[at], return_inverse=True)
+            small = np.uint16 if len(there) < 65536 else np.uint32
+            out["key"].append(f)
+            out["blob"].append(pack(*_split(g[at]), index.astype(small), sig[there], sig[mine], size[mine].astype(np.int32), doc[mine]))
+        return pa.RecordBatch.from_pydict(out, BLOBS)
 
     return run
 
@@ -231,55 +241,63 @@ def _count_dense(sizes: np.ndarray, starts: np.ndarray, who: np.ndarray, n: int)
     return np.concatenate(keys), np.concatenate(counts)
 
 
-def _overlaps(key, part):
-    g, mark, sig, stars, table_ = [], [], [], [], []
-    f = key[0].as_py()
-    for blob in part.column("blob"):
-        low, high, index, inside, there, doc, size, *star = unpack(blob.as_buffer())
-        g.append(_joined(low, high))
-        sig.append(there[index])
-        mark.append(inside)
-        table_.append((there, doc, size))
-        stars.append(star)
-    g, sig, mark = np.concatenate(g), np.concatenate(sig), np.concatenate(mark)
-    name, doc, size = (np.concatenate(x) for x in zip(*table_))
-    names, at = np.unique(name, return_index=True)
-    seat = np.argsort(doc[at], kind="stable")  # entities numbered in order of their document
-    doc, size = doc[at][seat], size[at][seat]
-    number = np.empty(len(seat), np.int64)
-    number[seat] = np.arange(len(seat))
-    who = number[np.searchsorted(names, sig)]
-    order = np.lexsort((who, g))
-    g, who, mark = g[order], who[order], mark[order]
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
-    many = np.diff(np.append(start, len(g)))
-    marked = np.add.reduceat(mark.astype(np.int64), start) if len(start) else many
-    paired = (many > 1) & ((marked > 1) | (many <= RARE)) & (marked > 0)
-    later = (many > 1) & ~paired & ((marked > 0) | (many > 1))
-    n = len(doc)
-    found = [_count(many[x], start[x], who, n) for x in [paired & (many <= 256)]]
-    if (paired & (many > 256)).any():
-        x = paired & (many > 256)
-        found.append(_count_dense(many[x], start[x], who, n))
-    pair, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-    total = np.bincount(at, np.concatenate([x[1] for x in found]), len(pair)).astype(np.int64)
-    a, b = pair // max(n, 1), pair % max(n, 1)
-    x = np.repeat(later, many)
-    sa, sb, sn = (np.concatenate(s) for s in zip(*stars))
-    lone = doc[who[x]]
-    gram = (g[x] | U64(f) << U64(40)).astype(np.int64)
-    void = np.zeros(len(lone), np.int64)
-    cat = lambda *v: pa.array(np.concatenate(v).astype(np.int64), pa.int64())
-    return pa.table(
-        {
-            "doc_a": cat(doc[a], sa, lone),
-            "doc_b": cat(doc[b], sb, void),
-            "size_a": cat(size[a], sn, size[who[x]]),
-            "size_b": cat(size[b], sn, void),
-            "n": cat(total, sn, void),
-            "gram": cat(np.zeros(len(a) + len(sa), np.int64), gram),
-        }
-    )
+def _overlaps(threshold: float):
+    """Partial overlaps of a fragment, and what is only to be looked up."""
+
+    def run(key, part):
+        g, mark, sig, stars, table_ = [], [], [], [], []
+        f = key[0].as_py()
+        for blob in part.column("blob"):
+            low, high, index, inside, there, doc, size, *star = unpack(blob.as_buffer())
+            g.append(_joined(low, high))
+            sig.append(there[index])
+            mark.append(inside)
+            table_.append((there, doc, size))
+            stars.append(star)
+        g, sig, mark = np.concatenate(g), np.concatenate(sig), np.concatenate(mark).astype(bool)
+        name, doc, size = (np.concatenate(x) for x in zip(*table_))
+        names, at = np.unique(name, return_index=True)
+        seat = np.argsort(doc[at], kind="stable")  # entities numbered in order of their document
+        doc, size = doc[at][seat], size[at][seat].astype(np.int64)
+        number = np.empty(len(seat), np.int64)
+        number[seat] = np.arange(len(seat))
+        who = number[np.searchsorted(names, sig)]
+        order = np.lexsort((who, g))
+        g, who, mark = g[order], who[order], mark[order]
+        _, start, many = np.unique(g, return_index=True, return_counts=True)
+        marked = np.add.reduceat(mark.astype(np.int64), start) if len(start) else many
+        full = (marked > 0) & ((many <= RARE) | (4 * marked >= many))
+        some = ~full & (marked > 1)
+        late = np.repeat(~full & (many > 1), many)
+        mark &= np.repeat(some, many)
+        use = np.repeat(full & (many > 1), many) | mark
+        _, start, many = np.unique(g[use], return_index=True, return_counts=True)
+        n, member, large = len(doc), who[use], many > 256
+        found = [_count(many[~large], start[~large], member, n)]
+        if large.any():
+            found.append(_count_dense(many[large], start[large], member, n))
+        pair, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([x[1] for x in found]), len(pair)).astype(np.int64)
+        a, b = pair // max(n, 1), pair % max(n, 1)
+        near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+        a, b, total = a[near], b[near], total[near]
+        sa, sb, sn = (np.concatenate(x) for x in zip(*stars))
+        lone, gram = who[late], (g[late] | U64(f) << U64(40)).astype(np.int64)
+        void, none = np.zeros(len(lone), np.int64), np.zeros(len(a) + len(sa), np.int64)
+        cat = lambda *v: pa.array(np.concatenate(v).astype(np.int64), pa.int64())
+        return pa.table(
+            {
+                "doc_a": cat(doc[a], sa, doc[lone]),
+                "doc_b": cat(doc[b], sb, void),
+                "size_a": cat(size[a], sn, size[lone]),
+                "size_b": cat(size[b], sn, void),
+                "n": cat(total, sn, void),
+                "gram": cat(none, gram),
+                "mark": cat(none, mark[late]),
+            }
+        )
+
+    return run
 
 
 def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -289,19 +307,28 @@ def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD)
     blobs = "key int, blob binary"
     parts = docs.mapInArrow(_segments(n, fragments), blobs).groupBy("key").applyInArrow(_repeated(fragments), blobs)
     parts = parts.groupBy("key").applyInArrow(_survivors(fragments, threshold), blobs)
-    counted = "doc_a long, doc_b long, size_a long, size_b long, n long, gram long"
-    counted = checkpointed(parts.groupBy("key").applyInArrow(_overlaps, counted))
+    counted = "doc_a long, doc_b long, size_a long, size_b long, n long, gram long, mark long"
+    counted = checkpointed(parts.groupBy("key").applyInArrow(_overlaps(threshold), counted))
     pairs = counted.where("n > 0 AND doc_a < doc_b").groupBy("doc_a", "doc_b", "size_a", "size_b").agg(F.sum("n").alias("overlap"))
-    late = counted.where("n = 0")
-    if not late.isEmpty():
-        held = late.groupBy(F.col("doc_a").alias("id"), F.col("size_a").alias("size")).agg(F.collect_list("gram").alias("grams"))
+    late = counted.where("n = 0").groupBy(F.col("doc_a").alias("id"), F.col("size_a").alias("size"))
+    late = late.agg(F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("mark") == 1, F.col("gram"))).alias("marked"))
+
+    def beside(pairs: DataFrame, of: dict[str, str]) -> DataFrame:
         for side in "ab":
-            names = (F.col("id").alias(f"doc_{side}"), F.col("size").alias(f"size_{side}"), F.col("grams").alias(f"late_{side}"))
-            pairs = pairs.join(held.select(*names), [f"doc_{side}", f"size_{side}"], "left")
-        shared = F.coalesce(F.size(F.array_intersect("late_a", "late_b")), F.lit(0))
-        pairs = pairs.withColumn("overlap", F.col("overlap") + F.when(F.col("late_a").isNull() | F.col("late_b").isNull(), 0).otherwise(shared))
-    jaccard = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    return pairs.select("doc_a", "doc_b", "overlap", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+            names = [F.expr(e).alias(f"{c}_{side}") for c, e in of.items()]
+            pairs = pairs.join(late.select(F.col("id").alias(f"doc_{side}"), F.col("size").alias(f"size_{side}"), *names), [f"doc_{side}", f"size_{side}"], "left")
+        return pairs
+
+    def jaccard(overlap) -> F.Column:
+        return overlap / (F.col("size_a") + F.col("size_b") - overlap)
+
+    # first how much the looked-up n-grams could add at most, then, where that decides, what they add
+    pairs = beside(pairs, {"late": "size(grams)"}).withColumn("most", F.least(F.coalesce("late_a", F.lit(0)), F.coalesce("late_b", F.lit(0))))
+    pairs = pairs.where(jaccard(F.col("overlap") + F.col("most")) >= threshold).select("doc_a", "doc_b", "size_a", "size_b", "overlap", "most")
+    open_ = beside(pairs.where("most > 0"), {"grams": "grams", "marked": "marked"})
+    more = F.size(F.array_intersect("grams_a", "grams_b")) - F.size(F.array_intersect("marked_a", "marked_b"))
+    both = pairs.where("most = 0").unionByName(open_.withColumn("overlap", F.col("overlap") + more).select(*pairs.columns))
+    return both.select("doc_a", "doc_b", "overlap", jaccard(F.col("overlap")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, packing, quality, substring
+from . import jaccard, langid, licenses, packing, pieces, quality, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_language_id": langid.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
 }
