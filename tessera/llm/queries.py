@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licenses, packing, pieces, quality, substring
+from . import jaccard, langid, licenses, neighbours, packing, pieces, quality, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_language_id": langid.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_approximate_neighbours": neighbours.op8_approximate_neighbours,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
