@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import ALNUM, U64, Words, by_group, chunks, mix, pack, spans, strings, unpack
+from .buffers import ALNUM, U64, Words, by_group, chunks, mix, pack, spans, strings, tidy, tidy_group, unpack
 from .common import checkpointed, power_of_two, table, text_bytes
 
 GRAM = 5
@@ -305,10 +305,10 @@ def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD)
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     fragments = power_of_two(max(8, text_bytes(docs) / 6 / POSTINGS_A_FRAGMENT))
     blobs = "key int, blob binary"
-    parts = docs.mapInArrow(_segments(n, fragments), blobs).groupBy("key").applyInArrow(_repeated(fragments), blobs)
-    parts = parts.groupBy("key").applyInArrow(_survivors(fragments, threshold), blobs)
+    parts = docs.mapInArrow(tidy(_segments(n, fragments)), blobs).groupBy("key").applyInArrow(tidy_group(_repeated(fragments)), blobs)
+    parts = parts.groupBy("key").applyInArrow(tidy_group(_survivors(fragments, threshold)), blobs)
     counted = "doc_a long, doc_b long, size_a long, size_b long, n long, gram long, mark long"
-    counted = checkpointed(parts.groupBy("key").applyInArrow(_overlaps(threshold), counted))
+    counted = checkpointed(parts.groupBy("key").applyInArrow(tidy_group(_overlaps(threshold)), counted))
     pairs = counted.where("n > 0 AND doc_a < doc_b").groupBy("doc_a", "doc_b", "size_a", "size_b").agg(F.sum("n").alias("overlap"))
     late = counted.where("n = 0").groupBy(F.col("doc_a").alias("id"), F.col("size_a").alias("size"))
     late = late.agg(F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("mark") == 1, F.col("gram"))).alias("marked"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import U64, chunks, mix, strings
+from .buffers import U64, chunks, mix, strings, tidy
 from .common import power_of_two, table
 
 PER_LANGUAGE = 300
@@ -131,7 +131,7 @@ def _labels(model):
 def languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """(doc_id, language, share, n_grams) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_labels(held), "doc_id long, language string, share double, n_grams int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_labels(held)), "doc_id long, language string, share double, n_grams int")
 
 
 def _known(model):
@@ -148,7 +148,7 @@ def identified(docs: DataFrame, model: LanguageFilter | None = None) -> DataFram
     model = model or fitted(docs)
     if not model.names:
         return docs
-    return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    return docs.mapInArrow(tidy(_known(docs.sparkSession.sparkContext.broadcast(model))), docs.schema)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

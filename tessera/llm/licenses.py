@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buffers import tidy
 from .common import table
 
 L = r"licen[cs]e"
@@ -250,7 +251,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def detections(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, license, rule, priority) of all settled detections."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, start int, end int, license string, rule string, priority int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_scan), "doc_id long, start int, end int, license string, rule string, priority int")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .buffers import tidy, tidy_group
 from .common import checkpointed, table
 
 K = 10
@@ -238,15 +239,15 @@ def neighbours(vectors: DataFrame, k: int = K, m: int = DIRECTIONS, confidence:
         sample = rows.select("vec").sample(min(1.0, SAMPLE_ROWS / total), seed=3)
         tree = splits(np.array([r["vec"] for r in sample.toLocalIterator()]) @ directions(dim, m), cells)
     bound = chi_square_bound(confidence, m)
-    placed = rows.mapInArrow(_placed(m, tree), "cell int, id long, vec array<double>")
+    placed = rows.mapInArrow(tidy(_placed(m, tree)), "cell int, id long, vec array<double>")
     kept = "id long, names array<long>, far array<double>"
-    first = checkpointed(placed.groupBy("cell").applyInArrow(_own_cell(m, k, bound), "cell int, id long, vec array<double>, names array<long>, far array<double>, box array<double>"))
+    first = checkpointed(placed.groupBy("cell").applyInArrow(tidy_group(_own_cell(m, k, bound)), "cell int, id long, vec array<double>, names array<long>, far array<double>, box array<double>"))
     lists = first.select("id", "names", "far")
     if cells > 1:
         boxes = [(r["cell"], r["box"]) for r in first.where("box IS NOT NULL").select("cell", "box").toLocalIterator()]
         edge = np.array([b for _, b in boxes]).reshape(len(boxes), 2 * m)
         held = vectors.sparkSession.sparkContext.broadcast((np.array([c for c, _ in boxes]), edge[:, :m], edge[:, m:]))
-        asked = first.select("cell", "id", "vec", "far").mapInArrow(_sent(m, bound, held), "cell int, id long, vec array<double>, start double")
+        asked = first.select("cell", "id", "vec", "far").mapInArrow(tidy(_sent(m, bound, held)), "cell int, id long, vec array<double>, start double")
         there = first.select("cell", "id", "vec")
         lists = lists.unionByName(there.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(_other_cell(m, k, bound), kept))
     flat = lists.select("id", F.explode(F.arrays_zip("names", "far")).alias("x")).select("id", F.col("x.names").alias("neighbour"), F.col("x.far").alias("far")).where("neighbour >= 0")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import Words, chunks, strings
+from .buffers import Words, chunks, strings, tidy, tidy_group
 from .common import table
 
 CAPACITY = 2048
@@ -118,9 +118,9 @@ def _packed(capacity: int):
 def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Pieces of documents with their bin: (shard, bin, slot, doc_id, start_word, n_words)."""
     shards = max(1, round(docs.count() / shard_rows))
-    sized = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_lengths, "doc_id long, n long").where("n > 0")
+    sized = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_lengths), "doc_id long, n long").where("n > 0")
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    return sized.withColumn("shard", shard).groupBy("shard").applyInArrow(_packed(capacity), PIECES)
+    return sized.withColumn("shard", shard).groupBy("shard").applyInArrow(tidy_group(_packed(capacity)), PIECES)
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from .buffers import chunks, range_hashes, strings
+from .buffers import chunks, range_hashes, strings, tidy
 from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -271,7 +271,7 @@ def encoded(docs: DataFrame, path: str = MODEL, threads: int | None = None, chec
     if threads is None:
         threads = int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
     schema = "doc_id long, n_tokens int, ids array<int>" + ", restored boolean" * check
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoded(path, threads, check), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_encoded(path, threads, check)), schema)
 
 
 def _decoded(path: str):
@@ -287,7 +287,7 @@ def _decoded(path: str):
 
 def decoded(ids: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, text) of every row of (doc_id, ids)."""
-    return ids.select("doc_id", "ids").mapInArrow(_decoded(path), "doc_id long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(tidy(_decoded(path)), "doc_id long, text string")
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

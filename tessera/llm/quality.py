@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import Words, chunks, strings
+from .buffers import Words, chunks, strings, tidy
 from .common import table
 
 SAMPLE_ROWS = 2000
@@ -118,7 +118,7 @@ def cascade(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """The rules in the order of rejection per cost on a sample of about `sample_rows` rows."""
     rows = docs.count()
     sample = docs.select("text").sample(min(1.0, sample_rows / max(rows, 1)), seed=7)
-    seen = sample.mapInArrow(_probe, "rule string, seconds double, bytes long, n long, rejected long")
+    seen = sample.mapInArrow(tidy(_probe), "rule string, seconds double, bytes long, n long, rejected long")
     found = {r["rule"]: r for r in seen.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("seconds", "bytes", "n", "rejected"))).collect()}
 
     def worth(rule: str) -> float:
@@ -157,7 +157,7 @@ def _verdicts(order: list[str]):
 
 def verdicts(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """(doc_id, keep) of every row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_verdicts(order or cascade(docs)), "doc_id long, keep boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_verdicts(order or cascade(docs))), "doc_id long, keep boolean")
 
 
 def _passing(order: list[str]):
@@ -170,7 +170,7 @@ def _passing(order: list[str]):
 
 def passing(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The rows that no rule rejects, unchanged."""
-    return docs.mapInArrow(_passing(order or cascade(docs)), docs.schema)
+    return docs.mapInArrow(tidy(_passing(order or cascade(docs))), docs.schema)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

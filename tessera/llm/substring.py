@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import U64, Words, by_group, chunks, mix, pack, sliding, spans, strings, unpack_all
+from .buffers import U64, Words, by_group, chunks, mix, pack, sliding, spans, strings, tidy, tidy_group, unpack_all
 from .common import power_of_two, table, text_bytes
 
 WINDOW = 50
@@ -189,15 +189,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_C
     size, anchor = text_bytes(docs), window // 2
     cells = min(max(power_of_two(size / 20), 1 << 16), max_cells)
     groups = max(8, size // 6 // WINDOWS_A_GROUP)
-    sketch = docs.select("text").mapInArrow(_sketch(window, anchor, cells), "row int, block int, once binary, more binary")
-    merged = sketch.groupBy("row", "block").applyInArrow(_merge(min(BLOCK, cells)), "row int, block int, bits binary")
+    sketch = docs.select("text").mapInArrow(tidy(_sketch(window, anchor, cells)), "row int, block int, once binary, more binary")
+    merged = sketch.groupBy("row", "block").applyInArrow(tidy_group(_merge(min(BLOCK, cells))), "row int, block int, bits binary")
     maps = [bytearray(cells // 8) for _ in range(2)]
     for x in merged.toLocalIterator():
         at = x["block"] * min(BLOCK, cells) // 8
         maps[x["row"]][at : at + len(x["bits"])] = x["bits"]
     held = docs.sparkSession.sparkContext.broadcast([bytes(x) for x in maps])
-    found = docs.mapInArrow(_candidates(window, anchor, groups, cells, held), "group int, blob binary")
-    runs = found.groupBy("group").applyInArrow(_exact, "doc_id long, start int, n int, removed boolean")
+    found = docs.mapInArrow(tidy(_candidates(window, anchor, groups, cells, held)), "group int, blob binary")
+    runs = found.groupBy("group").applyInArrow(tidy_group(_exact), "doc_id long, start int, n int, removed boolean")
     runs = runs.select("doc_id", "removed", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + window).alias("hi"))
     order = Window.partitionBy("doc_id", "removed").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     cuts = cuts.withColumnRenamed("doc_id", "__doc")
     joined = docs.join(cuts, docs["doc_id"] == cuts["__doc"], "left").drop("__doc")
     whole = joined.where("__cuts IS NULL").drop("__cuts")
-    out = joined.where("__cuts IS NOT NULL").mapInArrow(_cut, joined.drop("__cuts").schema).where(F.col("text").rlike("[^\\x00-\\x20]"))
+    out = joined.where("__cuts IS NOT NULL").mapInArrow(tidy(_cut), joined.drop("__cuts").schema).where(F.col("text").rlike("[^\\x00-\\x20]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return whole.unionByName(out)
