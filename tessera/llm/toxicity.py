@@ -6,9 +6,9 @@ Method (random walks from seeds over a word graph):
    clean ones without such a tendency (negative seeds).
 2. Over all documents: how many have each word, and how many have it with a positive seed in the same document. Nodes of
    the graph are the seeds and all words of at least `share` of the documents (five at least) that occur LIFT times as often
-   with seeds as without knowledge of them, significantly so, and that labelled clean documents don't have more often than
-   toxic ones. The share bounds the number of nodes whatever the size of the corpus.
-3. Over all documents: in how many each two nodes occur together. Edges are the positive pointwise mutual information.
+   with seeds as without knowledge of them, significantly so, unless the labelled documents speak against them. The share bounds the number of nodes whatever the size of the corpus.
+3. Over all documents: in how many each two nodes occur together. Edges are the positive pointwise mutual information,
+   shifted by log(LIFT): what two words of one language share by that alone is no tie.
 4. Two random walks with restart, from the positive and from the negative seeds, give each node two probabilities; the
    logarithm of their ratio, where positive, is its polarity weight.
 5. A document's score is the sum of the weights of its distinct words; the least score called toxic is the one with the best
@@ -186,7 +186,7 @@ def induced(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
     bearing = counts.where(F.col("word") == ANY).agg(F.sum("near")).first()[0] or 0
     rate = bearing / max(total, 1)
     drawn = (F.col("near") >= LIFT * rate * F.col("n")) & (F.col("near") - rate * F.col("n") >= LEAST_Z * F.sqrt(rate * (1 - rate) * F.col("n")))
-    drawn = counts.where(drawn & (F.col("word") != ANY)).join(seen.where("z <= 0").select("word"), "word", "left_anti")
+    drawn = counts.where(drawn & (F.col("word") != ANY)).join(seen.where(F.col("z") < LEAST_Z / 3).select("word"), "word", "left_anti")
     nodes = np.unique(np.concatenate([positive, negative, unsigned(drawn.select("word").toLocalIterator())]))
     pairs = text.mapInArrow(tidy(_together(nodes)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     v = len(nodes)
@@ -195,7 +195,7 @@ def induced(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
     a, b = pair // v, pair % v
     alone = np.ones(v)
     alone[a[a == b]] = n[a == b]
-    info = np.log(n * total / (alone[a] * alone[b]))
+    info = np.log(n * total / (alone[a] * alone[b]) / LIFT)
     use = (a != b) & (info > 0)
     edges = np.concatenate([np.stack([a[use], b[use]], 1), np.stack([b[use], a[use]], 1)])
     weight = np.concatenate([info[use], info[use]])
