@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licenses, neighbours, packing, pieces, quality, substring, toxicity
+from . import html, jaccard, langid, licenses, neighbours, packing, pieces, quality, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_approximate_neighbours": neighbours.op8_approximate_neighbours,
+    "op9_html_extraction": html.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
