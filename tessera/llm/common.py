@@ -34,6 +34,14 @@ def power_of_two(x: float) -> int:
     return 1 << max(0, int(x) - 1).bit_length()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read again."""
     spark = df.sparkSession

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import U64, Words, by_group, chunks, mix, pack, sliding, spans, strings, tidy, tidy_group, unpack_all
-from .common import power_of_two, table, text_bytes
+from .common import free_name, power_of_two, table, text_bytes
 
 WINDOW = 50
 MAX_CELLS = 1 << 29
@@ -110,8 +110,8 @@ def _grouped(wa, wb, doc, pos):
     order = np.lexsort((pos, doc, wb, wa))
     wa, wb, doc, pos = wa[order], wb[order], doc[order], pos[order]
     same = (wa[1:] == wa[:-1]) & (wb[1:] == wb[:-1])
-    fresh = np.concatenate([[True], ~(same & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1]))])
-    first = np.concatenate([[True], ~same])[fresh]
+    fresh = np.concatenate([[True], ~(same & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1]))])[: len(order)]
+    first = np.concatenate([[True], ~same])[: len(order)][fresh]
     return order[fresh], first
 
 
@@ -211,22 +211,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_C
     )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, cuts = batch.column("text").to_pylist(), batch.column("__cuts").to_pylist()
-        for r, spots in enumerate(cuts):
-            if spots and texts[r] is not None:
-                raw = texts[r].encode()
-                off = np.array([0, len(raw)])
-                words = Words(off, np.frombuffer(raw, np.uint8), 0, 1)
-                begin = np.append(words.start, len(raw))
-                keep, last = [], 0
-                for s in sorted(spots, key=lambda x: x["start_word"]):
-                    keep.append(raw[last : begin[s["start_word"]]])
-                    last = begin[min(s["end_word"], len(begin) - 1)]
-                texts[r] = b"".join([*keep, raw[last:]]).decode()
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).drop_columns(["__cuts"])
+def _cut(column: str):
+    """Arrow function: cuts the ranges of words in `column` out of the text, and drops that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, cuts = batch.column("text").to_pylist(), batch.column(column).to_pylist()
+            for r, spots in enumerate(cuts):
+                if spots and texts[r] is not None:
+                    raw = texts[r].encode()
+                    off = np.array([0, len(raw)])
+                    words = Words(off, np.frombuffer(raw, np.uint8), 0, 1)
+                    begin = np.append(words.start, len(raw))
+                    keep, last = [], 0
+                    for s in sorted(spots, key=lambda x: x["start_word"]):
+                        keep.append(raw[last : begin[s["start_word"]]])
+                        last = begin[min(s["end_word"], len(begin) - 1)]
+                    texts[r] = b"".join([*keep, raw[last:]]).decode()
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).drop_columns([column])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -235,10 +240,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A document of which no word is left goes. Null ids and texts stay as they are.
     """
     cuts = repeated_spans(docs, window).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cuts"))
-    cuts = cuts.withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(cuts, docs["doc_id"] == cuts["__doc"], "left").drop("__doc")
-    whole = joined.where("__cuts IS NULL").drop("__cuts")
-    out = joined.where("__cuts IS NOT NULL").mapInArrow(tidy(_cut), joined.drop("__cuts").schema).where(F.col("text").rlike("[^\\x00-\\x20]"))
+    doc, spots = free_name(docs, "doc"), free_name(docs, "cuts")
+    cuts = cuts.select(F.col("doc_id").alias(doc), F.col("__cuts").alias(spots))
+    joined = docs.join(cuts, docs["doc_id"].cast("long") == cuts[doc], "left").drop(doc)
+    whole = joined.where(F.col(spots).isNull()).drop(spots)
+    out = joined.where(F.col(spots).isNotNull()).mapInArrow(tidy(_cut(spots)), docs.schema).where(F.col("text").rlike("[^\\x00-\\x20]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return whole.unionByName(out)
