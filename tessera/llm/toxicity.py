@@ -1,16 +1,17 @@
 """Toxic documents by an induced lexicon.
 
 Method (random walks from seeds over a word graph):
-1. Seed terms come from labelled documents, at most `labelled_rows` of them (those of the least hash of the id): words that
-   the toxic ones have significantly more often (positive seeds, the most significant first), and frequent words of the
-   clean ones without such a tendency (negative seeds).
+1. Seed terms come from labelled documents, at most `labelled_rows` of them (those of the least hash of the id), near copies
+   of which count once (those that share one of two least hashes of their word pairs): words that the toxic ones have
+   significantly more often (positive seeds, the most significant first), and frequent words of the clean ones without
+   such a tendency (negative seeds).
 2. Over all documents: how many have each word, and how many have it with a positive seed in the same document. Nodes of
    the graph are the seeds and all words of at least `share` of the documents (five at least) that occur LIFT times as often
    with seeds as without knowledge of them, significantly so, unless the labelled documents speak against them. The share bounds the number of nodes whatever the size of the corpus.
 3. Over all documents: in how many each two nodes occur together. Edges are the positive pointwise mutual information,
-   shifted by log(LIFT): what two words of one language share by that alone is no tie.
-4. Two random walks with restart, from the positive and from the negative seeds, give each node two probabilities; the
-   logarithm of their ratio, where positive, is its polarity weight.
+   shifted by log(LIFT): what two words of one language share by that alone is no tie. Seeds of opposite kind have no edge.
+4. Two random walks with restart, from the positive and from the negative seeds, give each node two probabilities; a walk
+   that comes to a seed of the other kind starts anew. The logarithm of the ratio, where positive, is the polarity weight.
 5. A document's score is the sum of the weights of its distinct words; the least score called toxic is the one with the best
    F1 on the labelled documents of step 1.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import ALNUM, U64, Words, chunks, strings, tidy
+from .buffers import ALNUM, U64, Words, chunks, mix, spans, strings, tidy
 from .common import checkpointed, table
 
 LABELLED_ROWS = 20_000
@@ -71,6 +72,27 @@ def _by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch("word toxic clean", _counted(word, t, 1 - t))
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two least hashes of each document's pairs of successive words; of documents without a pair, of their only word."""
+    for batch in batches:
+        ids, label = batch.column("doc_id").to_numpy(), batch.column("toxic").to_numpy()
+        off, data = strings(batch.column("text"), lower=True)
+        for i, j in chunks(off):
+            words = Words(off, data, i, j, ALNUM)
+            h, row = words.hashes(), words.row()
+            last = np.ones(len(h), bool)
+            last[:-1] = row[1:] != row[:-1]
+            alone = last & (words.count[row] == 1)
+            pair = np.concatenate([spans(h, 2), np.zeros(min(len(h), 1), U64)])
+            pair[alone] = h[alone]
+            use = ~last | alone
+            pair, row = pair[use], row[use]
+            at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
+            if len(at):
+                low = [np.minimum.reduceat(mix(pair, seed), at) for seed in (41, 42)]
+                yield _batch("doc_id toxic a b", [ids[i + row[at]], label[i + row[at]], *low])
+
+
 def _within(names: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each word in the sorted names, and whether it is there."""
     at = np.minimum(np.searchsorted(names, word), len(names) - 1)
@@ -164,11 +186,15 @@ def induced(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     some = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("long")).dropna().where("toxic IN (0, 1)")
     some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    known = checkpointed(docs.join(F.broadcast(some), "doc_id").select("text", "toxic"))
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    known = checkpointed(docs.join(F.broadcast(some), "doc_id"))
+    one = known.mapInArrow(tidy(_sketched), "doc_id long, toxic long, a long, b long")
+    for side in "ab":
+        one = one.groupBy("toxic", side).agg(F.min(F.struct("doc_id", "b")).alias("m")).select("toxic", "m.*")
+    unique = checkpointed(known.join(F.broadcast(one.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "toxic"))
+    sizes = {r["toxic"]: r["count"] for r in unique.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    seen = known.select("text", "toxic").mapInArrow(tidy(_by_label), "word long, toxic long, clean long")
+    seen = unique.mapInArrow(tidy(_by_label), "word long, toxic long, clean long")
     seen = seen.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     both, (clean_n, toxic_n) = F.col("toxic") + F.col("clean"), (sizes[0], sizes[1])
     pooled = both / (clean_n + toxic_n)
@@ -186,7 +212,7 @@ def induced(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
     bearing = counts.where(F.col("word") == ANY).agg(F.sum("near")).first()[0] or 0
     rate = bearing / max(total, 1)
     drawn = (F.col("near") >= LIFT * rate * F.col("n")) & (F.col("near") - rate * F.col("n") >= LEAST_Z * F.sqrt(rate * (1 - rate) * F.col("n")))
-    drawn = counts.where(drawn & (F.col("word") != ANY)).join(seen.where(F.col("z") < LEAST_Z / 3).select("word"), "word", "left_anti")
+    drawn = counts.where(drawn & (F.col("word") != ANY)).join(seen.where(F.col("z") < LEAST_Z / 2).select("word"), "word", "left_anti")
     nodes = np.unique(np.concatenate([positive, negative, unsigned(drawn.select("word").toLocalIterator())]))
     pairs = text.mapInArrow(tidy(_together(nodes)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     v = len(nodes)
@@ -196,11 +222,12 @@ def induced(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
     alone = np.ones(v)
     alone[a[a == b]] = n[a == b]
     info = np.log(n * total / (alone[a] * alone[b]) / LIFT)
-    use = (a != b) & (info > 0)
+    kind = np.isin(nodes, positive).astype(int) - np.isin(nodes, negative)
+    use = (a != b) & (info > 0) & (kind[a] * kind[b] >= 0)
     edges = np.concatenate([np.stack([a[use], b[use]], 1), np.stack([b[use], a[use]], 1)])
     weight = np.concatenate([info[use], info[use]])
-    plus = walk(edges, weight, v, np.searchsorted(nodes, positive))
-    minus = walk(edges, weight, v, np.searchsorted(nodes, negative))
+    goes = [kind[edges[:, 0]] >= 0, kind[edges[:, 0]] <= 0]
+    plus, minus = (walk(edges[g], weight[g], v, np.searchsorted(nodes, seeds)) for g, seeds in zip(goes, (positive, negative)))
     tiny = 1e-3 / v
     polarity = np.log((plus + tiny) / (minus + tiny))
     good = polarity > 0
