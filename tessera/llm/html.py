@@ -2,7 +2,7 @@
 
 Method: a page is read as the sequence of its leaves: runs of text between the borders of block elements (inline elements
 do not cut a run; comments, scripts and styles are no text). A leaf's input is the vector of its tag path (each open
-element's name, and name with each of its classes and id, hashed into PATH buckets) beside the vector of its words (hashed
+element's name, and name with each of its classes and id, the DEPTH innermost ones, hashed into PATH buckets) beside the vector of its words (hashed
 into WORDS buckets, divided by the root of their number). A bidirectional LSTM in numpy reads the whole sequence in both
 directions, so every leaf is classified in the context of the whole document. Pages of one batch run together, ordered by
 length, and no page is cut, however many leaves it has.
@@ -44,6 +44,7 @@ PATH, WORDS, HIDDEN = 64, 64, 24
 EPOCHS = 14
 PAGES_AT_ONCE = 512
 LIMIT = 0.5
+DEPTH = 32  #: so many of the innermost open elements are a leaf's tag path
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -94,7 +95,7 @@ def leaves(html: str) -> tuple[str | None, list[tuple[tuple[str, ...], str]]]:
             if held:
                 held.append(piece)
             elif not piece.isspace():
-                path = tuple(x for _, t in stack for x in t)
+                path = tuple(x for _, t in stack[-DEPTH:] for x in t)
                 held.append(piece)
         at = m.end()
         if m[1]:
@@ -134,7 +135,7 @@ def leaves(html: str) -> tuple[str | None, list[tuple[tuple[str, ...], str]]]:
             stack.append((name, _tokens(name, attributes)))
     if at < len(html):
         if not held:
-            path = tuple(x for _, t in stack for x in t)
+            path = tuple(x for _, t in stack[-DEPTH:] for x in t)
         held.append(html[at:])
     cut()
     return title, out
