@@ -6,7 +6,7 @@ the segment of its n-grams that falls there; overlaps are counted inside each fr
 1. Map: a document's n-grams as a sorted set of hashes; packed segments go to the fragment of their hash range. A
    document travels as the signature of its set, so documents with one and the same set are a single entity from here on.
 2. Fragment: the exact document frequency of each n-gram. Those of one entity only cannot add to any overlap and end here
-   (on most corpora the bulk); the rest go back to their document with their frequency.
+   (on most corpora the bulk); the rest go back to their document with their frequency (255 at most: it only orders).
 3. Document: in the order (frequency, hash) of all n-grams, two sets that reach the threshold share one of their first
    |x| - ceil(t|x|) + 1. The unique ones fill these places first; where they fill them all, the document has no partner
    and ends here. The others send their segments out again, places inside that prefix being marked.
@@ -23,7 +23,7 @@ is paired with each equal document (jaccard 1) and alone has the pairs with othe
 Defined results: words are runs of letters, digits and non-ASCII characters of the lower-cased text; a text of fewer than
 `n` words has one n-gram of all its words; null ids, null texts and texts without words give no rows; rows that repeat id
 and text count once; an empty table gives an empty result; other columns are ignored. n-grams are compared by hashes of 40
-bits within a fragment of about 4 million, sets by signatures of 64 bits.
+bits within a fragment of about 16 million, sets by signatures of 64 bits.
 """
 
 from __future__ import annotations
@@ -37,11 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import ALNUM, U64, Words, by_group, chunks, mix, pack, spans, strings, tidy, tidy_group, unpack
-from .common import checkpointed, power_of_two, table, text_bytes
+from .common import checkpointed, power_of_two, stored, table, text_bytes
 
 GRAM = 5
 THRESHOLD = 0.5
-POSTINGS_A_FRAGMENT = 4_000_000
+POSTINGS_A_FRAGMENT = 16_000_000
+PASSES = 8  #: a fragment's postings are grouped in so many ranges of hashes, one after the other
 RARE = 8
 PAIRS_AT_ONCE = 1_000_000
 GRAMS_AT_ONCE = 1_500_000
@@ -58,6 +59,13 @@ def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(U64) | high.astype(U64) << U64(32)
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an array in order, and how often each occurs: shorter to send than a value for each n-gram."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+    many = np.diff(np.append(at, len(x)))
+    return x[at], many.astype(np.uint8 if not len(many) or many.max() < 256 else np.uint32)
+
+
 def gram_sets(words: Words, n: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Row and n-gram hash, distinct, in order of both."""
     h, row = words.hashes(), words.row()
@@ -115,10 +123,9 @@ def _segments(n: int, fragments: int):
         segment = dict(by_group((g >> U64(40)).astype(np.int32), fragments))
         for f in sorted(own.keys() | segment.keys()):
             at, mine = segment.get(f, none), own.get(f, none)
-            there, index = np.unique(row[at], return_inverse=True)
-            small = np.uint16 if len(there) < 65536 else np.uint32
+            there, many = _runs(row[at])
             out["key"].append(f)
-            out["blob"].append(pack(*_split(g[at]), index.astype(small), sig[there], sig[mine], size[mine].astype(np.int32), doc[mine]))
+            out["blob"].append(pack(*_split(g[at]), many, sig[there], sig[mine], size[mine].astype(np.int32), doc[mine]))
         return pa.RecordBatch.from_pydict(out, BLOBS)
 
     return run
@@ -126,50 +133,59 @@ def _segments(n: int, fragments: int):
 
 def _repeated(fragments: int):
     """n-grams of more than one entity go to their entity; so does what identifies it."""
+    homes = fragments * PASSES
 
     def run(key, part):
         f = key[0].as_py()
-        g, sig, own = [], [], []
-        for blob in part.column("blob"):
-            low, high, index, there, *mine = unpack(blob.as_buffer())
-            g.append(_joined(low, high))
-            sig.append(there[index])
-            own.append(mine)
-        own = [np.concatenate(x) for x in zip(*own)]
-        g, sig = np.concatenate(g), np.concatenate(sig)
-        names, index = np.unique(sig, return_inverse=True)
-        del sig
-        pair = np.sort(g << U64(24) | index.astype(U64))
-        del g, index
-        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]]
-        g = pair >> U64(24)
-        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
-        df = np.diff(np.append(at, len(g)))
-        df = np.repeat(df, df)
-        g, name, df = g[df > 1], (pair[df > 1] & U64((1 << 24) - 1)).astype(np.int64), np.minimum(df[df > 1], 65535).astype(np.uint16)
-        home = (names >> U64(20) & U64(fragments - 1)).astype(np.int32)
-        posted = dict(by_group(home[name], fragments))
-        named = dict(by_group((own[0] >> U64(20) & U64(fragments - 1)).astype(np.int32), fragments))
+        found = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint8))]
+        for k in range(PASSES):
+            g, sig = [], []
+            for blob in part.column("blob"):
+                low, high, many, there, *_ = unpack(blob.as_buffer())
+                use = high % PASSES == k
+                g.append(_joined(low[use], high[use]))
+                sig.append(np.repeat(there, many)[use])
+            g, sig = np.concatenate(g), np.concatenate(sig)
+            names, index = np.unique(sig, return_inverse=True)
+            del sig
+            pair = np.sort(g << U64(24) | index.astype(U64))
+            del g, index
+            pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]]
+            g = pair >> U64(24)
+            at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
+            df = np.diff(np.append(at, len(g)))
+            df = np.repeat(df, df)
+            more = df > 1
+            found.append((g[more], names[(pair[more] & U64((1 << 24) - 1)).astype(np.int64)], np.minimum(df[more], 255).astype(np.uint8)))
+        own = [np.concatenate(x) for x in zip(*(unpack(blob.as_buffer())[4:] for blob in part.column("blob")))]
+        g, name, df = (np.concatenate(x) for x in zip(*found))
         none, keys, blobs = np.zeros(0, np.int64), [], []
+        posted = dict(by_group(_home(name, homes), homes))
+        named = dict(by_group(_home(own[0], homes), homes))
         for b in sorted(posted.keys() | named.keys()):
             at, mine = posted.get(b, none), named.get(b, none)
-            there, index = np.unique(name[at], return_inverse=True)
+            at = at[np.argsort(name[at], kind="stable")]
+            there, many = _runs(name[at])
             keys.append(b)
-            blobs.append(pack(np.array([f], np.int32), *_split(g[at]), index.astype(np.uint32), names[there], df[at], *(x[mine] for x in own)))
+            blobs.append(pack(np.array([f], np.int32), *_split(g[at]), many, there, df[at], *(x[mine] for x in own)))
         return pa.table({"key": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
 
+def _home(sig: np.ndarray, homes: int) -> np.ndarray:
+    return (sig >> U64(20) & U64(homes - 1)).astype(np.int32)
+
+
 def _survivors(fragments: int, threshold: float):
     """Entities that can have a partner send their segments out, with the places inside their prefix marked."""
 
     def run(key, part):
         g, sig, df, own = [], [], [], []
         for blob in part.column("blob"):
-            f, low, high, index, there, freq, *mine = unpack(blob.as_buffer())
+            f, low, high, many, there, freq, *mine = unpack(blob.as_buffer())
             g.append(_joined(low, high) | U64(int(f[0])) << U64(40))
-            sig.append(there[index])
+            sig.append(np.repeat(there, many))
             df.append(freq)
             own.append(mine)
         name, size, doc = (np.concatenate(x) for x in zip(*own))
@@ -196,9 +212,9 @@ def _survivors(fragments: int, threshold: float):
         starred = dict(by_group((mix(stars[1].astype(U64), 3) & U64(fragments - 1)).astype(np.int32), fragments))
         for f in sorted(segment.keys() | starred.keys()):
             at, s = segment.get(f, none), starred.get(f, none)
-            there, index = np.unique(who[at], return_inverse=True)
+            there, many = _runs(who[at])
             keys.append(f)
-            blobs.append(pack(*_split(g[at]), index.astype(np.uint32), inside[at], names[there], doc[there], size[there].astype(np.int32), *(x[s] for x in stars)))
+            blobs.append(pack(*_split(g[at]), many, np.packbits(inside[at]), names[there], doc[there], size[there].astype(np.int32), *(x[s] for x in stars)))
         return pa.table({"key": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
@@ -241,48 +257,64 @@ def _count_dense(sizes: np.ndarray, starts: np.ndarray, who: np.ndarray, n: int)
     return np.concatenate(keys), np.concatenate(counts)
 
 
-def _overlaps(threshold: float):
-    """Partial overlaps of a fragment, and what is only to be looked up."""
+def _shared(g: np.ndarray, who: np.ndarray, mark: np.ndarray, n: int):
+    """Pairs of entities and counts of what they share, as _count gives them; (entity, number of n-gram, mark) to be looked up."""
+    order = np.lexsort((who, g))
+    g, who, mark = g[order], who[order], mark[order]
+    _, start, many = np.unique(g, return_index=True, return_counts=True)
+    marked = np.add.reduceat(mark.astype(np.int64), start) if len(start) else many
+    full = (marked > 0) & ((many <= RARE) | (4 * marked >= many))
+    some = ~full & (marked > 1)
+    late = np.repeat(~full & (many > 1), many)
+    late = who[late], np.unique(g[late], return_inverse=True)[1], mark[late]
+    mark = mark & np.repeat(some, many)
+    use = np.repeat(full & (many > 1), many) | mark
+    _, start, many = np.unique(g[use], return_index=True, return_counts=True)
+    member, large = who[use], many > 256
+    found = [_count(many[~large], start[~large], member, n)]
+    if large.any():
+        found.append(_count_dense(many[large], start[large], member, n))
+    return found, late
+
+
+def _overlaps(fragments: int, threshold: float):
+    """Partial overlaps of a fragment, and the n-grams that are only to be looked up: twice their number, odd inside the prefix."""
 
     def run(key, part):
-        g, mark, sig, stars, table_ = [], [], [], [], []
+        g, sig, mark, stars, table_ = [], [], [], [], []
         f = key[0].as_py()
         for blob in part.column("blob"):
-            low, high, index, inside, there, doc, size, *star = unpack(blob.as_buffer())
+            low, high, many, inside, there, doc, size, *star = unpack(blob.as_buffer())
             g.append(_joined(low, high))
-            sig.append(there[index])
-            mark.append(inside)
+            sig.append(np.repeat(np.arange(len(there), dtype=np.uint32), many))
+            mark.append(np.unpackbits(inside, count=len(low)))
             table_.append((there, doc, size))
             stars.append(star)
-        g, sig, mark = np.concatenate(g), np.concatenate(sig), np.concatenate(mark).astype(bool)
         name, doc, size = (np.concatenate(x) for x in zip(*table_))
         names, at = np.unique(name, return_index=True)
         seat = np.argsort(doc[at], kind="stable")  # entities numbered in order of their document
         doc, size = doc[at][seat], size[at][seat].astype(np.int64)
-        number = np.empty(len(seat), np.int64)
+        number = np.empty(len(seat), np.int32)
         number[seat] = np.arange(len(seat))
-        who = number[np.searchsorted(names, sig)]
-        order = np.lexsort((who, g))
-        g, who, mark = g[order], who[order], mark[order]
-        _, start, many = np.unique(g, return_index=True, return_counts=True)
-        marked = np.add.reduceat(mark.astype(np.int64), start) if len(start) else many
-        full = (marked > 0) & ((many <= RARE) | (4 * marked >= many))
-        some = ~full & (marked > 1)
-        late = np.repeat(~full & (many > 1), many)
-        mark &= np.repeat(some, many)
-        use = np.repeat(full & (many > 1), many) | mark
-        _, start, many = np.unique(g[use], return_index=True, return_counts=True)
-        n, member, large = len(doc), who[use], many > 256
-        found = [_count(many[~large], start[~large], member, n)]
-        if large.any():
-            found.append(_count_dense(many[large], start[large], member, n))
+        n = len(doc)
+        whose = [number[np.searchsorted(names, there)][s] for (there, *_), s in zip(table_, sig)]
+        g, who, mark = np.concatenate(g), np.concatenate(whose), np.concatenate(mark).astype(bool)
+        del sig, whose
+        found, later, last = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [], 0
+        for k in range(PASSES):
+            use = np.flatnonzero(g >> U64(32) & U64(PASSES - 1) == k)
+            pairs, late = _shared(g[use], who[use].astype(np.int64), mark[use], n)
+            found += pairs
+            later.append((late[0], late[1] + last, late[2]))
+            last += int(late[1].max()) + 1 if len(late[1]) else 0
         pair, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
         total = np.bincount(at, np.concatenate([x[1] for x in found]), len(pair)).astype(np.int64)
         a, b = pair // max(n, 1), pair % max(n, 1)
         near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
         a, b, total = a[near], b[near], total[near]
         sa, sb, sn = (np.concatenate(x) for x in zip(*stars))
-        lone, gram = who[late], (g[late] | U64(f) << U64(40)).astype(np.int64)
+        lone, seat, inside = (np.concatenate(x) for x in zip(*later))
+        gram = (seat * fragments + f) * 2 + inside  # numbered within the fragment: short to send
         void, none = np.zeros(len(lone), np.int64), np.zeros(len(a) + len(sa), np.int64)
         cat = lambda *v: pa.array(np.concatenate(v).astype(np.int64), pa.int64())
         return pa.table(
@@ -293,7 +325,6 @@ def _overlaps(threshold: float):
                 "size_b": cat(size[b], sn, void),
                 "n": cat(total, sn, void),
                 "gram": cat(none, gram),
-                "mark": cat(none, mark[late]),
             }
         )
 
@@ -307,26 +338,28 @@ def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD)
     blobs = "key int, blob binary"
     parts = docs.mapInArrow(tidy(_segments(n, fragments)), blobs).groupBy("key").applyInArrow(tidy_group(_repeated(fragments)), blobs)
     parts = parts.groupBy("key").applyInArrow(tidy_group(_survivors(fragments, threshold)), blobs)
-    counted = "doc_a long, doc_b long, size_a long, size_b long, n long, gram long, mark long"
-    counted = checkpointed(parts.groupBy("key").applyInArrow(tidy_group(_overlaps(threshold)), counted))
+    counted = "doc_a long, doc_b long, size_a long, size_b long, n long, gram long"
+    counted = stored(parts.groupBy("key").applyInArrow(tidy_group(_overlaps(fragments, threshold)), counted), "overlaps")
     pairs = counted.where("n > 0 AND doc_a < doc_b").groupBy("doc_a", "doc_b", "size_a", "size_b").agg(F.sum("n").alias("overlap"))
-    late = counted.where("n = 0").groupBy(F.col("doc_a").alias("id"), F.col("size_a").alias("size"))
-    late = late.agg(F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("mark") == 1, F.col("gram"))).alias("marked"))
+    late = counted.where("n = 0").select(F.col("doc_a").alias("id"), F.col("size_a").alias("size"), "gram")
+    short = (late.agg(F.max("gram")).first()[0] or 0) < 2**31
+    late = late.withColumn("gram", F.col("gram").cast("int" if short else "long")).groupBy("id", "size")
 
-    def beside(pairs: DataFrame, of: dict[str, str]) -> DataFrame:
+    def beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
         for side in "ab":
-            names = [F.expr(e).alias(f"{c}_{side}") for c, e in of.items()]
-            pairs = pairs.join(late.select(F.col("id").alias(f"doc_{side}"), F.col("size").alias(f"size_{side}"), *names), [f"doc_{side}", f"size_{side}"], "left")
+            pairs = pairs.join(of.withColumnsRenamed({c: {"id": "doc"}.get(c, c) + f"_{side}" for c in of.columns}), [f"doc_{side}", f"size_{side}"], "left")
         return pairs
 
     def jaccard(overlap) -> F.Column:
         return overlap / (F.col("size_a") + F.col("size_b") - overlap)
 
     # first how much the looked-up n-grams could add at most, then, where that decides, what they add
-    pairs = beside(pairs, {"late": "size(grams)"}).withColumn("most", F.least(F.coalesce("late_a", F.lit(0)), F.coalesce("late_b", F.lit(0))))
+    pairs = beside(pairs, late.agg(F.count("*").alias("late"))).withColumn("most", F.least(F.coalesce("late_a", F.lit(0)), F.coalesce("late_b", F.lit(0))))
     pairs = pairs.where(jaccard(F.col("overlap") + F.col("most")) >= threshold).select("doc_a", "doc_b", "size_a", "size_b", "overlap", "most")
-    open_ = beside(pairs.where("most > 0"), {"grams": "grams", "marked": "marked"})
-    more = F.size(F.array_intersect("grams_a", "grams_b")) - F.size(F.array_intersect("marked_a", "marked_b"))
+    open_ = beside(pairs.where("most > 0"), late.agg(F.collect_list("gram").alias("grams")))
+    grams = lambda side: F.transform(f"grams_{side}", lambda x: F.shiftright(x, 1))
+    marked = lambda side: F.filter(f"grams_{side}", lambda x: x % 2 == 1)
+    more = F.size(F.array_intersect(grams("a"), grams("b"))) - F.size(F.array_intersect(marked("a"), marked("b")))
     both = pairs.where("most = 0").unionByName(open_.withColumn("overlap", F.col("overlap") + more).select(*pairs.columns))
     return both.select("doc_a", "doc_b", "overlap", jaccard(F.col("overlap")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
