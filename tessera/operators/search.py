@@ -108,7 +108,7 @@ def coherence_boost(hits: DataFrame, within: int | None = None, step: float = 0.
         counted = F.col("place") <= within
     n = F.sum(F.when(counted, 1).otherwise(0)).over(Window.partitionBy("query_id", "doc"))
     factor = F.when(counted, 1 + step * F.least(n - 1, F.lit(most))).otherwise(1.0)
-    return hits.withColumn("score", F.round(F.col("score") * factor, 6)).drop("place")
+    return hits.withColumn("score", F.round(F.col("score") * factor, 8)).drop("place")
 
 
 def sibling_expansion(seeds: DataFrame, chunks: DataFrame, reach: int = 2, share: float = 0.75) -> DataFrame:
@@ -119,7 +119,7 @@ def sibling_expansion(seeds: DataFrame, chunks: DataFrame, reach: int = 2, share
     placed = seeds.join(chunks.select("chunk_id", "doc_id", "chunk_index"), "chunk_id")
     other = chunks.select(F.col("chunk_id").alias("near_id"), "doc_id", F.col("chunk_index").alias("near_index"))
     near = placed.join(other, "doc_id").where(F.abs(F.col("near_index") - F.col("chunk_index")).between(1, reach))
-    added = near.groupBy("query_id", F.col("near_id").alias("chunk_id")).agg(F.round(F.max("score") * share, 6).alias("score"))
+    added = near.groupBy("query_id", F.col("near_id").alias("chunk_id")).agg(F.round(F.max("score") * share, 8).alias("score"))
     added = added.join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return seeds.select("query_id", "chunk_id", "score", F.lit(False).alias("expanded")).unionByName(added.withColumn("expanded", F.lit(True)))
 

@@ -24,8 +24,8 @@ def tokenize_term_stats(spark, sf_dir):
 
 def bm25_sql(docs: str, queries: str) -> str:
     """Scores of docs (id, text) for queries (query_id, text)."""
-    return f"""(WITH d AS {docs}, p AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, unnest({_W}) AS term, len({_W}) AS dl FROM d) GROUP BY id, term),
-        s AS (SELECT count(*) AS n, avg(len({_W})) AS avgdl FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term), a AS (SELECT query_id, unnest(list_distinct({_W})) AS term FROM {queries})
+    return f"""(WITH d AS MATERIALIZED (SELECT id, {_W} AS w FROM {docs}), p AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, unnest(w) AS term, len(w) AS dl FROM d) GROUP BY id, term),
+        s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term), a AS (SELECT query_id, unnest(list_distinct({_W})) AS term FROM {queries})
         SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * dl / avgdl))), 6) AS score
         FROM p JOIN f USING (term) JOIN a USING (term) CROSS JOIN s GROUP BY query_id, id)"""
 
@@ -132,7 +132,7 @@ def chunk_hits(spark, sf_dir, k=20):
 
 @query(
     "doc_coherence_boost",
-    f"SELECT query_id, id, doc, round(score * CASE WHEN rank <= 12 THEN 1 + 0.05 * least(sum(CASE WHEN rank <= 12 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, doc) - 1, 4) ELSE 1 END, 6) AS score FROM (SELECT *, id // 10000 AS doc FROM {_CHUNK_HITS})",
+    f"SELECT query_id, id, doc, round(score * CASE WHEN rank <= 12 THEN 1 + 0.05 * least(sum(CASE WHEN rank <= 12 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, doc) - 1, 4) ELSE 1 END, 8) AS score FROM (SELECT *, id // 10000 AS doc FROM {_CHUNK_HITS})",
 )
 def doc_coherence_boost(spark, sf_dir):
     hits = chunk_hits(spark, sf_dir).select("query_id", "id", F.floor(F.col("id") / 10000).alias("doc"), "score")
@@ -144,7 +144,7 @@ _SEEDS = f"(SELECT query_id, id AS chunk_id, score FROM {_CHUNK_HITS} WHERE rank
 
 @query(
     "sibling_expansion",
-    f"""WITH s AS {_SEEDS}, c AS (SELECT chunk_id, doc_id, chunk_index FROM {CHUNKS_SQL}) SELECT *, false AS expanded FROM s UNION ALL SELECT query_id, n.chunk_id, round(max(score) * 0.75, 6), true FROM s JOIN c USING (chunk_id) JOIN c n ON n.doc_id = c.doc_id AND abs(n.chunk_index - c.chunk_index) BETWEEN 1 AND 2
+    f"""WITH s AS {_SEEDS}, c AS (SELECT chunk_id, doc_id, chunk_index FROM {CHUNKS_SQL}) SELECT *, false AS expanded FROM s UNION ALL SELECT query_id, n.chunk_id, round(max(score) * 0.75, 8), true FROM s JOIN c USING (chunk_id) JOIN c n ON n.doc_id = c.doc_id AND abs(n.chunk_index - c.chunk_index) BETWEEN 1 AND 2
         WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.query_id = s.query_id AND t.chunk_id = n.chunk_id) GROUP BY query_id, n.chunk_id""",
 )
 def sibling_expansion(spark, sf_dir):

@@ -297,8 +297,8 @@ def _one(x: str) -> str:
     return f"CASE WHEN {x} THEN 1 ELSE 0 END"
 
 
-_KIND = f"""CASE WHEN {rlike("text", questions.CODE_LIKE)} THEN 'conceptual' WHEN len(list_filter(regexp_extract_all(text, '\\b([A-Z]{{2,}})\\b', 1), lambda x: NOT list_contains([{", ".join(f"'{g}'" for g in questions.GENERIC)}], x))) > 0
-    OR {rlike("text", questions.MIXED_CASE)} OR {rlike("text", questions.QUOTED)} OR {rlike("text", questions.VALUE)} THEN 'term_specific' WHEN regexp_matches(lower(text), '비교|차이|vs\\.?|다른|대비|장단점') THEN 'comparative' ELSE 'conceptual' END"""
+_KIND = f"""CASE WHEN {rlike("text", questions.CODE_LIKE)} THEN 'conceptual' WHEN len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: {rlike("x", questions.MIXED_CASE)} OR {rlike("x", questions.ACRONYM)} AND NOT list_contains([{", ".join(f"'{g}'" for g in questions.GENERIC)}], x))) > 0
+    OR {rlike("text", questions.QUOTED)} OR {rlike("text", questions.VALUE)} THEN 'term_specific' WHEN regexp_matches(lower(text), '비교|차이|vs\\.?|다른|대비|장단점') THEN 'comparative' ELSE 'conceptual' END"""
 
 
 @query(
