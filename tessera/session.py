@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
@@ -31,7 +31,8 @@ def ship(spark: SparkSession) -> None:
     paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if str(ROOT.parent) in {os.path.realpath(p) for p in paths if p} or getattr(context, "_tessera_shipped", False):
         return
-    name = Path(tempfile.mkdtemp(prefix="tessera-package-")) / "tessera.zip"
+    name = Path(SparkFiles.getRootDirectory()) / "package" / "tessera.zip"  # Spark sends it to executors and deletes it
+    name.parent.mkdir(exist_ok=True)
     with zipfile.ZipFile(name, "w") as z:
         for p in sorted(ROOT.rglob("*.py")):
             z.write(p, p.relative_to(ROOT.parent))
