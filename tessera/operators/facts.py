@@ -62,6 +62,15 @@ def entity_index(facts: DataFrame) -> DataFrame:
     return facts.select(F.explode(both).alias("key"), "chunk_id").distinct()
 
 
+def asked_entities(text: Column) -> Column:
+    """Index keys that a question names: ids, a least severity ("high or above"), a status."""
+    ids = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\b((?:SEC|CVE|PAT)-\d+)\b"), F.lit(1)), F.upper)
+    level = F.nullif(F.lower(F.regexp_extract(text, _LEVEL, 1)), F.lit(""))
+    status = F.nullif(F.lower(F.regexp_extract(text, _STATUS, 1)), F.lit(""))
+    extra = F.array(F.concat(F.lit("severity_gte:"), level), F.concat(F.lit("status:"), status))
+    return F.array_distinct(F.concat(ids, F.filter(extra, lambda k: k.isNotNull())))
+
+
 def combined_lookup(index: DataFrame, criteria: DataFrame, union: bool = False) -> DataFrame:
     """(query_id, chunk_id) of chunks that meet all criteria (query_id, key) of a query; criteria without any match are left out.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, filtered_tokens, query_hash, token_set
+from ..functions.text import cosine, filtered_tokens, query_hash, sentences, token_set
 
 
 def recall_at_k(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -46,6 +46,14 @@ def context_precision(rows: DataFrame, least: float = 0.2) -> DataFrame:
     return rows.groupBy("query_id").agg(F.round(F.avg(good), 6).alias("precision"))
 
 
+def faithfulness(rows: DataFrame, least: float = 0.3) -> DataFrame:
+    """(query_id, faithfulness): share of an answer's sentences with at least `least` of their words in the context; rows:
+    (query_id, answer, context). An answer without sentences has 0."""
+    each = rows.select("query_id", "context", F.explode_outer(sentences(F.col("answer"))).alias("sentence"))
+    good = F.when(overlap_share(F.col("sentence"), F.col("context")) >= least, 1.0).otherwise(0.0)
+    return each.groupBy("query_id").agg(F.round(F.avg(good), 4).alias("faithfulness"))
+
+
 def latency_stats(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, average, maximum and linearly interpolated percentiles."""
     p = lambda q: F.round(F.percentile(value, F.lit(q)), 6)

@@ -90,6 +90,15 @@ def test_folds():
     assert [c for c, _ in chunks.sections("<h1>T</h1><p>x</p><h2>U</h2>y")] == ["[T] x", "[T > U] y"]
 
 
+def test_blocks():
+    table = "| a | b |\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(20))
+    code = "```\n" + "\n".join(f"line {i}" for i in range(10)) + "\n```"
+    got = chunks.blocks(f"before\n{table}\nbetween\n{code}\nafter\n```\nshort\n```")
+    assert [k for _, k in got] == ["text", "table", "table", "text", "code", "text"]
+    assert got[2][0].startswith("| a | b |\n|---|---|\n| 15 | x |") and got[4][0] == code and got[5][0].endswith("short\n```")
+    assert chunks.blocks("") == [] and chunks.blocks("plain") == [("plain", "text")]
+
+
 def test_coherence_gate_and_resolutions(spark):
     rows = [(1, 0, "A good start here."), (1, 1, "and no end"), (1, 2, "Another good one."), (2, 0, "and alone")]
     df = spark.createDataFrame(rows, "doc_id long, chunk_index int, text string")
@@ -148,6 +157,7 @@ def test_facts(spark, value):
     hits = spark.createDataFrame([(1, 1, 0.5), (1, 8, 0.9)], "query_id long, chunk_id long, score double")
     extra = spark.createDataFrame([(1, 1), (1, 3)], "query_id long, chunk_id long")
     assert {r["chunk_id"]: r["score"] for r in facts.injected(hits, extra).collect()} == {1: 0.8, 8: 0.9, 3: 0.8}
+    assert value(facts.asked_entities, "sec-001 or high, still open?") == ["SEC-001", "severity_gte:high", "status:open"]
     assert value(facts.version_terms, "v2.5.0 (2024)") == ["2.5.0", "v2.5.0"]
     assert value(facts.amount_terms, "3.2억 and 40%") == ["3.2억", "40%"]
     assert value(facts.text_domains, "CVE-1 with revenue") == ["security", "finance"]
@@ -173,6 +183,8 @@ def test_stores(spark, tmp_path):
 def test_metrics(spark, value):
     assert value(metrics.token_f1, "revenue grew ten", "revenue grew five percent") == 0.5714
     assert spark.range(1).select(metrics.checklist(F.lit(8.0), 5, 0.1, True).alias("v")).first()["v"] == 0.0625
+    rows = spark.createDataFrame([(1, "The cat sat. Dogs fly high.", "a cat sat on the mat"), (2, "", "x")], "query_id long, answer string, context string")
+    assert {r["query_id"]: r["faithfulness"] for r in metrics.faithfulness(rows).collect()} == {1: 0.5, 2: 0.0}
     hits = spark.createDataFrame([(1, 10, 1), (2, 11, 1)], "query_id long, id long, rank int")
     good = spark.createDataFrame([(1, 10), (1, 99)], "query_id long, id long")
     assert {r["query_id"]: r["recall"] for r in metrics.recall_at_k(hits, good, 5).collect()} == {1: 0.5, 2: 1.0}
