@@ -27,7 +27,7 @@ def html_text(html: Column) -> Column:
 
 
 def html_title(html: Column) -> Column:
-    found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    found = F.regexp_extract(html, r"(?is)<title[^<>]*>(.*?)</title *>", 1)
     return F.nullif(stripped(unescaped(found)), F.lit(""))
 
 

@@ -23,7 +23,7 @@ def _tables(text: Column) -> Column:
 
 
 def _lists(text: Column) -> Column:
-    return count_of(text, r"(?m)^\s*[-*•]\s+") + count_of(text, r"(?m)^\s*\d+[.)]\s+")
+    return count_of(text, r"(?m)^\s*[-*•]\s+") + count_of(text, r"(?m)^\s*\d+[).]\s+")
 
 
 def _code(text: Column) -> Column:

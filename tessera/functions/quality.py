@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import count_of, ends_with_terminator, starts_mid_sentence, stripped, whitespace_words
 
-BROKEN = r"[\x{FFFD}\x{FFFE}\x{FFFF}]|\\x[0-9a-fA-F]{2}"
+BROKEN = r"[\x{FFFD}\x{FFFE}\x{FFFF}]|\\x[A-Fa-f0-9]{2}"
 BOILERPLATE = r"(?i)^(?:page\s+\d+|\d+\s*/\s*\d+|copyright|©|\(c\)|all rights reserved|confidential|table of contents|목차|[-=_*]{3,})"
 
 

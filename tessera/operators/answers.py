@@ -62,7 +62,7 @@ def merged_neighbours(hits: DataFrame) -> DataFrame:
 
 def compress(query: str, text: str, ratio: float = 0.5) -> str:
     """First, last and the inner sentences that share most words with the query, in their order."""
-    own = [s for s in re.split(r"(?<=[.!?。])\s+", text.strip()) if s]
+    own = [s for s in re.split(r"(?<=[!.?。])\s+", text.strip()) if s]
     if len(own) <= 2:
         return text
     asked = set(re.findall(r"\w+", query.lower()))

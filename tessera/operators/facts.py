@@ -19,7 +19,7 @@ def derived_date_terms(day: Column) -> Column:
 
 def version_terms(text: Column) -> Column:
     """Versions as written and with a v before; anything of the form d.d counts."""
-    found = F.regexp_extract_all(text, F.lit(r"\b[vV]?(\d+\.\d+(?:\.\d+)?)\b"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"\b[vV]?(\d+(?:\.\d+){1,2})\b"), F.lit(1))
     return F.array_distinct(F.flatten(F.transform(found, lambda v: F.array(v, F.concat(F.lit("v"), v)))))
 
 

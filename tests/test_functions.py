@@ -1,7 +1,5 @@
 """Worked examples of rules that the synthetic tables do not reach: Hangul, Markdown, files, chunk folds, graph, answers."""
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 from tessera import plugins
@@ -243,7 +241,3 @@ def test_plugins(spark):
     p.enable("double", False)
     assert [r["id"] for r in p.apply("after", spark.range(2)).collect()] == [0, 1]
 
-
-def test_patterns_compile():
-    for pattern in (questions.QUOTED, questions.MIXED_CASE, questions.SINGLE_FACT):
-        re.compile(pattern)
