@@ -1,8 +1,9 @@
 """License scan with ordered signature rules.
 
-Method: a few hundred hand-written regular expressions, each gated by literals that every match must contain. A text is
-first tested for any gate (vectorised, no Python object is made for the others), then one Aho-Corasick pass tells which
-literals it has, and only rules with all their literals present run, on the whole text.
+Method: a few hundred hand-written regular expressions, each gated by literals: a gate is a set of literals, and every match
+has all literals of one of its rule's gates. A text is first tested for any gate (vectorised, no Python object is made for
+the others), then one Aho-Corasick pass tells which literals it has, and only rules with a gate whose literals are all
+present run, on the whole text.
 
 Overlaps are settled by rank: higher priority first (a tag over a full notice, over an address, over a bare name), then the
 longer match, the earlier start and the earlier rule. A detection that lies inside one of better rank is suppressed;
@@ -32,7 +33,7 @@ from .common import table
 L = r"licen[cs]e"
 V = r"[\s,(]*(?:version|ver\.?|v\.?)?\s*"
 
-# id | name | literals of the name, the first being the gate | address
+# id | name | gates of the name, joined by ";", each with its literals, joined by ",", the first being what texts are tested for | address
 _LICENSES = rf"""
 MIT | (?:the\s+)?(?:mit|expat)[\s/-]+(?:x11\s+)?{L} | licen | opensource\.org/licenses?/mit(?![\w-])
 MIT-0 | mit\s+no\s+attribution(?:\s+{L})? | attribution,mit | opensource\.org/licenses?/mit-0
@@ -47,7 +48,7 @@ BSD-2-Clause | (?:(?:2|two)[\s-]clause|simplified|freebsd)\s+bsd | bsd | opensou
 BSD-3-Clause | (?:(?:3|three)[\s-]clause|new|modified|revised)\s+bsd | bsd | opensource\.org/licenses?/bsd-3-clause
 BSD-4-Clause | (?:(?:4|four)[\s-]clause|original)\s+bsd | bsd | directory\.fsf\.org/wiki/license:bsd-4-clause
 BSD | bsd\s+{L} | licen,bsd | opensource\.org/licenses?/bsd-license
-0BSD | (?:zero[\s-]clause|0[\s-]clause|free\s+public)\s+(?:bsd|{L}\s+1\.0) | clause | opensource\.org/licenses?/0bsd
+0BSD | (?:zero[\s-]clause|0[\s-]clause|free\s+public)\s+(?:bsd|{L}\s+1\.0) | clause;free,public | opensource\.org/licenses?/0bsd
 GPL-1.0 | gnu\s+general\s+public\s+{L}{V}1(?:\.0)?(?![\d.]*\d) | licen,gnu,general | www\.gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0
 GPL-2.0 | gnu\s+general\s+public\s+{L}{V}2(?:\.0)?(?![\d.]*\d) | licen,gnu,general | www\.gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
 GPL-3.0 | gnu\s+general\s+public\s+{L}{V}3(?:\.0)?(?![\d.]*\d) | licen,gnu,general | www\.gnu\.org/licenses/gpl-3\.0
@@ -79,8 +80,8 @@ Artistic-2.0 | artistic\s+{L}(?:{V}2(?:\.0)?)? | licen,artistic | www\.perlfound
 Zlib | (?:zlib|zlib/libpng)\s+{L} | licen,zlib | www\.zlib\.net/zlib_license
 Libpng | libpng\s+{L} | licen,libpng | www\.libpng\.org/pub/png/src/libpng-license
 Unlicense | the\s+unlicense | unlicense | unlicense\.org
-WTFPL | (?:do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public\s+{L}|wtfpl) | wtfpl | www\.wtfpl\.net
-CC0-1.0 | (?:cc0|creative\s+commons\s+zero)(?:{V}1\.0)?(?:\s+universal)? | cc0 | creativecommons\.org/publicdomain/zero/1\.0
+WTFPL | (?:do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public\s+{L}|wtfpl) | wtfpl;fuck,licen | www\.wtfpl\.net
+CC0-1.0 | (?:cc0|creative\s+commons\s+zero)(?:{V}1\.0)?(?:\s+universal)? | cc0;zero,commons | creativecommons\.org/publicdomain/zero/1\.0
 CC-PDDC | public\s+domain\s+dedication | domain,dedication | creativecommons\.org/licenses/publicdomain
 CC-PDM-1.0 | public\s+domain\s+mark(?:{V}1\.0)? | domain,mark | creativecommons\.org/publicdomain/mark/1\.0
 PSF-2.0 | (?:python\s+software\s+foundation|psf)\s+{L} | licen | docs\.python\.org/3/license
@@ -123,7 +124,7 @@ Llama-2 | llama\s+2\s+community\s+{L} | licen,llama | ai\.meta\.com/llama/licens
 _COMMONS = {"BY": "attribution", "BY-SA": r"attribution[\s-]+share\s*-?alike", "BY-ND": r"attribution[\s-]+no\s*-?deriv(?:ative)?s(?:\s+works)?",
             "BY-NC": r"attribution[\s-]+non\s*-?commercial", "BY-NC-SA": r"attribution[\s-]+non\s*-?commercial[\s-]+share\s*-?alike",
             "BY-NC-ND": r"attribution[\s-]+non\s*-?commercial[\s-]+no\s*-?deriv(?:ative)?s(?:\s+works)?"}
-# full notices: id | text | literals
+# full notices: id | text | gates
 _NOTICES = r"""
 MIT | permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy | hereby,granted
 ISC | permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose | permission,modify
@@ -137,7 +138,7 @@ MPL-2.0 | this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+t
 LicenseRef-public-domain | (?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain | domain
 LicenseRef-all-rights-reserved | all\s+rights\s+reserved | reserved
 LicenseRef-proprietary | proprietary\s+and\s+confidential | proprietary
-LicenseRef-copyright | (?:copyright|\(c\))\s*(?:\(c\)|©)?\s*(?:19|20)\d\d(?:\s*[-,]\s*(?:19|20)\d\d)* | copyright
+LicenseRef-copyright | (?:copyright|\(c\))\s*(?:\(c\)|©)?\s*(?:19|20)\d\d(?:\s*[-,]\s*(?:19|20)\d\d)* | copyright;(c)
 GPL-2.0 | (?<![\w-])gpl[\s-]*v?2(?:\.0)?(?:\+|(?![\w.]*\w)) | gpl
 GPL-3.0 | (?<![\w-])gpl[\s-]*v?3(?:\.0)?(?:\+|(?![\w.]*\w)) | gpl
 LGPL-2.1 | (?<![\w-])lgpl[\s-]*v?2\.1\+? | lgpl
@@ -154,7 +155,7 @@ class Rule:
     name: str
     license: str
     pattern: str
-    literals: tuple[str, ...]
+    gates: tuple[tuple[str, ...], ...]
     priority: int
     regex: re.Pattern = field(init=False, repr=False, compare=False)
 
@@ -162,38 +163,42 @@ class Rule:
         object.__setattr__(self, "regex", re.compile(self.pattern, re.IGNORECASE | re.ASCII))
 
 
+def _gates(x: str) -> tuple[tuple[str, ...], ...]:
+    return tuple(tuple(g.split(",")) for g in x.split(";"))
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     out = []
 
-    def add(kind: str, spdx: str, pattern: str, literals: tuple[str, ...], priority: int) -> None:
-        out.append(Rule(f"{kind}:{spdx}:{len(out)}", spdx, pattern, literals, priority))
+    def add(kind: str, spdx: str, pattern: str, gates: tuple[tuple[str, ...], ...], priority: int) -> None:
+        out.append(Rule(f"{kind}:{spdx}:{len(out)}", spdx, pattern, gates, priority))
 
-    def family(spdx: str, name: str, literals: tuple[str, ...], address: str) -> None:
-        add("tag", spdx, rf"spdx-license-identifier:\s*{re.escape(spdx)}(?:-only|-or-later|\+)?(?![\w.-]*\w)", ("spdx",), TAG)
-        add("notice", spdx, rf"{_UNDER}(?<!\w){name}", literals, NOTICE)
-        add("address", spdx, rf"(?:https?:)?//(?:www\.)?(?:{address})", ("://",) if not address.startswith("www") else ("://",), ADDRESS)
-        add("name", spdx, rf"(?<!\w){name}", literals, NAME)
+    def family(spdx: str, name: str, gates: tuple[tuple[str, ...], ...], address: str) -> None:
+        add("tag", spdx, rf"spdx-license-identifier:\s*{re.escape(spdx)}(?:-only|-or-later|\+)?(?![\w.-]*\w)", (("spdx",),), TAG)
+        add("notice", spdx, rf"{_UNDER}(?<!\w){name}", gates, NOTICE)
+        add("address", spdx, rf"(?:https?:)?//(?:www\.)?(?:{address})", (("//",),), ADDRESS)
+        add("name", spdx, rf"(?<!\w){name}", gates, NAME)
 
     for line in _LICENSES.strip().splitlines():
-        spdx, name, literals, address = (x.strip() for x in line.split(" | "))
-        family(spdx, name, tuple(literals.split(",")), address.removeprefix(r"www\."))
+        spdx, name, gates, address = (x.strip() for x in line.split(" | "))
+        family(spdx, name, _gates(gates), address.removeprefix(r"www\."))
     for kind, words in _COMMONS.items():
         flat = kind.replace("-", r"[\s-]")
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             v = version.replace(".", r"\.")
             name = rf"(?:cc[\s-]{flat}|creative\s+commons\s+{words})(?:\s+(?:international|unported|generic|{L}))*{V}{v}"
-            family(f"CC-{kind}-{version}", name, (version,), rf"creativecommons\.org/licenses/{kind.lower()}/{v}")
+            family(f"CC-{kind}-{version}", name, ((version,),), rf"creativecommons\.org/licenses/{kind.lower()}/{v}")
     for line in _NOTICES.strip().splitlines():
-        spdx, text, literals = (x.strip() for x in line.split(" | "))
-        add("text", spdx, text, tuple(literals.split(",")), NOTICE)
+        spdx, text, gates = (x.strip() for x in line.split(" | "))
+        add("text", spdx, text, _gates(gates), NOTICE)
     return tuple(out)
 
 
 @cache
 def _literals() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for x in {x for r in rules() for x in r.literals}:
+    for x in {x for r in rules() for g in r.gates for x in g}:
         found.add_word(x, x)
     found.make_automaton()
     return found
@@ -225,7 +230,7 @@ def settle(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 def detect(text: str) -> list[tuple[int, int, int]]:
     """Settled detections of one text."""
     have = {x for _, x in _literals().iter(text.lower())}
-    found = [(m.start(), m.end(), i) for i, r in enumerate(rules()) if have.issuperset(r.literals) for m in r.regex.finditer(text)]
+    found = [(m.start(), m.end(), i) for i, r in enumerate(rules()) if any(map(have.issuperset, r.gates)) for m in r.regex.finditer(text)]
     return settle(found) if len(found) > 1 else found
 
 
@@ -233,7 +238,7 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.in
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    gates = sorted({r.literals[0] for r in rules()})
+    gates = sorted({g[0] for r in rules() for g in r.gates})
     gates = [g for g in gates if not any(o != g and o in g for o in gates)]
     every = rules()
     for batch in batches:

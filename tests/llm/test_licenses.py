@@ -1,3 +1,4 @@
+import re
 from itertools import product
 
 import numpy as np
@@ -37,6 +38,59 @@ def test_gates_lose_nothing(text):
     assert L.detect(text) == settled(all_rules(text))
 
 
+def spelled(tree):
+    """Texts of a parsed pattern: each alternative, each optional part with and without; all combinations where they are few."""
+    parts = []
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                own = [chr(arg)]
+            case "IN":
+                own = [{"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "0"}.get(str(x), ".") if str(kind) == "CATEGORY" else chr(x) for kind, x in arg]
+            case "MAX_REPEAT":
+                own = [x * max(n, 0) for n in {arg[0], max(arg[0], 1)} for x in spelled(arg[2])]
+            case "SUBPATTERN":
+                own = spelled(arg[-1])
+            case "BRANCH":
+                own = [x for branch in arg[1] for x in spelled(branch)]
+            case _:
+                assert str(op) in ("ASSERT", "ASSERT_NOT"), op
+                own = [""]
+        parts.append(list(dict.fromkeys(own)))
+    if np.prod([float(len(x)) for x in parts]) <= 24:
+        return ["".join(x) for x in product(*parts)]
+    return ["".join(x if k == i else y[0] for k, y in enumerate(parts)) for i, own in enumerate(parts) for x in own]
+
+
+def test_every_alternative_of_every_rule_passes_a_gate():
+    for r in L.rules():
+        texts = [t for t in dict.fromkeys(spelled(re._parser.parse(r.pattern))) if r.regex.search(t)]
+        assert texts, r.name
+        for text in texts:
+            assert any(all(x in text.lower() for x in g) for g in r.gates), (r.name, text)
+
+
+ALTERNATIVES = [
+    "(c) 2020 Foo",
+    "Copyright 2020 Foo",
+    "Creative Commons Zero 1.0",
+    "CC0 universal",
+    "Do What The Fuck You Want To Public License",
+    "WTFPL",
+    "Free Public License 1.0.0",
+    "zero-clause BSD",
+    "see //opensource.org/licenses/MIT there",
+]
+
+
+@pytest.mark.parametrize("text", ALTERNATIVES)
+def test_gates_of_single_alternatives(spark, text):
+    want = settled(all_rules(text))
+    assert want and L.detect(text) == want
+    rows = L.detections(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted((r["start"], r["end"], r["rule"]) for r in rows) == sorted((s, e, L.rules()[r].name) for s, e, r in want)
+
+
 def test_joined_texts_as_brute_force():
     for a, b in product(TEXTS, TEXTS):
         text = a + " " + b
