@@ -2,14 +2,18 @@
 
 Method (random walks from seeds over a word graph):
 1. Seed terms come from labelled documents, at most `labelled_rows` of them (those of the least hash of the id), near copies
-   of which count once (those that share one of two least hashes of their word pairs): words that the toxic ones have
-   significantly more often (positive seeds, the most significant first), and frequent words of the clean ones without
+   of which count once (those that share one of two least hashes of their word pairs): words whose odds to be in a toxic one
+   are LIFT times those of all, significantly so (positive seeds, all of them), and frequent words of the clean ones without
    such a tendency (negative seeds).
 2. Over all documents: how many have each word, and how many have it with a positive seed in the same document. Nodes of
-   the graph are the seeds and all words of at least `share` of the documents (five at least) that occur LIFT times as often
-   with seeds as without knowledge of them, significantly so, unless the labelled documents speak against them. The share bounds the number of nodes whatever the size of the corpus.
+   the graph are the seeds and all words of at least LEAST documents whose odds to occur with seeds are LIFT times those of
+   all documents, significantly so, unless the labelled documents speak against them. Significance is the likelihood
+   ratio, a bound of the tail for rare and for frequent words and at any rate of documents with seeds.
 3. Over all documents: in how many each two nodes occur together. Edges are the positive pointwise mutual information,
-   shifted by log(LIFT): what two words of one language share by that alone is no tie. Seeds of opposite kind have no edge.
+   shifted by log(LIFT), or by half of the most that words so frequent can have where that is less: what two words of one
+   language share by that alone is no tie. Two words need TOGETHER documents for an edge; seeds of opposite kind have none.
+   The edges are a stored table; up to EDGES_AT_ONCE of them are walked on the driver, more of them by a job over the table
+   for each step, with the same result. Driver and workers hold a few numbers for each node.
 4. Two random walks with restart, from the positive and from the negative seeds, give each node two probabilities; a walk
    that comes to a seed of the other kind starts anew. The logarithm of the ratio, where positive, is the polarity weight.
 5. A document's score is the sum of the weights of its distinct words; the least score called toxic is the one with the best
@@ -27,18 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import ALNUM, U64, Words, chunks, mix, spans, strings, tidy
-from .common import checkpointed, table
+from .common import checkpointed, stored, table
 
 LABELLED_ROWS = 20_000
-POSITIVE, NEGATIVE = 80, 100
-SHARE = 1e-3
+NEGATIVE = 100
+LEAST = 5
+TOGETHER = 3
 LEAST_Z = 6.0
 LIFT = 4.0
 RESTART = 0.15
+ROUNDS = 60
+EDGES_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 1_000_000
 ANY = 0  #: stands for every document in word counts
 
 
@@ -131,14 +139,39 @@ def _together(nodes: np.ndarray):
                 start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
                 n = np.diff(np.append(start, len(row)))
                 inner = np.arange(len(row)) - np.repeat(start, n) + 1  # with itself and all before it
-                left = np.repeat(np.repeat(start, n), inner) + np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner)
-                pair, count = np.unique(at[left] * size + np.repeat(at, inner), return_counts=True)
-                yield _batch("pair n", [pair, count])
+                first = np.repeat(start, n)
+                done = np.cumsum(inner)
+                cuts = np.unique(np.searchsorted(done, np.arange(0, done[-1] if len(done) else 0, PAIRS_AT_ONCE), "right"))
+                for lo, hi in zip(cuts, [*cuts[1:], len(row)]):
+                    own = inner[lo:hi]
+                    left = np.repeat(first[lo:hi], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                    pair, count = np.unique(at[left] * size + np.repeat(at[lo:hi], own), return_counts=True)
+                    yield _batch("pair n", [pair, count])
 
     return run
 
 
-def walk(edges: np.ndarray, weight: np.ndarray, size: int, seeds: np.ndarray, restart: float = RESTART, rounds: int = 60) -> np.ndarray:
+def ties(n: np.ndarray, a: np.ndarray, b: np.ndarray, total: int) -> np.ndarray:
+    """Shifted information of words in a and b of `total` documents, n of them shared."""
+    return np.log(n * total / (a * b)) - np.minimum(np.log(LIFT), np.log(total / np.maximum(a, b)) / 2)
+
+
+def _edges(alone: np.ndarray, kind: np.ndarray, total: int):
+    """Edges of pairs of nodes, each in one direction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(alone)
+        for batch in batches:
+            pair, n = batch.column("pair").to_numpy(), batch.column("n").to_numpy().astype(float)
+            a, b = pair // size, pair % size
+            weight = ties(n, alone[a], alone[b], total)
+            use = (a != b) & (weight > 0) & (kind[a] * kind[b] >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (a, b, weight)], ["a", "b", "weight"])
+
+    return run
+
+
+def walk(edges: np.ndarray, weight: np.ndarray, size: int, seeds: np.ndarray, restart: float = RESTART, rounds: int = ROUNDS) -> np.ndarray:
     """Probabilities of a random walk with restart; edges are given in both directions."""
     start = np.zeros(size)
     start[seeds] = 1 / max(len(seeds), 1)
@@ -151,6 +184,46 @@ def walk(edges: np.ndarray, weight: np.ndarray, size: int, seeds: np.ndarray, re
     return p
 
 
+def _arriving(given: np.ndarray):
+    """What comes to each node over its edges, for each row of `given`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros_like(given)
+        for batch in batches:
+            a, b, weight = (batch.column(c).to_numpy() for c in ("a", "b", "weight"))
+            for x, y in ((a, b), (b, a)):
+                for k in range(len(given)):
+                    out[k] += np.bincount(y, weight * given[k][x], given.shape[1])
+        node = np.flatnonzero(out.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(node), *(pa.array(x[node]) for x in out)], ["node", "plus", "minus"])
+
+    return run
+
+
+def walks(edges: DataFrame, kind: np.ndarray, at_once: int = EDGES_AT_ONCE, restart: float = RESTART, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the walks from the positive and the negative seeds; neither goes on from a seed of the other kind."""
+    size, goes = len(kind), np.stack([kind >= 0, kind <= 0])
+    if edges.count() <= at_once:
+        a, b, weight = (c.to_numpy() for c in edges.orderBy("a", "b").toArrow().columns)
+        both, weight = np.concatenate([np.stack([a, b], 1), np.stack([b, a], 1)]), np.concatenate([weight, weight])
+        return tuple(walk(both[g[both[:, 0]]], weight[g[both[:, 0]]], size, np.flatnonzero(kind == sign), restart, rounds) for g, sign in zip(goes, (1, -1)))
+
+    def over(given: np.ndarray) -> np.ndarray:
+        sums = edges.mapInArrow(tidy(_arriving(given)), "node long, plus double, minus double").groupBy("node").agg(F.sum("plus"), F.sum("minus")).toArrow()
+        node, *values = (c.to_numpy() for c in sums.columns)
+        out = np.zeros_like(given)
+        out[:, node] = values
+        return out
+
+    total = np.where(goes, over(np.ones((2, size))), 0)
+    start = np.stack([(kind == sign) / max(int((kind == sign).sum()), 1) for sign in (1, -1)])
+    p = start
+    for _ in range(rounds):
+        moved = over(np.divide(p, total, out=np.zeros_like(p), where=total > 0))
+        p = (1 - restart) * (moved + np.where(total == 0, p, 0).sum(1)[:, None] * start) + restart * start
+    return p[0], p[1]
+
+
 def _scores(names: np.ndarray, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +255,15 @@ class Lexicon:
         self.words, self.weights, self.limit = words, weights, limit
 
 
-def induced(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, share: float = SHARE) -> Lexicon | None:
+def _tends(near: Column, n: Column, rate: float) -> Column:
+    """Whether words in n documents, `near` of them with seeds (or toxic), have odds LIFT times those of `rate`, significantly so."""
+    part = lambda x, expected: F.when(x > 0, x * F.log(x / (n * F.lit(expected)))).otherwise(0.0)
+    if not 0 < rate < 1:
+        return F.lit(False)
+    return (near * (1 - rate) >= LIFT * rate * (n - near)) & (2 * (part(near, rate) + part(n - near, 1 - rate)) >= LEAST_Z**2)
+
+
+def induced(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Lexicon | None:
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     some = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("long")).dropna().where("toxic IN (0, 1)")
     some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
@@ -201,33 +282,27 @@ def induced(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
     error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / clean_n + 1 / toxic_n))
     seen = checkpointed(seen.withColumn("z", (F.col("toxic") / toxic_n - F.col("clean") / clean_n) / error))
     unsigned = lambda rows: np.sort(np.array([r["word"] for r in rows], np.int64).astype(U64))
-    positive = unsigned(seen.where((F.col("z") >= LEAST_Z) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "word").limit(POSITIVE).collect())
+    positive = unsigned(seen.where(_tends(F.col("toxic"), both, toxic_n / (clean_n + toxic_n))).select("word").toLocalIterator())
     negative = unsigned(seen.where(F.col("z") < LEAST_Z / 3).orderBy(F.desc("clean"), "word").limit(NEGATIVE).collect())
     if not len(positive) or not len(negative):
         return None
     text = docs.select("text")
     counts = text.mapInArrow(tidy(_near_seeds(positive)), "word long, n long, near long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
     total = docs.count()
-    counts = checkpointed(counts.where(F.col("n") >= max(5, share * total)))
+    counts = checkpointed(counts.where(F.col("n") >= LEAST))
     bearing = counts.where(F.col("word") == ANY).agg(F.sum("near")).first()[0] or 0
     rate = bearing / max(total, 1)
-    drawn = (F.col("near") >= LIFT * rate * F.col("n")) & (F.col("near") - rate * F.col("n") >= LEAST_Z * F.sqrt(rate * (1 - rate) * F.col("n")))
-    drawn = counts.where(drawn & (F.col("word") != ANY)).join(seen.where(F.col("z") < LEAST_Z / 2).select("word"), "word", "left_anti")
+    against = seen.where((F.col("z") < LEAST_Z / 2)).select("word")
+    drawn = counts.where(_tends(F.col("near"), F.col("n"), rate) & (F.col("word") != ANY)).join(against, "word", "left_anti")
     nodes = np.unique(np.concatenate([positive, negative, unsigned(drawn.select("word").toLocalIterator())]))
-    pairs = text.mapInArrow(tidy(_together(nodes)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     v = len(nodes)
-    found = pairs.where((F.col("n") >= 3) | (F.floor(F.col("pair") / v) == F.col("pair") % v)).collect()
-    pair, n = np.array([r["pair"] for r in found], np.int64), np.array([r["n"] for r in found], float)
-    a, b = pair // v, pair % v
+    pairs = checkpointed(text.mapInArrow(tidy(_together(nodes)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(f"n >= {TOGETHER} OR pair div {v} = pair % {v}"))
+    own, n = (c.to_numpy() for c in pairs.where(f"pair div {v} = pair % {v}").toArrow().columns)
     alone = np.ones(v)
-    alone[a[a == b]] = n[a == b]
-    info = np.log(n * total / (alone[a] * alone[b]) / LIFT)
+    alone[own % v] = n
     kind = np.isin(nodes, positive).astype(int) - np.isin(nodes, negative)
-    use = (a != b) & (info > 0) & (kind[a] * kind[b] >= 0)
-    edges = np.concatenate([np.stack([a[use], b[use]], 1), np.stack([b[use], a[use]], 1)])
-    weight = np.concatenate([info[use], info[use]])
-    goes = [kind[edges[:, 0]] >= 0, kind[edges[:, 0]] <= 0]
-    plus, minus = (walk(edges[g], weight[g], v, np.searchsorted(nodes, seeds)) for g, seeds in zip(goes, (positive, negative)))
+    edges = stored(pairs.mapInArrow(tidy(_edges(alone, kind, total)), "a long, b long, weight double"), "edges")
+    plus, minus = walks(edges, kind)
     tiny = 1e-3 / v
     polarity = np.log((plus + tiny) / (minus + tiny))
     good = polarity > 0

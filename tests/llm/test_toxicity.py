@@ -90,3 +90,78 @@ def test_nothing_known(spark, messy, empty):
 def test_threshold():
     assert T.threshold(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 0, 1, 1])) == 1.5
     assert T.threshold(np.array([1.0, 1.0, 2.0]), np.array([0, 1, 1])) in (0.5, 1.5)
+
+
+def hashes(*words):
+    import pyarrow as pa
+
+    off, data = T.strings(pa.array(list(words)), lower=True)
+    return T.Words(off, data, 0, len(words), T.ALNUM).hashes()
+
+
+def weighed(model, *words):
+    return np.isin(hashes(*words), model.words).tolist()
+
+
+def test_rare_words_and_many_seeds(spark):
+    """A word of 8 in 12,000 documents that no labelled one has, and 120 words that are seeds."""
+    rng = np.random.default_rng(4)
+    words, slurs = [f"w{i}" for i in range(3000)], [f"slur{i}" for i in range(120)]
+    rows, labels = [], []
+    for i in range(12_000):
+        text = list(rng.choice(words, 12))
+        if i % 10 == 0:
+            text += list(rng.choice(slurs, 4, replace=False)) + ["rarely", *slurs[:3]] * (i % 1500 == 0)
+        rows.append((i, " ".join(text)))
+        if i % 1500:
+            labels.append((i, 1, int(i % 10 == 0)))
+    model = T.induced(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert weighed(model, "rarely", "w1") == [True, False]
+    assert all(weighed(model, *slurs))
+
+
+def test_words_where_most_documents_have_seeds(spark):
+    """Words that occur with seeds alone, where half of the documents have a seed."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(1600):
+        text = list(rng.choice(words, 25))
+        if i % 2:
+            text += list(rng.choice(BAD, 4)) + ["hidden"] * (i % 32 == 1)
+        rows.append((i, " ".join(text)))
+        if i % 32 != 1:
+            labels.append((i, 1, i % 2))
+    model = T.induced(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert weighed(model, "hidden", "w1", *BAD) == [True, False] + [True] * len(BAD)
+
+
+def test_walks_over_a_stored_table(spark):
+    rng = np.random.default_rng(6)
+    a, b = np.triu_indices(30, 1)
+    use = rng.random(len(a)) < 0.2
+    kind = rng.integers(-1, 2, 30)
+    edges = spark.createDataFrame([(int(x), int(y), float(w)) for x, y, w in zip(a[use], b[use], rng.random(use.sum()))], "a long, b long, weight double").repartition(3)
+    here, apart = T.walks(edges, kind, rounds=8), T.walks(edges, kind, at_once=0, rounds=8)
+    assert np.allclose(here, apart) and np.allclose(np.sum(here, 1), 1)
+
+
+def test_pairs_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a b c d e f g", "b d f", "x", "c a"]
+    nodes = np.sort(hashes(*"abcdefg"))
+    want = {}
+    for t in texts:
+        at = np.flatnonzero(np.isin(nodes, hashes(*t.split()))).tolist()
+        for x in at:
+            for y in at:
+                if x <= y:
+                    want[x * 7 + y] = want.get(x * 7 + y, 0) + 1
+    for most in (1, 3, 1000):
+        monkeypatch.setattr(T, "PAIRS_AT_ONCE", most)
+        got = {}
+        for batch in T._together(nodes)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
+            for k, n in zip(batch.column("pair").to_pylist(), batch.column("n").to_pylist()):
+                got[k] = got.get(k, 0) + n
+        assert got == want
