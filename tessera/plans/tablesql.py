@@ -447,7 +447,7 @@ def dedup_near(spark, sf_dir):
 
 @query("extractive_compression")
 def extractive_compression(spark, sf_dir):
-    rows = _hits(spark, sf_dir).where("rank = 1").join(asked(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
+    rows = _hits(spark, sf_dir).join(asked(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
     return answers.compressed(rows.select("query_id", "id", "query", "text")).select("query_id", "id", "text")
 
 
