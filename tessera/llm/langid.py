@@ -9,7 +9,8 @@ decides; of equal shares the first language by name.
 n-grams are four bytes of the lower-cased text in which every run of ASCII characters that are not letters counts as a
 blank. The filter is fitted on a bounded sample of labelled rows, at most `per_language` documents of each language (those
 of the least hash of the id), with whole texts; a language has the n-grams that occur at least `least` times in its sample.
-At most 64 languages. The filter has a fixed size for the sample's bound, so what is broadcast doesn't grow with the data.
+The masks of any 64 languages are a plane of their own; there are as many planes as the languages need. The filter's size
+follows from the sample's bound and the number of languages, so what is broadcast doesn't grow with the rows.
 
 Defined results: a text without letters, an empty or null text, or one with a best share under `share` has the language
 "und"; so have all texts where no row is labelled, for then nothing is known. Every row has a result, null ids included.
@@ -31,6 +32,7 @@ PER_LANGUAGE = 300
 LEAST = 3
 SHARE = 0.3
 HASHES = 3
+PLANE = 64  #: languages of a plane
 _FOLD = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 
 
@@ -56,21 +58,26 @@ class LanguageFilter:
 
     def __init__(self, texts: dict[str, list[str]], least: int = LEAST, hashes: int = HASHES):
         self.names, self.hashes = sorted(texts), hashes
-        if len(self.names) > 64:
-            raise ValueError("at most 64 languages")
         sets = []
         for name in self.names:
             off, data = strings(pa.array(texts[name], pa.string()), lower=True)
             found = [grams(off, data, i, j)[0] for i, j in chunks(off)]
             g, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_counts=True)
             sets.append(g[n >= least])
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(self.names))
         self.size = power_of_two(16 * max([256, *map(len, sets)]))
-        self.slots = np.zeros(self.size, kind)
-        for bit, g in enumerate(sets):
-            for at in self._places(g):
-                self.slots[at] |= kind(1 << bit)
-        fill = np.array([np.mean(self.slots >> kind(b) & kind(1)) for b in range(len(self.names))])
+        self.planes = []
+        fill = []
+        for low in range(0, max(len(sets), 1), PLANE):
+            own = sets[low : low + PLANE]
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(own))
+            plane = np.zeros(self.size, kind)
+            for bit, g in enumerate(own):
+                for at in self._places(g):
+                    plane[at] |= kind(1 << bit)
+            fill += [np.mean(plane >> kind(b) & kind(1)) for b in range(len(own))]
+            self.planes.append(plane)
+        self.slots = self.planes[0]
+        fill = np.array(fill)
         self.false = fill**hashes
 
     def _places(self, g: np.ndarray) -> Iterator[np.ndarray]:
@@ -85,15 +92,16 @@ class LanguageFilter:
         best, score, total = [], [], []
         for i, j in chunks(off):
             g, first = grams(off, data, i, j)
-            mask = np.full(len(g), np.iinfo(self.slots.dtype).max, self.slots.dtype)
-            for at in self._places(g):
-                mask &= self.slots[at]
             n = np.diff(first)
             shares = np.zeros((len(self.names) + 1, j - i))
-            for b, p in enumerate(self.false):
-                hits = np.concatenate([[0], np.cumsum(mask >> mask.dtype.type(b) & mask.dtype.type(1), dtype=np.int64)])
-                hits = hits[first[1:]] - hits[first[:-1]]
-                shares[b] = np.maximum(hits - n * p, 0) / (1 - p + 1e-12) / np.maximum(n, 1)
+            for k, plane in enumerate(self.planes):
+                mask = np.full(len(g), np.iinfo(plane.dtype).max, plane.dtype)
+                for at in self._places(g):
+                    mask &= plane[at]
+                for b, p in enumerate(self.false[k * PLANE : (k + 1) * PLANE]):
+                    hits = np.concatenate([[0], np.cumsum(mask >> mask.dtype.type(b) & mask.dtype.type(1), dtype=np.int64)])
+                    hits = hits[first[1:]] - hits[first[:-1]]
+                    shares[k * PLANE + b] = np.maximum(hits - n * p, 0) / (1 - p + 1e-12) / np.maximum(n, 1)
             shares[-1] = 0
             top = np.argmax(shares, axis=0)
             value = shares[top, np.arange(j - i)]

@@ -57,3 +57,20 @@ def test_rows(messy, empty):
     unlabelled = messy.drop("lang").selectExpr("*", "cast(null as string) lang")
     assert langid.identified(unlabelled).count() == messy.count()
     assert {r["language"] for r in langid.languages(unlabelled, langid.fitted(unlabelled)).collect()} == {"und"}
+
+
+def test_more_languages_than_bits(spark, monkeypatch):
+    """150 labels; the same shares where planes are of another width."""
+    texts = {f"l{i:03}": [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}{chr(97 + i % 7)}xq" for j in range(20))] * 4 for i in range(150)}
+    column = pa.array([t[0] for t in texts.values()])
+    model = langid.LanguageFilter(texts)
+    name, share, _ = model.decide(column)
+    assert name == sorted(texts) and len(model.planes) == 3
+    monkeypatch.setattr(langid, "PLANE", 8)
+    again = langid.LanguageFilter(texts).decide(column)
+    assert again[0] == name and (again[1] == share).all()
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, t[0], x) for i, (x, t) in enumerate(texts.items())] * 4, "doc_id long, text string, lang string")
+    fit = langid.fitted(df)
+    assert {r["doc_id"]: r["language"] for r in langid.languages(df, fit).collect()} == dict(enumerate(texts))
+    assert langid.identified(df, fit).count() == 600
