@@ -205,10 +205,10 @@ def unpack_all(blobs) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts)] if parts else []
 
 
-def by_group(key: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(key, indexes in their order) of each key that occurs; keys are in 0..groups-1."""
+def by_group(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, indexes in their order) of each key that occurs."""
     order = np.argsort(key, kind="stable")
-    edge = np.searchsorted(key[order], np.arange(groups + 1))
-    for g in range(groups):
-        if edge[g] < edge[g + 1]:
-            yield g, order[edge[g] : edge[g + 1]]
+    own = key[order]
+    at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(own)]):
+        yield int(own[lo]), order[lo:hi]

@@ -1,29 +1,36 @@
-"""All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least `threshold`.
+"""Near duplicates: documents whose sets of word n-grams have a Jaccard similarity of at least `threshold`.
 
-Method: vertical partitioning. The global order of n-grams is cut into fragments; each fragment holds, of every document,
+Method: vertical partitioning. The global order of n-grams is cut into fragments; each fragment holds, of every set,
 the segment of its n-grams that falls there; overlaps are counted inside each fragment on its own and summed per pair.
 
-1. Map: a document's n-grams as a sorted set of hashes; packed segments go to the fragment of their hash range. A
-   document travels as the signature of its set, so documents with one and the same set are a single entity from here on.
-2. Fragment: the exact document frequency of each n-gram. Those of one entity only cannot add to any overlap and end here
-   (on most corpora the bulk); the rest go back to their document with their frequency (255 at most: it only orders).
-3. Document: in the order (frequency, hash) of all n-grams, two sets that reach the threshold share one of their first
-   |x| - ceil(t|x|) + 1. The unique ones fill these places first; where they fill them all, the document has no partner
+1. Map: a document's n-grams as a sorted set of hashes, and the set's signature of 64 bits. Documents with one and the same
+   set are a single entity from here on: (doc_id, signature) is written as a narrow table, and of each signature a batch
+   sends one set only, so a group of copies of any size costs a fragment as many sets as there are batches, and is counted
+   by Spark's own aggregation (combined before the shuffle). Packed segments go to the fragment of their hash range.
+2. Fragment: the exact number of entities of each n-gram. Those of one entity only cannot add to any overlap and end here
+   (on most corpora the bulk); the rest go back to their entity with their frequency (255 at most: it only orders).
+3. Entity: in the order (frequency, hash) of all n-grams, two sets that reach the threshold share one of their first
+   |x| - ceil(t|x|) + 1. The unique ones fill these places first; where they fill them all, the entity has no partner
    and ends here. The others send their segments out again, places inside that prefix being marked.
 4. Fragment: partial overlaps of all pairs that have an n-gram in both prefixes, and of all others where that costs little
-   more (rare n-grams, and those that are in a quarter of their documents' prefixes). What is left are frequent n-grams
+   more (rare n-grams, and those that are in a quarter of their entities' prefixes). What is left are frequent n-grams
    outside the prefix (boilerplate inside long documents): to pair them would cost the square of their frequency, so they
    are looked up only for pairs that the others found. Pairs of too different sizes are dropped.
 5. The partial overlaps are summed per pair, what was looked up is added where it can decide, and the sum is compared with
    the threshold.
 
-No step has a cap; a lossless shorthand keeps groups of thousands of equal sets linear: the lowest id stands for the set,
-is paired with each equal document (jaccard 1) and alone has the pairs with other sets.
+N-grams of more than HOT documents (a sample of documents names them; it steers only the way they take, never the result)
+do not go to the fragment of their hash, which they alone could overfill: they count as of the highest frequency, their
+postings are spread by entity, and only those inside a prefix meet.
+
+`classes` gives one row for each document: the lowest id of its connected group, and with how many other documents it is
+linked. Copies are not expanded into pairs. No step has a cap.
 
 Defined results: words are runs of letters, digits and non-ASCII characters of the lower-cased text; a text of fewer than
-`n` words has one n-gram of all its words; null ids, null texts and texts without words give no rows; rows that repeat id
-and text count once; an empty table gives an empty result; other columns are ignored. n-grams are compared by hashes of 40
-bits within a fragment of about 16 million, sets by signatures of 64 bits.
+`n` words has one n-gram of all its words; rows that repeat an id and a set count once, rows that repeat an id with
+another set are documents of their own; null ids give no rows; null texts and texts without words are classes of their own
+without links; an empty table gives an empty result; other columns are ignored. n-grams are compared by hashes of 40 bits
+within a fragment of about 16 million, sets by signatures of 64 bits.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import ALNUM, U64, Words, by_group, chunks, mix, pack, spans, strings, tidy, tidy_group, unpack
-from .common import checkpointed, power_of_two, stored, table, text_bytes
+from .common import checkpointed, power_of_two, stored, table
 
 GRAM = 5
 THRESHOLD = 0.5
@@ -47,6 +54,8 @@ RARE = 8
 PAIRS_AT_ONCE = 1_000_000
 GRAMS_AT_ONCE = 1_500_000
 BROADCAST_IDS = 2_000_000
+HOT = 4_000_000  #: documents of an n-gram from which its postings are spread by entity
+HOT_SAMPLE = 50_000  #: documents that are looked at to find such n-grams
 LOW = U64((1 << 40) - 1)
 BLOBS = pa.schema([("key", pa.int32()), ("blob", pa.binary())])
 
@@ -66,6 +75,28 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], many.astype(np.uint8 if not len(many) or many.max() < 256 else np.uint32)
 
 
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Where a value of sorted arrays differs from the one before."""
+    n = len(keys[0])
+    out = np.zeros(n, bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def _distinct(high: np.ndarray, low: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order; low has `bits` bits, high is less than `most`. One key of 64 bits where both fit."""
+    if bits + max(most - 1, 1).bit_length() <= 64:
+        key = np.sort(high.astype(U64) << U64(bits) | low) if bits < 64 else np.sort(low)
+        key = key[_new(key)]
+        return (key >> U64(bits) if bits < 64 else np.zeros(len(key), U64)).astype(np.int64), key & U64((1 << bits) - 1)
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    fresh = _new(high, low)
+    return high[fresh].astype(np.int64), low[fresh]
+
+
 def gram_sets(words: Words, n: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Row and n-gram hash, distinct, in order of both."""
     h, row = words.hashes(), words.row()
@@ -81,51 +112,90 @@ def gram_sets(words: Words, n: int, bits: int = 64) -> tuple[np.ndarray, np.ndar
             grams.append(spans(h, c, c)[at])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    r, g = np.concatenate(rows).astype(U64), np.concatenate(grams) >> U64(64 - bits)
-    key = np.sort(r << U64(bits) | g)  # bits + bits of the rows fit 64: chunks are small
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return (key >> U64(bits)).astype(np.int64), key & U64((1 << bits) - 1)
+    return _distinct(np.concatenate(rows), np.concatenate(grams) >> U64(64 - bits), bits, len(words.count))
+
+
+def _entities(batch: pa.RecordBatch, n: int, bits: int):
+    """Of each range of rows: row and n-gram of its sets; row, first index, size and signature of each set."""
+    off, data = strings(batch.column("text"), lower=True)
+    for i, j in chunks(off):
+        row, g = gram_sets(Words(off, data, i, j, ALNUM), n, bits)
+        at = np.flatnonzero(_new(row))
+        size = np.diff(np.append(at, len(row)))
+        sig = mix(np.add.reduceat(mix(g, 5), at) + size.astype(U64), 6) if len(at) else np.zeros(0, U64)
+        yield i, j, g, i + row[at], at, size, sig
+
+
+def _signatures(n: int, bits: int):
+    """(doc_id, sig) of every row; null for a text without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, _, row, _, _, sig in _entities(batch, n, bits):
+                own, none = np.zeros(j - i, U64), np.ones(j - i, bool)
+                own[row - i], none[row - i] = sig, False
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(own.view(np.int64), mask=none)], ["doc_id", "sig"])
+
+    return run
+
 
+def _sampled(n: int, bits: int):
+    """n-grams of a sample, and in how many of its documents each is."""
 
-def _segments(n: int, fragments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, g, *_ in _entities(batch, n, bits):
+                name, count = np.unique(g, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(count)], ["gram", "n"])
+
+    return run
+
+
+def hot_grams(docs: DataFrame, rows: int, n: int, bits: int, hot: int = HOT, sample: int = HOT_SAMPLE) -> np.ndarray:
+    """n-grams of about `hot` documents or more: 2 rows / hot of a document's size at most."""
+    if rows < hot:
+        return np.zeros(0, U64)
+    part = min(1.0, sample / rows)
+    seen = docs.select("text").sample(part, seed=11).mapInArrow(tidy(_sampled(n, bits)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    seen = seen.where(F.col("n") >= max(hot * part, min(hot, 16)))
+    return np.sort(np.array([r["gram"] for r in seen.select("gram").toLocalIterator()], np.int64).view(U64))
+
+
+def _segments(n: int, fragments: int, hot: np.ndarray):
+    """Segments by fragment; postings of hot n-grams, with their number in place of the hash, by entity behind the fragments."""
     bits = 40 + fragments.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            off, data = strings(batch.column("text"), lower=True)
-            rows, grams, docs, sizes, sigs = [], [], [], [], []
-            base = held = 0
-            for i, j in chunks(off):
-                row, g = gram_sets(Words(off, data, i, j, ALNUM), n, bits)
-                if not len(row):
-                    continue
+            held, parts = 0, []
+            for _, _, g, _, at, size, sig in _entities(batch, n, bits):
                 if held > GRAMS_AT_ONCE:
-                    yield sent(rows, grams, docs, sizes, sigs)
-                    rows, grams, docs, sizes, sigs = [], [], [], [], []
-                    base = held = 0
+                    yield sent(parts)
+                    held, parts = 0, []
                 held += len(g)
-                at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                size = np.diff(np.append(at, len(row)))
-                sigs.append(mix(np.add.reduceat(mix(g, 5), at) + size.astype(U64), 6))
-                docs.append(ids[i + row[at]])
-                sizes.append(size)
-                rows.append(np.repeat(np.arange(base, base + len(at)), size))
-                grams.append(g)
-                base += len(at)
-            if base:
-                yield sent(rows, grams, docs, sizes, sigs)
-
-    def sent(rows, grams, docs, sizes, sigs) -> pa.RecordBatch:
-        row, g, doc, size, sig = (np.concatenate(x) for x in (rows, grams, docs, sizes, sigs))
-        own = dict(by_group((sig & U64(fragments - 1)).astype(np.int64), fragments))
+                parts.append((g, size, sig))
+            if held:
+                yield sent(parts)
+
+    def sent(parts) -> pa.RecordBatch:
+        g, size, sig = (np.concatenate(x) for x in zip(*parts))
+        once = np.zeros(len(sig), bool)
+        once[np.unique(sig, return_index=True)[1]] = True  # copies are sent once
+        g, size, sig = g[np.repeat(once, size)], size[once], sig[once]
+        row = np.repeat(np.arange(len(sig)), size)
+        key = (g >> U64(40)).astype(np.int64)
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
+            is_hot = hot[place] == g
+            key = np.where(is_hot, fragments + (sig[row] & U64(fragments - 1)).astype(np.int64), key)
+            g = np.where(is_hot, place.astype(U64), g)
         none, out = np.zeros(0, np.int64), {"key": [], "blob": []}
-        segment = dict(by_group((g >> U64(40)).astype(np.int32), fragments))
+        own, segment = dict(by_group((sig & U64(fragments - 1)).astype(np.int64))), dict(by_group(key))
         for f in sorted(own.keys() | segment.keys()):
             at, mine = segment.get(f, none), own.get(f, none)
             there, many = _runs(row[at])
             out["key"].append(f)
-            out["blob"].append(pack(*_split(g[at]), many, sig[there], sig[mine], size[mine].astype(np.int32), doc[mine]))
+            out["blob"].append(pack(*_split(g[at]), many, sig[there], sig[mine], size[mine].astype(np.int32)))
         return pa.RecordBatch.from_pydict(out, BLOBS)
 
     return run
@@ -136,32 +206,30 @@ def _repeated(fragments: int):
     homes = fragments * PASSES
 
     def run(key, part):
-        f = key[0].as_py()
+        f = min(key[0].as_py(), fragments)
         found = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint8))]
         for k in range(PASSES):
             g, sig = [], []
             for blob in part.column("blob"):
                 low, high, many, there, *_ = unpack(blob.as_buffer())
-                use = high % PASSES == k
+                use = (low if f == fragments else high) % PASSES == k
                 g.append(_joined(low[use], high[use]))
                 sig.append(np.repeat(there, many)[use])
             g, sig = np.concatenate(g), np.concatenate(sig)
             names, index = np.unique(sig, return_inverse=True)
             del sig
-            pair = np.sort(g << U64(24) | index.astype(U64))
-            del g, index
-            pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]]
-            g = pair >> U64(24)
-            at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
+            g, index = _distinct(g, index.astype(U64), max(len(names), 1).bit_length(), 1 << 40)
+            at = np.flatnonzero(_new(g))
             df = np.diff(np.append(at, len(g)))
-            df = np.repeat(df, df)
+            df = np.repeat(df, df) if f < fragments else np.full(len(g), 255)
             more = df > 1
-            found.append((g[more], names[(pair[more] & U64((1 << 24) - 1)).astype(np.int64)], np.minimum(df[more], 255).astype(np.uint8)))
+            found.append((g[more].astype(U64), names[index[more].astype(np.int64)], np.minimum(df[more], 255).astype(np.uint8)))
         own = [np.concatenate(x) for x in zip(*(unpack(blob.as_buffer())[4:] for blob in part.column("blob")))]
+        at = np.unique(own[0], return_index=True)[1]
+        own = [x[at] for x in own]
         g, name, df = (np.concatenate(x) for x in zip(*found))
         none, keys, blobs = np.zeros(0, np.int64), [], []
-        posted = dict(by_group(_home(name, homes), homes))
-        named = dict(by_group(_home(own[0], homes), homes))
+        posted, named = dict(by_group(_home(name, homes))), dict(by_group(_home(own[0], homes)))
         for b in sorted(posted.keys() | named.keys()):
             at, mine = posted.get(b, none), named.get(b, none)
             at = at[np.argsort(name[at], kind="stable")]
@@ -188,15 +256,9 @@ def _survivors(fragments: int, threshold: float):
             sig.append(np.repeat(there, many))
             df.append(freq)
             own.append(mine)
-        name, size, doc = (np.concatenate(x) for x in zip(*own))
-        order = np.lexsort((doc, name))
-        name, size, doc = name[order], size[order], doc[order]
-        first = np.concatenate([[True], name[1:] != name[:-1]])
-        at = np.flatnonzero(first)
-        rep = np.repeat(doc[at], np.diff(np.append(at, len(doc))))
-        star = ~first & (doc != rep) & ~np.concatenate([[False], (doc[1:] == doc[:-1]) & (name[1:] == name[:-1])])
-        stars = rep[star], doc[star], size[star]
-        names, size, doc = name[at], size[at].astype(np.int64), doc[at]
+        name, size = (np.concatenate(x) for x in zip(*own))
+        names, at = np.unique(name, return_index=True)
+        size = size[at].astype(np.int64)
         g, sig, df = np.concatenate(g), np.concatenate(sig), np.concatenate(df)
         who = np.searchsorted(names, sig)
         room = np.bincount(who, minlength=len(names)) - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
@@ -204,17 +266,18 @@ def _survivors(fragments: int, threshold: float):
         g, who, df = g[live], who[live], df[live]
         order = np.lexsort((g, df, who))
         g, who = g[order], who[order]
-        at = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])[: len(who)])
+        at = np.flatnonzero(_new(who))
         place = np.arange(len(who)) - np.repeat(at, np.diff(np.append(at, len(who))))
         inside = (place < room[who]).astype(np.uint8)
-        none, keys, blobs = np.zeros(0, np.int64), [], []
-        segment = dict(by_group((g >> U64(40)).astype(np.int32), fragments))
-        starred = dict(by_group((mix(stars[1].astype(U64), 3) & U64(fragments - 1)).astype(np.int32), fragments))
-        for f in sorted(segment.keys() | starred.keys()):
-            at, s = segment.get(f, none), starred.get(f, none)
+        to = (g >> U64(40)).astype(np.int64)
+        hot = to == fragments  # inside the prefix to a group of the n-gram, else to one of the entity
+        number = (g & LOW).astype(np.int64)
+        to = np.where(hot, np.where(inside > 0, 2 * fragments + number, fragments + (names[who] & U64(fragments - 1)).astype(np.int64)), to)
+        keys, blobs = [], []
+        for f, at in by_group(to):
             there, many = _runs(who[at])
             keys.append(f)
-            blobs.append(pack(*_split(g[at]), many, np.packbits(inside[at]), names[there], doc[there], size[there].astype(np.int32), *(x[s] for x in stars)))
+            blobs.append(pack(*_split(g[at]), many, np.packbits(inside[at]), names[there], size[there].astype(np.int32)))
         return pa.table({"key": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
@@ -257,16 +320,19 @@ def _count_dense(sizes: np.ndarray, starts: np.ndarray, who: np.ndarray, n: int)
     return np.concatenate(keys), np.concatenate(counts)
 
 
-def _shared(g: np.ndarray, who: np.ndarray, mark: np.ndarray, n: int):
-    """Pairs of entities and counts of what they share, as _count gives them; (entity, number of n-gram, mark) to be looked up."""
+def _shared(g: np.ndarray, who: np.ndarray, mark: np.ndarray, n: int, spread: bool):
+    """Pairs of entities and counts of what they share, as _count gives them; (entity, n-gram, mark) to be looked up.
+
+    spread: others with these n-grams are elsewhere, so all that are here are looked up too.
+    """
     order = np.lexsort((who, g))
     g, who, mark = g[order], who[order], mark[order]
     _, start, many = np.unique(g, return_index=True, return_counts=True)
     marked = np.add.reduceat(mark.astype(np.int64), start) if len(start) else many
-    full = (marked > 0) & ((many <= RARE) | (4 * marked >= many))
+    full = (marked > 0) & ((many <= RARE) | (4 * marked >= many)) & (not spread)
     some = ~full & (marked > 1)
-    late = np.repeat(~full & (many > 1), many)
-    late = who[late], np.unique(g[late], return_inverse=True)[1], mark[late]
+    late = np.repeat(~full & ((many > 1) | spread), many)
+    late = who[late], g[late], mark[late]
     mark = mark & np.repeat(some, many)
     use = np.repeat(full & (many > 1), many) | mark
     _, start, many = np.unique(g[use], return_index=True, return_counts=True)
@@ -277,77 +343,80 @@ def _shared(g: np.ndarray, who: np.ndarray, mark: np.ndarray, n: int):
     return found, late
 
 
-def _overlaps(fragments: int, threshold: float):
+def _overlaps(fragments: int, threshold: float, hot: int):
     """Partial overlaps of a fragment, and the n-grams that are only to be looked up: twice their number, odd inside the prefix."""
 
     def run(key, part):
-        g, sig, mark, stars, table_ = [], [], [], [], []
+        g, sig, mark, table_ = [], [], [], []
         f = key[0].as_py()
         for blob in part.column("blob"):
-            low, high, many, inside, there, doc, size, *star = unpack(blob.as_buffer())
+            low, high, many, inside, there, size = unpack(blob.as_buffer())
             g.append(_joined(low, high))
             sig.append(np.repeat(np.arange(len(there), dtype=np.uint32), many))
             mark.append(np.unpackbits(inside, count=len(low)))
-            table_.append((there, doc, size))
-            stars.append(star)
-        name, doc, size = (np.concatenate(x) for x in zip(*table_))
+            table_.append((there, size))
+        name, size = (np.concatenate(x) for x in zip(*table_))
         names, at = np.unique(name, return_index=True)
-        seat = np.argsort(doc[at], kind="stable")  # entities numbered in order of their document
-        doc, size = doc[at][seat], size[at][seat].astype(np.int64)
-        number = np.empty(len(seat), np.int32)
-        number[seat] = np.arange(len(seat))
-        n = len(doc)
-        whose = [number[np.searchsorted(names, there)][s] for (there, *_), s in zip(table_, sig)]
+        size, n = size[at].astype(np.int64), len(names)
+        whose = [np.searchsorted(names, there).astype(np.int32)[s] for (there, _), s in zip(table_, sig)]
         g, who, mark = np.concatenate(g), np.concatenate(whose), np.concatenate(mark).astype(bool)
         del sig, whose
-        found, later, last = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [], 0
-        for k in range(PASSES):
-            use = np.flatnonzero(g >> U64(32) & U64(PASSES - 1) == k)
-            pairs, late = _shared(g[use], who[use].astype(np.int64), mark[use], n)
-            found += pairs
-            later.append((late[0], late[1] + last, late[2]))
-            last += int(late[1].max()) + 1 if len(late[1]) else 0
+        found, later, last = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))], 0
+        if f >= fragments:  # hot: only the marked ones meet, all are looked up
+            if f >= 2 * fragments:
+                found += _shared(g, who.astype(np.int64), mark, n, True)[0]
+            later.append((who, (g & LOW).astype(np.int64) * fragments, mark))
+        else:
+            for k in range(PASSES):
+                use = np.flatnonzero(g >> U64(32) & U64(PASSES - 1) == k)
+                pairs, late = _shared(g[use], who[use].astype(np.int64), mark[use], n, False)
+                found += pairs
+                seat = np.unique(late[1], return_inverse=True)[1]
+                later.append((late[0], (hot + last + seat) * fragments + f, late[2]))  # numbered within the fragment: short to send
+                last += int(seat.max()) + 1 if len(seat) else 0
         pair, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
         total = np.bincount(at, np.concatenate([x[1] for x in found]), len(pair)).astype(np.int64)
         a, b = pair // max(n, 1), pair % max(n, 1)
         near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
         a, b, total = a[near], b[near], total[near]
-        sa, sb, sn = (np.concatenate(x) for x in zip(*stars))
-        lone, seat, inside = (np.concatenate(x) for x in zip(*later))
-        gram = (seat * fragments + f) * 2 + inside  # numbered within the fragment: short to send
-        void, none = np.zeros(len(lone), np.int64), np.zeros(len(a) + len(sa), np.int64)
+        lone, number, inside = (np.concatenate(x) for x in zip(*later))
+        void, none, name = np.zeros(len(lone), np.int64), np.zeros(len(a), np.int64), names.view(np.int64)
         cat = lambda *v: pa.array(np.concatenate(v).astype(np.int64), pa.int64())
         return pa.table(
             {
-                "doc_a": cat(doc[a], sa, doc[lone]),
-                "doc_b": cat(doc[b], sb, void),
-                "size_a": cat(size[a], sn, size[lone]),
-                "size_b": cat(size[b], sn, void),
-                "n": cat(total, sn, void),
-                "gram": cat(none, gram),
+                "a": cat(name[a], name[lone]),
+                "b": cat(name[b], void),
+                "size_a": cat(size[a], size[lone]),
+                "size_b": cat(size[b], void),
+                "n": cat(total, void),
+                "gram": cat(none, number * 2 + inside),
             }
         )
 
     return run
 
 
-def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, overlap, jaccard) with doc_a < doc_b; see the module."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    fragments = power_of_two(max(8, text_bytes(docs) / 6 / POSTINGS_A_FRAGMENT))
+def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (doc_id, sig); (a, b, overlap, jaccard) of signatures of different sets that reach the threshold."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    total = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    fragments = power_of_two(max(8, (total["bytes"] or 0) / 6 / POSTINGS_A_FRAGMENT))
+    bits = 40 + fragments.bit_length() - 1
+    signed = stored(docs.mapInArrow(tidy(_signatures(n, bits)), "doc_id long, sig long").distinct(), "signatures")
+    frequent = hot_grams(docs, total["rows"], n, bits, hot)
     blobs = "key int, blob binary"
-    parts = docs.mapInArrow(tidy(_segments(n, fragments)), blobs).groupBy("key").applyInArrow(tidy_group(_repeated(fragments)), blobs)
+    parts = docs.mapInArrow(tidy(_segments(n, fragments, frequent)), blobs).groupBy("key").applyInArrow(tidy_group(_repeated(fragments)), blobs)
     parts = parts.groupBy("key").applyInArrow(tidy_group(_survivors(fragments, threshold)), blobs)
-    counted = "doc_a long, doc_b long, size_a long, size_b long, n long, gram long"
-    counted = stored(parts.groupBy("key").applyInArrow(tidy_group(_overlaps(fragments, threshold)), counted), "overlaps")
-    pairs = counted.where("n > 0 AND doc_a < doc_b").groupBy("doc_a", "doc_b", "size_a", "size_b").agg(F.sum("n").alias("overlap"))
-    late = counted.where("n = 0").select(F.col("doc_a").alias("id"), F.col("size_a").alias("size"), "gram")
+    counted = "a long, b long, size_a long, size_b long, n long, gram long"
+    counted = stored(parts.groupBy("key").applyInArrow(tidy_group(_overlaps(fragments, threshold, len(frequent))), counted), "overlaps")
+    pairs = counted.where("n > 0").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("overlap"))
+    late = counted.where("n = 0").select(F.col("a").alias("id"), F.col("size_a").alias("size"), "gram")
     short = (late.agg(F.max("gram")).first()[0] or 0) < 2**31
     late = late.withColumn("gram", F.col("gram").cast("int" if short else "long")).groupBy("id", "size")
 
     def beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
         for side in "ab":
-            pairs = pairs.join(of.withColumnsRenamed({c: {"id": "doc"}.get(c, c) + f"_{side}" for c in of.columns}), [f"doc_{side}", f"size_{side}"], "left")
+            pairs = pairs.join(of.withColumnsRenamed({c: side if c == "id" else f"{c}_{side}" for c in of.columns}), [side, f"size_{side}"], "left")
         return pairs
 
     def jaccard(overlap) -> F.Column:
@@ -355,13 +424,38 @@ def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD)
 
     # first how much the looked-up n-grams could add at most, then, where that decides, what they add
     pairs = beside(pairs, late.agg(F.count("*").alias("late"))).withColumn("most", F.least(F.coalesce("late_a", F.lit(0)), F.coalesce("late_b", F.lit(0))))
-    pairs = pairs.where(jaccard(F.col("overlap") + F.col("most")) >= threshold).select("doc_a", "doc_b", "size_a", "size_b", "overlap", "most")
+    pairs = pairs.where(jaccard(F.col("overlap") + F.col("most")) >= threshold).select("a", "b", "size_a", "size_b", "overlap", "most")
     open_ = beside(pairs.where("most > 0"), late.agg(F.collect_list("gram").alias("grams")))
     grams = lambda side: F.transform(f"grams_{side}", lambda x: F.shiftright(x, 1))
-    marked = lambda side: F.filter(f"grams_{side}", lambda x: x % 2 == 1)
+    marked = lambda side: F.transform(F.filter(f"grams_{side}", lambda x: x % 2 == 1), lambda x: F.shiftright(x, 1))
     more = F.size(F.array_intersect(grams("a"), grams("b"))) - F.size(F.array_intersect(marked("a"), marked("b")))
     both = pairs.where("most = 0").unionByName(open_.withColumn("overlap", F.col("overlap") + more).select(*pairs.columns))
-    return both.select("doc_a", "doc_b", "overlap", jaccard(F.col("overlap")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return signed, both.select("a", "b", "overlap", jaccard(F.col("overlap")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """(doc_a, doc_b, overlap, jaccard), doc_a < doc_b: pairs of different sets, each by the lowest id that has it."""
+    signed, pairs = _similar_sets(docs, n, threshold, hot)
+    lowest = signed.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc"))
+    for side in "ab":
+        pairs = pairs.join(lowest.select(F.col("sig").alias(side), F.col("doc").alias(f"doc_{side}")), side)
+    return pairs.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "overlap", "jaccard")
+
+
+def classes(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """(doc_id, class_id, links) of each document: the lowest id of its connected group, and how many others it is linked with."""
+    signed, pairs = _similar_sets(docs, n, threshold, hot)
+    pairs = checkpointed(pairs.select("a", "b"))
+    sets = signed.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("copies"))
+    roots = components(pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))).withColumnRenamed("doc_id", "sig")
+    roots = roots.unionByName(roots.select(F.col("root").alias("sig"), "root").distinct())
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    copied = sets.where("copies > 1").select(F.col("sig").alias("b"), "copies")
+    linked = both.join(copied, "b", "left").groupBy(F.col("a").alias("sig")).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("linked"))
+    known = sets.join(roots, "sig", "left").join(linked, "sig", "left").where("root IS NOT NULL OR copies > 1")
+    lowest = known.where("root IS NOT NULL").groupBy("root").agg(F.min("lowest").alias("first"))
+    known = known.join(lowest, "root", "left").select("sig", F.coalesce("first", "lowest").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return signed.join(known, "sig", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -394,14 +488,14 @@ def without_copies(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD)
     if not twice.isEmpty():
         single = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         docs = checkpointed(docs.join(twice, "doc_id", "left_anti").unionByName(single))
-    gone = components(similar_pairs(docs, n, threshold)).select("doc_id")
+    gone = checkpointed(classes(docs, n, threshold).where("doc_id <> class_id").select("doc_id"))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return similar_pairs(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"))
 
 
 PAIRS_SQL = rf"""
@@ -414,8 +508,12 @@ reps AS (SELECT grams, min(doc_id) AS doc_id, len(grams) AS size FROM sets GROUP
 posts AS (SELECT doc_id, size, unnest(grams) AS gram FROM reps),
 counted AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS n
             FROM posts a JOIN posts b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
-pairs AS (SELECT doc_a, doc_b, n AS overlap, n / (sa + sb - n) AS jaccard FROM counted WHERE n / (sa + sb - n) >= {THRESHOLD}
-          UNION ALL
-          SELECT r.doc_id, s.doc_id, r.size, 1.0 FROM sets s JOIN reps r ON s.grams = r.grams AND s.doc_id <> r.doc_id)
+pairs AS (SELECT doc_a, doc_b FROM counted WHERE n / (sa + sb - n) >= {THRESHOLD}),
+members AS (SELECT s.doc_id, r.doc_id AS rep, count(*) OVER (PARTITION BY r.doc_id) AS copies FROM sets s JOIN reps r ON s.grams = r.grams),
+links AS (SELECT doc_a AS u, doc_b AS v FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM reps UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+roots AS (SELECT u, min(v) AS root FROM reach GROUP BY u),
+linked AS (SELECT u, sum(copies) AS n FROM links JOIN (SELECT DISTINCT rep, copies FROM members) ON v = rep GROUP BY u)
 """
-SQL = f"WITH {PAIRS_SQL} SELECT doc_a, doc_b, CAST(overlap AS BIGINT) AS overlap, CAST(jaccard AS DOUBLE) AS jaccard FROM pairs"
+SQL = f"""WITH RECURSIVE {PAIRS_SQL} SELECT d.doc_id, coalesce(root, d.doc_id) AS class_id, CAST(coalesce(copies - 1 + coalesce(n, 0), 0) AS BIGINT) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN members m USING (doc_id) LEFT JOIN roots ON roots.u = rep LEFT JOIN linked ON linked.u = rep"""

@@ -72,7 +72,7 @@ def _sketch(window: int, anchor: int, cells: int):
         out: dict[str, list] = {"row": [], "block": [], "once": [], "more": []}
         for row in range(2):
             cell, count = np.unique(_cell(anchors, row, cells), return_counts=True)
-            for b, at in by_group(cell // block, cells // block):
+            for b, at in by_group(cell // block):
                 low, n = (cell[at] % block).astype(np.uint32), count[at]
                 for k, v in (("row", row), ("block", b), ("once", low[n == 1].tobytes()), ("more", low[n > 1].tobytes())):
                     out[k].append(v)
@@ -143,12 +143,12 @@ def _candidates(window: int, anchor: int, groups: int, cells: int, maps):
             keep, rest = order[start], order[~first]
             rest = rest[np.lexsort((pos[rest], doc[rest]))]
             at, length = _runs(doc[rest], pos[rest])
-            tail = by_group(np.arange(len(at)) % groups, groups)
+            tail = by_group(np.arange(len(at)) % groups)
             gone = {g: (doc[rest][at[x]], pos[rest][at[x]], length[x]) for g, x in tail}
             out = {"group": [], "blob": []}
             seat = np.lexsort((pos[keep], doc[keep]))
             keep, more = keep[seat], more[seat]
-            kept = dict(by_group(group[keep], groups))
+            kept = dict(by_group(group[keep]))
             none = (np.zeros(0, ids.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32))
             for g in sorted(kept.keys() | gone.keys()):
                 x = kept.get(g, np.zeros(0, np.int64))

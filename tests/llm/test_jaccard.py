@@ -2,9 +2,11 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.conftest import DATA
 from tessera.llm import jaccard, queries
+from tessera.llm.buffers import ALNUM, Words, strings
 
 
 def grams(text, n):
@@ -12,25 +14,56 @@ def grams(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
+def sets_of(rows, n):
+    """Ids of each distinct set, in order; ids of documents without one."""
+    sets, bare = {}, set()
+    for d, t in {(d, t) for d, t in rows if d is not None}:
+        if g := grams(t or "", n):
+            sets.setdefault(g, set()).add(d)
+        else:
+            bare.add(d)
+    return {g: sorted(ids) for g, ids in sets.items()}, bare
+
+
 def brute(rows, n, threshold):
-    """All pairs; of documents with one and the same set only the lowest id pairs with other sets."""
-    sets = {}
-    for d, t in {(d, t) for d, t in rows if d is not None and t is not None}:
-        if g := grams(t, n):
-            sets.setdefault(g, []).append(d)
+    """Pairs of different sets, each by the lowest id that has it."""
     out = set()
-    for g, ids in sets.items():
-        ids.sort()
-        out |= {(ids[0], d, len(g), 1.0) for d in set(ids[1:]) - {ids[0]}}
-    for (g, a), (h, b) in combinations([(g, ids[0]) for g, ids in sets.items()], 2):
+    for (g, a), (h, b) in combinations([(g, ids[0]) for g, ids in sets_of(rows, n)[0].items()], 2):
         both = len(g & h)
-        if a != b and both / len(g | h) >= threshold:
+        if both / len(g | h) >= threshold:
             out.add((min(a, b), max(a, b), both, round(both / len(g | h), 9)))
     return out
 
 
-def found(df, n, threshold):
-    return {(r["doc_a"], r["doc_b"], r["overlap"], round(r["jaccard"], 9)) for r in jaccard.similar_pairs(df, n, threshold).collect()}
+def brute_classes(rows, n, threshold):
+    """(doc_id, class_id, links) from every two documents, sets that are equal included."""
+    sets, bare = sets_of(rows, n)
+    docs = [(d, g) for g, ids in sets.items() for d in ids]
+    near = {(g, h): len(g & h) / len(g | h) >= threshold for g in sets for h in sets}
+    root = list(range(len(docs)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(docs)), 2):
+        if near[docs[i][1], docs[j][1]]:
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    lowest = {}
+    for i, (d, _) in enumerate(docs):
+        lowest[top(i)] = min(d, lowest.get(top(i), d))
+    out = [(d, lowest[top(i)], sum(near[g, h] for _, h in docs) - 1) for i, (d, g) in enumerate(docs)]
+    return sorted(out + [(d, d, 0) for d in bare])
+
+
+def found(df, n, threshold, **kw):
+    return {(r["doc_a"], r["doc_b"], r["overlap"], round(r["jaccard"], 9)) for r in jaccard.similar_pairs(df, n, threshold, **kw).collect()}
+
+
+def found_classes(df, n, threshold, **kw):
+    return sorted(tuple(r) for r in jaccard.classes(df, n, threshold, **kw).select("doc_id", "class_id", "links").collect())
 
 
 def groups(pairs):
@@ -47,7 +80,7 @@ def groups(pairs):
     return {x: top(x) for x in root}
 
 
-@pytest.mark.parametrize("n,threshold", [(1, 0.5), (2, 0.3), (3, 0.5), (2, 0.8)])
+@pytest.mark.parametrize("n,threshold", [(1, 0.5), (2, 0.3), (2, 0.8)])
 def test_small_texts_as_brute_force(spark, n, threshold):
     rng = np.random.default_rng(n)
     rows = [(int(i), " ".join(rng.choice(list("abcdefgh"), rng.integers(0, 14)))) for i in range(150)]
@@ -57,11 +90,39 @@ def test_small_texts_as_brute_force(spark, n, threshold):
     rows += [(2000 + i, "many copies of this text") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert found(df, n, threshold) == brute(rows, n, threshold)
+    assert found_classes(df, n, threshold) == brute_classes(rows, n, threshold)
+    if threshold < 0.5:  # n-grams of so many documents take the way of hot ones
+        assert found(df, n, threshold, hot=8) == brute(rows, n, threshold)
+
+
+def test_a_third_of_all_rows_are_copies_and_a_third_shares_a_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, "the same text again and again and again") for i in range(300)]
+    rows += [(1000 + i, passage + " " + " ".join(f"x{i}y{j}" for j in range(8 + i % 60))) for i in range(120)]
+    rows += [(3000 + i, " ".join(f"q{i}r{j}" for j in range(20))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (jaccard.HOT, 50):
+        assert found_classes(df, 5, 0.5, hot=hot) == brute_classes(rows, 5, 0.5)
+
+
+def test_many_short_texts_in_a_chunk():
+    """10,000 rows with n-grams of 60 bits: rows and n-grams don't fit 64 bits together."""
+    texts = [f"a{i} b{i % 7}" for i in range(10_000)]
+    off, data = strings(pa.array(texts))
+    for bits in (60, 64, 50):
+        row, g = jaccard.gram_sets(Words(off, data, 0, len(texts), ALNUM), 1, bits)
+        assert np.bincount(row, minlength=len(texts)).tolist() == [2] * len(texts)
+        assert len(np.unique(g)) == 10_007 and (np.diff(row) >= 0).all()
+    high, low = np.array([5, 1, 5, 1 << 33]), np.array([3, 2, 3, 1 << 29], np.uint64)
+    for bits in (30, 31):  # together they fit 64 bits, or don't
+        a, b = jaccard._distinct(high, low, bits, 1 << 34)
+        assert list(zip(a.tolist(), b.tolist())) == [(1, 2), (5, 3), (1 << 33, 1 << 29)]
 
 
 def test_messy_rows_as_brute_force(messy):
-    rows = [(r["doc_id"], r["text"]) for r in messy.where("doc_id <> 5").collect()]
-    assert found(messy.where("doc_id <> 5"), 5, 0.5) == brute(rows, 5, 0.5)
+    rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
+    assert found(messy, 5, 0.5) == brute(rows, 5, 0.5)
+    assert found_classes(messy, 5, 0.5) == brute_classes(rows, 5, 0.5)
 
 
 def test_sql(same):
@@ -83,13 +144,12 @@ def test_one_document_of_each_group_stays(messy):
     out = jaccard.without_copies(messy, 5, 0.5)
     assert out.columns == messy.columns
     kept = [r["doc_id"] for r in out.collect()]
-    pairs = brute([(r["doc_id"], r["text"]) for r in rows if r["doc_id"] != 5], 5, 0.5)
-    gone = {k for k, v in groups(pairs).items() if k != v}
+    gone = {d for d, c, _ in brute_classes([(r["doc_id"], r["text"]) for r in rows if r["doc_id"] != 5], 5, 0.5) if d != c}
     assert {6, 14} >= gone - {7, 8} and 13 in kept and 14 not in kept
     assert len([x for x in kept if x is not None]) == len({x for x in kept if x is not None})
     assert kept.count(None) == 2 and {0, 1, 2} <= set(kept)
 
 
 def test_empty_table(empty):
-    assert jaccard.similar_pairs(empty).count() == 0
+    assert jaccard.similar_pairs(empty).count() == 0 and jaccard.classes(empty).count() == 0
     assert jaccard.without_copies(empty).count() == 0

@@ -45,8 +45,7 @@ def brute(docs):
     yield rows
     rows = [r for r in rows if test_quality.brute(r["text"])]
     yield rows
-    pairs = test_jaccard.brute([(r["doc_id"], r["text"]) for r in rows], 5, 0.5)
-    root = test_jaccard.groups(pairs)
+    root = {d: c for d, c, _ in test_jaccard.brute_classes([(r["doc_id"], r["text"]) for r in rows], 5, 0.5)}
     rows = [r for r in rows if root.get(r["doc_id"], r["doc_id"]) == r["doc_id"]]
     yield rows
     yield without_repeats(rows)
