@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import zipfile
 from pathlib import Path
 
@@ -38,3 +39,22 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT.parent))
     context.addPyFile(str(name))
     context._tessera_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: what the session names in spark.checkpoint.dir; on one machine a new one where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context = spark.sparkContext
+        if not hasattr(context, "_tessera_folder"):
+            context._tessera_folder = tempfile.mkdtemp(prefix="tessera-")
+        named = context._tessera_folder
+    return named.rstrip("/")
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
