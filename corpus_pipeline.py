@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, langid, packing, quality, substring
-from tessera.llm.common import stored
+from tessera.llm.common import folder, stored_at
+from tessera.session import deleted
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +46,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; between stages the documents are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on `documents`; between stages the documents are written to the shared folder and read again.
+
+    A stage's table goes when the next one is written; that of the last but one stays, for the result is read from it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, name)
+            path = folder(spark, name)
+            docs = stored_at(docs, path)
+            if before:
+                deleted(spark, before)
+            before = path
     return docs

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +21,10 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the folder that the session names; in tests one is made."""
+    """Cuts lineage by a reliable checkpoint in the folder that the session names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -44,8 +42,14 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stored-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return stored_at(df, folder(df.sparkSession, name))
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
