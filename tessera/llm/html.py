@@ -2,13 +2,13 @@
 
 Method: a page is read as the sequence of its leaves: runs of text between the borders of block elements (inline elements
 do not cut a run; comments, scripts and styles are no text). A leaf's input is the vector of its tag path (each open
-element's name, and name with each of its classes and id, the DEPTH innermost ones, hashed into PATH buckets) beside the vector of its words (hashed
-into WORDS buckets, divided by the root of their number). A bidirectional LSTM in numpy reads the whole sequence in both
+element's name, and name with each of its classes and id, hashed into PATH buckets; however deep it lies, for an element adds its
+own to what its parent has) beside the vector of its words (hashed into WORDS buckets, divided by the root of their number). A bidirectional LSTM in numpy reads the whole sequence in both
 directions, so every leaf is classified in the context of the whole document. Pages of one batch run together, ordered by
 length, and no page is cut, however many leaves it has.
 
 The network is trained on the driver with Adam and full back-propagation through time on a bounded sample: at most
-`train_pages` pages (those of the least hash of the id, of at most TRAIN_CHARS characters each) and `made_pages` invented
+`train_pages` pages (those of the least hash of the id, of at most `train_chars` characters each) and `made_pages` invented
 ones with layouts of many kinds. The labels of sampled leaves come from the page's own markup (article and main against
 nav, footer, aside, header, form and classes such as ad or menu; leaves without such a hint don't count); each sampled page
 is also shown with those hints taken away, so that words, remaining tags and context must do. What is broadcast is the
@@ -44,16 +44,11 @@ PATH, WORDS, HIDDEN = 64, 64, 24
 EPOCHS = 14
 PAGES_AT_ONCE = 512
 LIMIT = 0.5
-DEPTH = 32  #: so many of the innermost open elements are a leaf's tag path
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|title)\b[^>]*+>(.*?)(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>",
-    re.IGNORECASE | re.DOTALL,
-)
+QUOTED_SCANS = 8  #: so often a page is read to its end for the end of a tag whose quotes don't match; later ones end at the next >
+
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
+_QUOTED = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_RAW = {x: re.compile(rf"</{x}\s*+>", re.IGNORECASE) for x in ("script", "style", "noscript", "template", "svg", "iframe", "title")}
 _MARKS = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i img ins kbd mark q s samp small span strong sub sup time tt u var wbr del label".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,21 +60,120 @@ _AGAINST = frozenset("nav footer aside header form button select".split())
 _HINTS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs cookie copyright footer menu nav navbar navigation promo related share sidebar social widget".split())
 
 
-@lru_cache(maxsize=4096)
-def _tokens(name: str, attributes: str) -> tuple[str, ...]:
-    out = [name]
-    for _, value in _MARKS.findall(attributes):
-        out += [f"{name}.{x}" for x in value.strip("\"'").lower().split()]
-    return tuple(out)
+@lru_cache(maxsize=65536)
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % PATH
 
 
-def leaves(html: str) -> tuple[str | None, list[tuple[tuple[str, ...], str]]]:
-    """Title, and (tag path, text) of each leaf."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[tuple[tuple[str, ...], str]] = []
+def _read(name: str, attributes: str) -> tuple[tuple[str, ...], bool]:
+    """Tokens of an element, and whether its classes or id say that it is no content."""
+    out, hinted = [name], False
+    for _, value in _MARKS.findall(attributes):
+        for x in value.strip("\"'").lower().split():
+            out.append(f"{name}.{x}")
+            hinted |= not _HINTS.isdisjoint(re.split(r"[-_.]", x))
+    return tuple(out), hinted
+
+
+_read_short = lru_cache(maxsize=4096)(_read)
+
+
+class Element:
+    """An open element; what it has with all it lies in is counted once, on demand."""
+
+    __slots__ = ("parent", "name", "tokens", "label", "_counts", "_plain")
+
+    def __init__(self, parent: Element | None, name: str, attributes: str):
+        self.parent, self.name, self._counts, self._plain = parent, name, None, None
+        if parent is None:
+            self.tokens, self.label = (), -1
+            self._counts = self._plain = np.zeros(PATH, np.float32)
+            return
+        self.tokens, hinted = (_read_short if len(attributes) < 200 else _read)(name, attributes)
+        #: 1 content, 0 not, -1 unknown, from the markup alone
+        self.label = 0 if not parent.label or hinted or name in _AGAINST else 1 if parent.label == 1 or name in ("article", "main") else -1
+
+    def counts(self, plain: bool = False) -> np.ndarray:
+        """Tokens of the path by bucket; plain: without what labels are made from."""
+        slot, chain, at = "_plain" if plain else "_counts", [], self
+        while getattr(at, slot) is None:
+            chain.append(at)
+            at = at.parent
+        sums = getattr(at, slot)
+        for e in reversed(chain):
+            sums = sums.copy()
+            for t in ("div" if e.name in _SEMANTIC else e.name,) if plain else e.tokens:
+                sums[_bucket(t)] += 1
+            setattr(e, slot, sums)
+        return sums
+
+    def path(self) -> tuple[str, ...]:
+        """All tokens, outermost element first."""
+        chain, at = [], self
+        while at is not None:
+            chain.append(at.tokens)
+            at = at.parent
+        return tuple(t for own in reversed(chain) for t in own)
+
+
+class _Open:
+    """The open elements, with how many of each name there are: at all, in the innermost run of inline elements, and behind
+    the innermost fence. So an end tag that ends nothing costs nothing, however many elements are open."""
+
+    def __init__(self):
+        self.stack = [Element(None, "", "")]
+        self.all: dict[str, int] = {}
+        self.runs: list[dict[str, int]] = [{}]
+        self.fences: list[dict[str, int]] = [{}]
+
+    def push(self, name: str, attributes: str) -> None:
+        self.stack.append(Element(self.stack[-1], name, attributes))
+        self.all[name] = self.all.get(name, 0) + 1
+        if name in _INLINE:
+            self.runs[-1][name] = self.runs[-1].get(name, 0) + 1
+        else:
+            self.runs.append({})
+        if name in _FENCE:
+            self.fences.append({})
+        else:
+            self.fences[-1][name] = self.fences[-1].get(name, 0) + 1
+
+    def pop(self) -> str:
+        name = self.stack.pop().name
+        self.all[name] -= 1
+        if name in _INLINE:
+            self.runs[-1][name] -= 1
+        else:
+            self.runs.pop()
+        if name in _FENCE:
+            self.fences.pop()
+        else:
+            self.fences[-1][name] -= 1
+        return name
+
+    def end(self, name: str) -> None:
+        """Closes the innermost element of this name; an inline one is sought among the inline ones behind the last block."""
+        if (self.runs[-1] if name in _INLINE else self.all).get(name):
+            while self.pop() != name:
+                pass
+
+    def begin(self, name: str) -> None:
+        """Closes what the start of a block ends."""
+        while len(self.stack) > 1 and (self.stack[-1].name in _INLINE or self.stack[-1].name == "p"):
+            self.pop()
+        group = _ENDS.get(name, ())
+        if any(self.fences[-1].get(x) for x in group):
+            while self.pop() not in group:
+                pass
+
+
+def leaves(html: str) -> tuple[str | None, list[tuple[Element, str]]]:
+    """Title, and (innermost element, text) of each leaf; one pass, linear in the length of the page."""
+    opened = _Open()
+    out: list[tuple[Element, str]] = []
     held: list[str] = []
-    path: tuple[str, ...] = ()
-    title, at = None, 0
+    place = opened.stack[0]
+    title, at, seek, last, scans = None, 0, 0, html.rfind(">"), QUOTED_SCANS
 
     def cut() -> None:
         if held:
@@ -87,75 +181,78 @@ def leaves(html: str) -> tuple[str | None, list[tuple[tuple[str, ...], str]]]:
             text = " ".join((unescape(text) if "&" in text else text).split())
             held.clear()
             if text:
-                out.append((path, text))
-
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
+                out.append((place, text))
+
+    while (begin := html.find("<", seek)) >= 0:
+        seek = begin + 1
+        name = attributes = ""
+        closing = False
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            end = len(html) if end < 0 else end + 3
+        elif begin > last:
+            if html.find("<!--", begin) < 0:
+                break
+            continue
+        elif html.startswith(("<!", "<?"), begin):
+            end = html.find(">", begin) + 1
+        elif m := _NAME.match(html, begin):
+            name, closing = m[1].lower(), html[begin + 1] == "/"
+            raw = not closing and name in _RAW
+            quoted = None if raw or not scans else _QUOTED.match(html, m.end())
+            if quoted:
+                attributes, end = quoted[1], quoted.end()
+            else:
+                scans -= not raw and scans > 0
+                end = html.find(">", begin) + 1
+                attributes = html[m.end() : end - 1]
+        else:
+            continue
+        if begin > at:
+            piece = html[at:begin]
             if held:
                 held.append(piece)
             elif not piece.isspace():
-                path = tuple(x for _, t in stack[-DEPTH:] for x in t)
+                place = opened.stack[-1]
                 held.append(piece)
-        at = m.end()
-        if m[1]:
-            if title is None and m[1].lower() == "title" and not stack[2:]:
-                title = " ".join(unescape(m[2]).split())
-            continue
-        name = m[4] or m[7]
+        at = seek = end
         if not name:
             continue
-        name = name.lower()
+        if not closing and name in _RAW:
+            stop = _RAW[name].search(html, end)
+            if title is None and name == "title" and len(opened.stack) <= 3:
+                title = " ".join(unescape(html[end : stop.start() if stop else len(html)]).split())
+            at = seek = stop.end() if stop else len(html)
+            continue
         inline = name in _INLINE
         if not inline:
             cut()
-        if m[3] or m[6]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if inline and stack[k][0] not in _INLINE:
-                    break
+        if closing:
+            opened.end(name)
             continue
         if name in _VOID:
             continue
-        attributes = m[5] if m[4] else m[8]
         if not inline:
-            while stack and (stack[-1][0] in _INLINE or stack[-1][0] == "p"):
-                stack.pop()
-            group = _ENDS.get(name)
-            if group:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in group:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in _FENCE:
-                        break
+            opened.begin(name)
         if not attributes.endswith("/"):
-            stack.append((name, _tokens(name, attributes)))
+            opened.push(name, attributes)
     if at < len(html):
         if not held:
-            path = tuple(x for _, t in stack[-DEPTH:] for x in t)
+            place = opened.stack[-1]
         held.append(html[at:])
     cut()
     return title, out
 
 
-@lru_cache(maxsize=65536)
-def _bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) % PATH
-
-
-def features(paths: list[tuple[str, ...]], texts: list[str]) -> np.ndarray:
+def features(found: list[tuple[Element, str]], plain: bool = False) -> np.ndarray:
     """One row of PATH + WORDS numbers for each leaf."""
-    n = len(paths)
+    n = len(found)
     out = np.zeros((n, PATH + WORDS), np.float32)
     if not n:
         return out
-    size = np.array([len(p) for p in paths], np.int64)
-    flat = np.fromiter((_bucket(t) for p in paths for t in p), np.int64, int(size.sum()))
-    out[:, :PATH] = np.bincount(np.repeat(np.arange(n), size) * PATH + flat, minlength=n * PATH).reshape(n, PATH)
-    off, data = strings(pa.array(texts, pa.large_string()))
+    for k, (place, _) in enumerate(found):
+        out[k, :PATH] = place.counts(plain)
+    off, data = strings(pa.array([t for _, t in found], pa.large_string()))
     for i, j in chunks(off):
         words = Words(off, data, i, j)
         where = words.row() * WORDS + (words.hashes(11) % U64(WORDS)).astype(np.int64)
@@ -286,20 +383,6 @@ class Labeller:
         return self
 
 
-def weak_label(path: tuple[str, ...]) -> int:
-    """1 content, 0 not, -1 unknown, from the markup alone."""
-    names = {x for x in path if "." not in x}
-    hints = {x for p in path if "." in p for x in re.split(r"[-_.]", p.partition(".")[2])}
-    if names & _AGAINST or hints & _HINTS:
-        return 0
-    return 1 if names & {"article", "main"} else -1
-
-
-def _plain(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path without what weak labels are made from."""
-    return tuple("div" if x in _SEMANTIC else x for x in path if "." not in x)
-
-
 def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     """An invented page and the labels of its leaves."""
     syllables = "ka lo mi ter en ung tion er an the qu es ar vel dro pas li no".split()
@@ -356,24 +439,22 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     return f"<html><head><title>{words(2, 6)}</title></head><body>{''.join(parts)}</body></html>", labels
 
 
-def trained(pages: DataFrame | None, train_pages: int = TRAIN_PAGES, made_pages: int = MADE_PAGES) -> Labeller:
-    """A network fitted on at most `train_pages` pages and `made_pages` invented ones."""
+def trained(pages: DataFrame | None, train_pages: int = TRAIN_PAGES, made_pages: int = MADE_PAGES, train_chars: int = TRAIN_CHARS) -> Labeller:
+    """A network fitted on at most `train_pages` pages, each of at most `train_chars` characters, and `made_pages` invented ones."""
     data = []
     rng = np.random.default_rng(3)
     for _ in range(made_pages):
         html, labels = made_page(rng)
         _, found = leaves(html)
-        paths, texts = [p for p, _ in found], [t for _, t in found]
-        data.append((features(paths, texts), np.array(labels, np.float32)))
+        data.append((features(found), np.array(labels, np.float32)))
     if pages is not None:
-        usable = pages.where("page_id IS NOT NULL AND html IS NOT NULL").where(F.length("html") <= TRAIN_CHARS)
+        usable = pages.where("page_id IS NOT NULL AND html IS NOT NULL").where(F.length("html") <= train_chars)
         ids = [r[0] for r in usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()]
         chosen = usable.where(F.col("page_id").isin(ids)).dropDuplicates(["page_id"]).select("html") if ids else usable.limit(0)
         for row in chosen.collect():
             _, found = leaves(row["html"])
-            paths, texts = [p for p, _ in found], [t for _, t in found]
-            y = np.array([weak_label(p) for p in paths], np.float32)
-            data += [(features(paths, texts), y), (features([_plain(p) for p in paths], texts), y)]
+            y = np.array([place.label for place, _ in found], np.float32)
+            data += [(features(found), y), (features(found, plain=True), y)]
     return Labeller().fit(data)
 
 
@@ -384,7 +465,7 @@ def labelled(htmls: list[str | None], model: Labeller) -> list[tuple[str | None,
         found = [leaves(h or "") for h in htmls[k : k + PAGES_AT_ONCE]]
         flat = [x for _, own in found for x in own]
         size = np.array([len(own) for _, own in found], np.int64)
-        score = model.scores(features([p for p, _ in flat], [t for _, t in flat]), size[size > 0]).tolist()
+        score = model.scores(features(flat), size[size > 0]).tolist()
         at = 0
         for title, own in found:
             out.append((title, list(zip((t for _, t in own), score[at : at + len(own)]))))

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -18,9 +20,8 @@ def test_held_out_accuracy(model):
         right = total = 0
         for page in pages:
             _, found = H.leaves(page)
-            paths = [H._plain(p) if plain else p for p, _ in found]
-            score = model.scores(H.features(paths, [t for _, t in found]), np.array([len(found)]))
-            right += ((score >= 0.5) == [H.weak_label(p) == 1 for p, _ in found]).sum()
+            score = model.scores(H.features(found, plain), np.array([len(found)]))
+            right += ((score >= 0.5) == [p.label == 1 for p, _ in found]).sum()
             total += len(found)
         assert right / total > 0.97
     right = total = 0
@@ -37,7 +38,7 @@ def test_batches_as_single_steps(model):
     sig = lambda z: 1 / (1 + np.exp(-z))
     for page, (_, own) in zip(pages, H.labelled(pages, model)):
         _, found = H.leaves(page)
-        x = H.features([p for p, _ in found], [t for _, t in found]).astype(float)
+        x = H.features(found).astype(float)
         logit, n = np.full(len(x), float(model.p["b"][0])), model.hidden
         for k, side in enumerate("ab"):
             h, c = np.zeros(n), np.zeros(n)
@@ -70,7 +71,7 @@ def test_leaves():
     title, found = H.leaves('<TITLE> a &amp; b </TITLE><p>one<p>two <b>bold</b> end<br>next<ul><li>x<li class="y z">q</ul><script>"</p>"</script><!-- <p>no --><div id=m>t</div></p>tail &lt;')
     assert title == "a & b"
     assert [t for _, t in found] == ["one", "two bold end", "next", "x", "q", "t", "tail <"]
-    assert found[4][0] == ("ul", "li", "li.y", "li.z") and found[5][0][-2:] == ("div", "div.m")
+    assert found[4][0].path() == ("ul", "li", "li.y", "li.z") and found[5][0].path()[-2:] == ("div", "div.m")
     for broken in ("", "<", "<p", "a<b>c", "</p></p>", '<a href="x>y', "<!--", "<script>x", "<p <p>z", "&#x110000;", "plain text"):
         H.leaves(broken)
     assert [t for _, t in H.leaves("plain text")[1]] == ["plain text"]
@@ -78,6 +79,44 @@ def test_leaves():
     assert [t for _, t in H.leaves(deep)[1]] == ["x"]
 
 
+def test_paths_and_labels_of_deep_leaves():
+    """What decides lies more than a thousand elements above."""
+    _, found = H.leaves("<article>" + "<div>" * 2000 + "inner" + "</div>" * 2000 + "</article><nav class=x>" + "<div>" * 1500 + "outer")
+    assert [(t, p.label) for p, t in found] == [("inner", 1), ("outer", 0)]
+    for plain in (False, True):
+        for place, _ in found:
+            want = np.zeros(H.PATH)
+            for t in (("div" if x in H._SEMANTIC else x for x in place.path() if "." not in x) if plain else place.path()):
+                want[H._bucket(t)] += 1
+            assert (place.counts(plain) == want).all()
+    assert [p.label for p, _ in H.leaves('<div class="side-nav">a</div><main><p>b<div id="ad_1">c</div></main>d')[1]] == [0, 1, 0, -1]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='" * 100_000,
+        "<div class='" * 100_001 + ">",
+        "<b>" * 100_000 + "</i>" * 100_000,
+        "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000,
+        "<h1>" * 100_000 + "<li></li>" * 100_000,
+        "<script " * 100_000,
+        "<script>" * 100_000,
+        "<div>x" * 100_000,
+        "<a \"<b '>\" " * 50_000,
+        "<!" * 100_000,
+        "</script " * 100_000 + ">",
+        "<title>" * 50_000,
+    ],
+    ids=range(12),
+)
+def test_time_is_linear(page):
+    began = time.process_time()
+    _, found = H.leaves(page)
+    H.features(found)
+    assert time.process_time() - began < 4
+
+
 def test_rows(spark, model):
     page = pq.read_table(DATA / "sf0.01/pages.parquet").to_pydict()["html"][130]
     rows = [(1, page), (1, page), (2, None), (3, ""), (None, page), (4, "   "), (5, "<p>" + "word " * 200_000 + "</p>"), (6, "<p>x</p>" * 3000), (7, "no tags")]
@@ -86,7 +125,7 @@ def test_rows(spark, model):
     assert len(got) == len(rows)
     by = {r["page_id"]: r for r in got}
     assert by[2]["text"] == "" and by[2]["n_blocks"] == 0 and by[2]["title"] is None and by[3]["n_blocks"] == 0
-    want = [t for p, t in H.leaves(page)[1] if "article" in p]
+    want = [t for p, t in H.leaves(page)[1] if "article" in p.path()]
     assert by[1]["text"].split("\n") == want and by[1] == by[1] and by[None]["text"] == by[1]["text"]
     assert by[6]["n_blocks"] == 3000
     assert H.extracted(df.limit(0)).count() == 0
