@@ -6,11 +6,14 @@ A query takes projected neighbours in increasing order, leaf by leaf, verifies t
 chi-square test holds: once the next projected distance r has chi2(r^2 / d_k^2) >= `confidence`, where d_k is the k-th
 best true distance so far, a missed neighbour at a distance of at most d_k has a probability of at most 1 - confidence.
 
-The tree's upper levels are the partitions: their splits are medians of a bounded sample (they steer only the balance),
-each cell holds about `cell_rows` vectors. First each query searches its own cell, which bounds its d_k and so its search
-radius in the projection; then it is sent to just the other cells whose box lies inside that radius, and the lists are
-merged. Every row is a query, all queries and candidates are searched, nothing is capped. How many cells a query must see
-depends on the data: on vectors without any structure the test can hold only late and the search nears an exhaustive one.
+The tree's upper levels are the cells: their splits are medians of a sample of projected points (SAMPLE_PER_CELL for each of
+at most CELLS cells; they steer only the balance). All rows are counted by cell, and a cell of more than `cell_rows` rows,
+as a hot one is, consists of several blocks by a hash of the id. First each query searches its own block, which bounds its
+d_k and so its search radius in the projection; then it goes down the tree to just the blocks whose cells' boxes lie inside
+that radius, and the lists are merged. Blocks and queries come to a task in order, so it holds one block and one batch of
+queries whatever their numbers. All rows are indexed; the queries are the rows whose id is divisible by `every` (1: all rows).
+How many cells a query must see depends on the data: on vectors without any structure the test can hold only late and the
+search nears an exhaustive one.
 
 Defined results: (vec_id, rank, neighbour, distance) with ranks from 1; equal distances are ranked by id; a vector is not
 its own neighbour, but an equal vector of another id is, at distance 0. Null ids, null vectors, vectors with null, NaN or
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import tidy, tidy_group
+from .buffers import mix, tidy
 from .common import checkpointed, table
 
 K = 10
@@ -37,7 +40,10 @@ DIRECTIONS = 8
 CONFIDENCE = 0.95
 CELL_ROWS = 8192
 LEAF_ROWS = 256
-SAMPLE_ROWS = 20_000
+CELLS = 1 << 16  #: cells at most; beyond, cells have more blocks
+SAMPLE_PER_CELL = 16
+EVERY = 100
+ROWS_AT_ONCE = 16_384
 
 
 def chi_square(x: float, m: int) -> float:
@@ -165,92 +171,177 @@ def _list(values: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel(), kind))
 
 
-def _placed(m: int, tree: list[tuple[int, float]]):
+def _projected(m: int):
+    """Points of a sample."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 v = _matrix(batch.column("vec"))
+                yield pa.RecordBatch.from_arrays([_list(v @ directions(v.shape[1], m), pa.float64())], ["point"])
+
+    return run
+
+
+def _measured(m: int, tree: list[tuple[int, float]]):
+    """Rows and box of each cell, as far as a partition has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = len(tree) + 1
+        many, low, high = np.zeros(cells, np.int64), np.full((cells, m), np.inf), np.full((cells, m), -np.inf)
+        for batch in batches:
+            if len(batch):
+                v = _matrix(batch.column("vec"))
+                p = v @ directions(v.shape[1], m)
+                cell = _cell(p, tree)
+                order = np.argsort(cell, kind="stable")
+                own = cell[order]
+                at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                name = own[at]
+                many[name] += np.diff(np.append(at, len(own)))
+                low[name] = np.minimum(low[name], np.minimum.reduceat(p[order], at))
+                high[name] = np.maximum(high[name], np.maximum.reduceat(p[order], at))
+        used = np.flatnonzero(many)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array(many[used]), *(pa.array(low[used, d]) for d in range(m)), *(pa.array(high[used, d]) for d in range(m))],
+            ["cell", "n", *(f"low{d}" for d in range(m)), *(f"high{d}" for d in range(m))],
+        )
+
+    return run
+
+
+def _hash(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(np.uint64), 23)
+
+
+def _placed(m: int, tree: list[tuple[int, float]], blocks: np.ndarray, every: int):
+    """All rows by block, those that ask twice: kind 0 is indexed, kind 1 asks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                v, ids = _matrix(batch.column("vec")), batch.column("id").to_numpy()
                 cell = _cell(v @ directions(v.shape[1], m), tree)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("id"), batch.column("vec")], ["cell", "id", "vec"])
+                block = (_hash(ids) % np.maximum(blocks[cell], 1).astype(np.uint64)).astype(np.int32)
+                for kind, at in ((0, np.arange(len(ids))), (1, np.flatnonzero(ids % every == 0))):
+                    rows = batch.take(pa.array(at))
+                    start = pa.array(np.full(len(at), np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[at]), pa.array(block[at]), pa.array(np.full(len(at), kind, np.int32)), rows.column("id"), rows.column("vec"), start], PLACED)
 
     return run
 
 
-def _own_cell(m: int, k: int, bound: float):
-    """First round: results in the own cell, and the cell's box."""
+def _searched(m: int, k: int, bound: float):
+    """Queries against the blocks they come with: rows are in order of block, and in a block what is indexed comes first."""
 
-    def run(key, part):
-        ids, v = part.column("id").to_numpy(), _matrix(part.column("vec"))
-        p = v @ directions(v.shape[1], m)
-        name, d = Tree(ids, v, p).search(ids, v, p, k, bound)
-        boxes = pa.array([[*p.min(0), *p.max(0)], *[None] * (len(ids) - 1)], pa.list_(pa.float64()))  # it goes with one row
-        return pa.table({"cell": part.column("cell"), "id": part.column("id"), "vec": part.column("vec"), "names": _list(name, pa.int64()), "far": _list(d, pa.float64()), "box": boxes})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, tree = None, [], None
+        for batch in batches:
+            cell, block, kind = (batch.column(c).to_numpy() for c in PLACED[:3])
+            edge = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(batch)]):
+                if lo == hi:
+                    continue
+                own, name = batch.slice(lo, hi - lo), (int(cell[lo]), int(block[lo]))
+                if name != held:
+                    held, parts, tree = name, [], None
+                if kind[lo] == 0:
+                    parts.append((own.column("id").to_numpy(), _matrix(own.column("vec"))))
+                    continue
+                if tree is None:
+                    ids, v = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros((0, _matrix(own.column("vec")).shape[1])))
+                    tree, parts = Tree(ids, v, v @ directions(v.shape[1], m)), []
+                q = _matrix(own.column("vec"))
+                names, far = tree.search(own.column("id").to_numpy(), q, q @ directions(q.shape[1], m), k, bound, own.column("start").to_numpy())
+                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("cell"), own.column("block"), own.column("vec"), _list(names, pa.int64()), _list(far, pa.float64())], ["id", "cell", "block", "vec", "names", "far"])
 
     return run
 
 
-def _sent(m: int, bound: float, held):
-    """A query goes to the other cells whose box lies within its radius."""
+def _routed(m: int, bound: float, held):
+    """A query goes to the blocks of all cells whose box lies within its radius, but for its own block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, low, high = held.value
+        low, high, blocks = held.value
+        inner = len(blocks) - 1
         for batch in batches:
             if not len(batch):
                 continue
-            v, own = _matrix(batch.column("vec")), batch.column("cell").to_numpy()
+            v, cell, block = _matrix(batch.column("vec")), batch.column("cell").to_numpy(), batch.column("block").to_numpy()
             limit = _matrix(batch.column("far"))[:, -1]
-            p = v @ directions(v.shape[1], m)
-            for lo in range(0, len(v), 1024):
-                gap = _box_gap(low, high, p[lo : lo + 1024])
-                go = (gap <= limit[lo : lo + 1024, None] * bound) & (cells[None] != own[lo : lo + 1024, None])
-                q, c = np.nonzero(go)
-                at = pa.array(lo + q)
-                yield pa.RecordBatch.from_arrays([pa.array(cells[c].astype(np.int32)), batch.column("id").take(at), batch.column("vec").take(at), pa.array(limit[lo + q])], ["cell", "id", "vec", "start"])
+            points = v @ directions(v.shape[1], m)
+            for lo in range(0, len(v), 256):
+                q = np.arange(lo, min(lo + 256, len(v)))
+                node = np.zeros(len(q), np.int64)
+                while len(q):
+                    p = points[q]
+                    gap = np.maximum(np.maximum(low[node] - p, p - high[node]), 0)
+                    go = (gap * gap).sum(1) <= limit[q] * bound
+                    q, node = q[go], node[go]
+                    if not len(q) or node[0] >= inner:
+                        break
+                    q, node = np.repeat(q, 2), np.repeat(2 * node + 1, 2) + np.tile([0, 1], len(node))
+                many = blocks[node - inner]
+                to = np.repeat(node - inner, many)
+                at = np.arange(len(to)) - np.repeat(np.cumsum(many) - many, many)
+                q = np.repeat(q, many)
+                other = (to != cell[q]) | (at != block[q])
+                q, to, at = q[other], to[other].astype(np.int32), at[other].astype(np.int32)
+                for i in range(0, len(q), ROWS_AT_ONCE):
+                    x = slice(i, i + ROWS_AT_ONCE)
+                    rows = batch.take(pa.array(q[x]))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[x]), pa.array(at[x]), pa.array(np.ones(len(rows), np.int32)), rows.column("id"), rows.column("vec"), pa.array(limit[q[x]])], PLACED)
 
     return run
 
 
-def _other_cell(m: int, k: int, bound: float):
-    def run(key, there, asked):
-        empty = pa.table({"id": pa.array([], pa.int64()), "names": pa.array([], pa.list_(pa.int64())), "far": pa.array([], pa.list_(pa.float64()))})
-        if not len(there) or not len(asked):
-            return empty
-        v = _matrix(there.column("vec"))
-        w = directions(v.shape[1], m)
-        q = _matrix(asked.column("vec"))
-        name, d = Tree(there.column("id").to_numpy(), v, v @ w).search(asked.column("id").to_numpy(), q, q @ w, k, bound, asked.column("start").to_numpy())
-        return pa.table({"id": asked.column("id"), "names": _list(name, pa.int64()), "far": _list(d, pa.float64())})
-
-    return run
+PLACED = ["cell", "block", "kind", "id", "vec", "start"]
 
 
-def neighbours(vectors: DataFrame, k: int = K, m: int = DIRECTIONS, confidence: float = CONFIDENCE, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbour, distance) of the k nearest others of each row; see the module."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
+def neighbours(vectors: DataFrame, k: int = K, m: int = DIRECTIONS, confidence: float = CONFIDENCE, cell_rows: int = CELL_ROWS, every: int = EVERY, most_cells: int = CELLS) -> DataFrame:
+    """(vec_id, rank, neighbour, distance) of the k nearest others of each row that asks; see the module."""
+    number = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(f"array<{number}>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     rows = rows.where(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.size("vec") > 0))
     dims = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim, total = (dims["d"], dims["count"]) if dims else (1, 0)
-    rows = rows.where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"))
+    dim = dims["d"] if dims else 1
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = checkpointed(rows.groupBy("id").agg(F.min("vec").alias("vec")))
+        dims = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        dim = dims["d"]
+    rows, total = rows.where(F.size("vec") == dim), dims["count"] if dims else 0
     cells = 1
-    while cells * cell_rows < total:
+    while cells * cell_rows < total and cells < most_cells:
         cells *= 2
     tree: list[tuple[int, float]] = []
     if cells > 1:
-        sample = rows.select("vec").sample(min(1.0, SAMPLE_ROWS / total), seed=3)
-        tree = splits(np.array([r["vec"] for r in sample.toLocalIterator()]) @ directions(dim, m), cells)
+        sample = rows.select("vec").sample(min(1.0, SAMPLE_PER_CELL * cells / total), seed=3).mapInArrow(tidy(_projected(m)), "point array<double>")
+        tree = splits(np.array([r["point"] for r in sample.toLocalIterator()]).reshape(-1, m), cells)
+    edges = [f"low{d}" for d in range(m)], [f"high{d}" for d in range(m)]
+    measured = rows.select("vec").mapInArrow(tidy(_measured(m, tree)), ", ".join(["cell long", "n long", *(f"{c} double" for side in edges for c in side)]))
+    measured = measured.groupBy("cell").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in edges[0]), *(F.max(c).alias(c) for c in edges[1]))
+    blocks = np.zeros(cells, np.int64)
+    low, high = np.full((2 * cells - 1, m), np.inf), np.full((2 * cells - 1, m), -np.inf)
+    for r in measured.toLocalIterator():
+        blocks[r["cell"]] = -(-r["n"] // cell_rows)
+        low[cells - 1 + r["cell"]], high[cells - 1 + r["cell"]] = ([r[c] for c in side] for side in edges)
+    for node in range(cells - 2, -1, -1):
+        low[node], high[node] = np.minimum(low[2 * node + 1], low[2 * node + 2]), np.maximum(high[2 * node + 1], high[2 * node + 2])
     bound = chi_square_bound(confidence, m)
-    placed = rows.mapInArrow(tidy(_placed(m, tree)), "cell int, id long, vec array<double>")
-    kept = "id long, names array<long>, far array<double>"
-    first = checkpointed(placed.groupBy("cell").applyInArrow(tidy_group(_own_cell(m, k, bound)), "cell int, id long, vec array<double>, names array<long>, far array<double>, box array<double>"))
+    placed = f"cell int, block int, kind int, id long, vec array<{number}>, start double"
+    found = f"id long, cell int, block int, vec array<{number}>, names array<long>, far array<double>"
+
+    def by_block(df: DataFrame) -> DataFrame:
+        return df.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind").mapInArrow(tidy(_searched(m, k, bound)), found)
+
+    first = checkpointed(by_block(rows.mapInArrow(tidy(_placed(m, tree, blocks, every)), placed)))
     lists = first.select("id", "names", "far")
-    if cells > 1:
-        boxes = [(r["cell"], r["box"]) for r in first.where("box IS NOT NULL").select("cell", "box").toLocalIterator()]
-        edge = np.array([b for _, b in boxes]).reshape(len(boxes), 2 * m)
-        held = vectors.sparkSession.sparkContext.broadcast((np.array([c for c, _ in boxes]), edge[:, :m], edge[:, m:]))
-        asked = first.select("cell", "id", "vec", "far").mapInArrow(tidy(_sent(m, bound, held)), "cell int, id long, vec array<double>, start double")
-        there = first.select("cell", "id", "vec")
-        lists = lists.unionByName(there.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(_other_cell(m, k, bound), kept))
-    flat = lists.select("id", F.explode(F.arrays_zip("names", "far")).alias("x")).select("id", F.col("x.names").alias("neighbour"), F.col("x.far").alias("far")).where("neighbour >= 0")
+    if blocks.sum() > 1:
+        held = vectors.sparkSession.sparkContext.broadcast((low, high, blocks))
+        asked = first.mapInArrow(tidy(_routed(m, bound, held)), placed)
+        there = rows.mapInArrow(tidy(_placed(m, tree, blocks, every)), placed).where("kind = 0")
+        lists = lists.unionByName(by_block(there.unionByName(asked)).select("id", "names", "far"))
+    flat = lists.select("id", F.explode(F.arrays_zip("names", "far")).alias("x")).select("id", F.col("x.names").alias("neighbour"), F.col("x.far").alias("far")).where("far < double('Infinity')")
     flat = flat.withColumn("far", F.round(F.sqrt("far"), 9))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("far", "neighbour"))
     return flat.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias("vec_id"), F.col("rank").cast("int").alias("rank"), "neighbour", F.col("far").alias("distance"))
