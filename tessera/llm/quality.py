@@ -12,6 +12,8 @@ The rules (a row is rejected if the measure is above the limit):
 - shouting: share of capitals among the ASCII letters above 0.4
 - stutter: share of words equal to the word before above 0.3
 - repeated_lines: share of lines, blank ones left out, that repeat an earlier line of the text above 0.5
+- repeated_phrases: share of runs of PHRASE words that repeat an earlier run of the text above 0.5
+- wordless: share of words without a letter (any non-ASCII character counts as one) above 0.5
 
 Defined results: null and empty texts are rejected; every row has a result, null ids included; an empty table gives an
 empty result; other columns are ignored. Words are runs of bytes above the blank; texts are read whole.
@@ -27,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import Words, chunks, strings, tidy
+from .buffers import U64, Words, chunks, mix, spans, strings, tidy
 from .common import table
 
 SAMPLE_ROWS = 2000
+PHRASE = 5
 _SYMBOL = np.isin(np.arange(256), list(b"#$%&*"))
 _PIPE = np.arange(256) == ord("|")
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
 _LETTER = _UPPER | np.array([97 <= c <= 122 for c in range(256)])
+_WORDY = _LETTER | (np.arange(256) >= 128)
 _CHARACTER = (np.arange(256) & 0xC0) != 0x80
 _LINE = np.arange(256) != 10
 _INK = np.arange(256) > 32
@@ -86,6 +90,25 @@ def _repeated_lines(off, data):
     return _share(np.bincount(row[same], minlength=len(off) - 1), n)
 
 
+def _repeated_phrases(off, data):
+    w = Words(off, data, 0, len(off) - 1)
+    if len(w.start) < PHRASE:
+        return np.zeros(len(off) - 1)
+    row = w.row()[: len(w.start) - PHRASE + 1]
+    inside = w.stop()[: len(row)] - np.arange(len(row)) >= PHRASE
+    row = row[inside]
+    key = mix(spans(w.hashes(), PHRASE, 4)[inside] ^ mix(row.astype(U64), 6))  # equal in one row only
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    return _share(np.bincount(row[order][1:][same], minlength=len(off) - 1), np.maximum(w.count - PHRASE + 1, 0))
+
+
+def _wordless(off, data):
+    w = Words(off, data, 0, len(off) - 1)
+    seen = np.concatenate([[0], np.cumsum(_WORDY[data])])
+    return _share(_sums(seen[w.end] == seen[w.start], w.first), w.count)
+
+
 #: name -> (measure of each row from offsets and bytes, limit)
 RULES = {
     "empty": (_empty, 0.5),
@@ -94,6 +117,8 @@ RULES = {
     "shouting": (_shouting, 0.4),
     "stutter": (_stutter, 0.3),
     "repeated_lines": (_repeated_lines, 0.5),
+    "repeated_phrases": (_repeated_phrases, 0.5),
+    "wordless": (_wordless, 0.5),
 }
 
 
@@ -186,7 +211,9 @@ measured AS (SELECT doc_id, len(w) AS words,
     (n - length(replace(t, '|', ''))) / greatest(n, 1) AS pipes,
     (n - length(regexp_replace(t, '[A-Z]', '', 'g'))) / greatest(n - length(regexp_replace(t, '[A-Za-z]', '', 'g')), 1) AS shouting,
     len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) / greatest(len(w), 1) AS stutter,
-    (len(l) - len(list_distinct(l))) / greatest(len(l), 1) AS repeated FROM parts)
-SELECT doc_id, words > 0 AND symbols <= 0.1 AND pipes <= 0.015 AND shouting <= 0.4 AND stutter <= 0.3 AND repeated <= 0.5 AS keep
+    (len(l) - len(list_distinct(l))) / greatest(len(l), 1) AS repeated,
+    (greatest(len(w) - 4, 0) - len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))))) / greatest(len(w) - 4, 1) AS phrases,
+    len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) / greatest(len(w), 1) AS wordless FROM parts)
+SELECT doc_id, words > 0 AND symbols <= 0.1 AND pipes <= 0.015 AND shouting <= 0.4 AND stutter <= 0.3 AND repeated <= 0.5 AND phrases <= 0.5 AND wordless <= 0.5 AS keep
 FROM measured
 """
