@@ -4,8 +4,8 @@ Method: best-two-fit. A bin is filled greedily, always with the longest piece th
 smallest document is taken out again and the two unpacked documents that fill the expanded gap most tightly take its
 place, provided that they fill it better than it did.
 
-Bins are made inside shards of about `shard_rows` documents, chosen by a hash of the id, so packing runs in parallel and a
-shard's memory is bounded; each shard leaves at most one loosely filled bin. Only ids and lengths are shuffled, never texts.
+Bins are made inside shards of about `shard_rows` documents, chosen by a hash of the id (and of the row's place, where an id is
+null or repeats), so packing runs in parallel and a shard's memory is bounded; each shard leaves at most one loosely filled bin. Only ids and lengths are shuffled, never texts.
 
 A document longer than the capacity is cut into pieces of full capacity (bins of their own) and a rest, which is packed.
 Ties are settled by length, then id, nulls last. Every word of every document is in exactly one piece.
@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,12 +83,28 @@ def best_two_fit(lengths: list[int] | np.ndarray, capacity: int) -> list[list[in
     return bins
 
 
+def _again(ids: pa.Array) -> np.ndarray:
+    """For each row how often its id came before in the batch."""
+    key = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    own = key[order]
+    at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+    out = np.empty(len(own), np.int64)
+    out[order] = np.arange(len(own)) - np.repeat(at, np.diff(np.append(at, len(own))))
+    return out
+
+
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """Words of each row, and a salt that spreads rows without an id or with one that repeats."""
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    for k, batch in enumerate(batches):
         off, data = strings(batch.column("text"))
         n = [Words(off, data, i, j).count for i, j in chunks(off)]
         n = np.concatenate(n) if n else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n"])
+        ids = batch.column("doc_id")
+        again = _again(ids)
+        salt = np.where(again > 0, again + (part << 40) + (k << 20), 0)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(salt, pa.int64())], ["doc_id", "n", "salt"])
 
 
 def _packed(capacity: int):
@@ -118,9 +136,9 @@ def _packed(capacity: int):
 def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Pieces of documents with their bin: (shard, bin, slot, doc_id, start_word, n_words)."""
     shards = max(1, round(docs.count() / shard_rows))
-    sized = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_lengths), "doc_id long, n long").where("n > 0")
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    return sized.withColumn("shard", shard).groupBy("shard").applyInArrow(tidy_group(_packed(capacity)), PIECES)
+    sized = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_lengths), "doc_id long, n long, salt long").where("n > 0")
+    shard = F.pmod(F.xxhash64("doc_id", "salt"), F.lit(shards)).cast("int")
+    return sized.withColumn("shard", shard).drop("salt").groupBy("shard").applyInArrow(tidy_group(_packed(capacity)), PIECES)
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:

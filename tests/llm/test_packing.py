@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tessera.llm import packing
 
 
@@ -74,3 +75,9 @@ def test_same_bins_again(messy):
 
 def test_empty_table(empty):
     assert packing.packed(empty).count() == 0
+
+
+def test_rows_without_an_id_are_spread(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    got = packing.packed(df, capacity=10, shard_rows=400).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in got) == 4000 and len(got) == 10 and max(r["count"] for r in got) < 600
