@@ -3,7 +3,7 @@
 Method: the model file (a protobuf) is parsed here, without generated code; normaliser, metaspace marker, scores and byte
 fallback are rebuilt from it. A unigram model becomes a Unigram with its scores, a BPE model a BPE whose merges are the
 ways to join two pieces into a third, ordered by the third's score. Texts are encoded in batches with as many threads as
-`threads` says (on a cluster: the cores of a task). `verify` compares with what the file's own library gives.
+`threads` says (the cores of a task, two at least). `verify` compares with what the file's own library gives.
 
 Where no piece has a marker after another character (checked), no piece can reach over the end of a word: texts are then
 cut there, and each distinct word of a batch is encoded once. The result is the same.
@@ -32,6 +32,8 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+HIDDEN = "\U0010fffd"
+THREADS = 2  #: threads of a task at least
 BATCH_BYTES = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -128,7 +130,9 @@ def build(model: Model) -> Tokenizer:
     """A tokenizer equal to the model."""
     unk = model.pieces[model.unk][0]
     if model.kind == 1:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unk, byte_fallback=model.byte_fallback)
+        # pieces that no text may match get a name of their own
+        named = [(p if k in (NORMAL, USER, BYTE) else f"{HIDDEN}{i}{HIDDEN}", s) for i, (p, s, k) in enumerate(model.pieces)]
+        core = models.Unigram(named, unk_id=model.unk, byte_fallback=model.byte_fallback)
     else:
         core = models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, _merges(model), unk_token=unk, fuse_unk=True, byte_fallback=model.byte_fallback)
     out = Tokenizer(core)
@@ -147,15 +151,18 @@ def build(model: Model) -> Tokenizer:
     if model.byte_fallback:
         back.append(decoders.ByteFallback())
     back.append(decoders.Fuse())
+    if model.kind == 1:
+        back += [decoders.Replace(f"{HIDDEN}{model.unk}{HIDDEN}", " ⁇ "), decoders.Replace(Regex(f"{HIDDEN}[0-9]+{HIDDEN}"), "")]
     if model.dummy_prefix:
         back.append(decoders.Strip(" ", 1, 0))
     out.decoder = decoders.Sequence(back)
     return out
 
 
-def load(path: str = MODEL) -> Tokenizer:
+def raw_model(path: str = MODEL) -> bytes:
+    """The file's bytes, read on the driver: executors get them by broadcast."""
     with open(path, "rb") as f:
-        return build(parse(f.read()))
+        return f.read()
 
 
 def verify(texts: list[str], path: str = MODEL) -> list[int]:
@@ -163,7 +170,7 @@ def verify(texts: list[str], path: str = MODEL) -> list[int]:
     import sentencepiece
 
     theirs = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts, num_threads=1)
-    size, flat = Encoder(path).encode(pa.array(texts, pa.string()))
+    size, flat = Encoder(raw_model(path)).encode(pa.array(texts, pa.string()))
     ours = [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])]
     return [i for i, (a, b) in enumerate(zip(theirs, ours)) if a != b]
 
@@ -176,11 +183,10 @@ class Encoder:
     Other models encode whole texts.
     """
 
-    def __init__(self, path: str = MODEL, threads: int = 1, room: int = 1 << 20):
+    def __init__(self, raw: bytes, threads: int = THREADS, room: int = 1 << 20):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        with open(path, "rb") as f:
-            self.model = parse(f.read())
+        self.model = parse(raw)
         self.tool, self.room = build(self.model), room
         plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix and self.model.escape
         self.by_unit = plain and separable(self.model)
@@ -246,9 +252,9 @@ class Encoder:
         return self._by_unit(off, data)
 
 
-def _encoded(path: str, threads: int, check: bool):
+def _encoded(held, threads: int, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Encoder(path, threads)
+        tool = Encoder(held.value, threads)
         for batch in batches:
             off, _ = strings(batch.column("text"))
             for i, j in chunks(off, BATCH_BYTES):
@@ -269,14 +275,15 @@ def _encoded(path: str, threads: int, check: bool):
 def encoded(docs: DataFrame, path: str = MODEL, threads: int | None = None, check: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row; with check also `restored`: whether decoding gives the text back."""
     if threads is None:
-        threads = int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
+        threads = max(THREADS, int(docs.sparkSession.conf.get("spark.task.cpus", "1")))
+    held = docs.sparkSession.sparkContext.broadcast(raw_model(path))
     schema = "doc_id long, n_tokens int, ids array<int>" + ", restored boolean" * check
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_encoded(path, threads, check)), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_encoded(held, threads, check)), schema)
 
 
-def _decoded(path: str):
+def _decoded(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = load(path)
+        tool = build(parse(held.value))
         for batch in batches:
             ids = batch.column("ids").to_pylist()
             text = tool.decode_batch([x or [] for x in ids], skip_special_tokens=False)
@@ -287,7 +294,8 @@ def _decoded(path: str):
 
 def decoded(ids: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, text) of every row of (doc_id, ids)."""
-    return ids.select("doc_id", "ids").mapInArrow(tidy(_decoded(path)), "doc_id long, text string")
+    held = ids.sparkSession.sparkContext.broadcast(raw_model(path))
+    return ids.select("doc_id", "ids").mapInArrow(tidy(_decoded(held)), "doc_id long, text string")
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_units_and_whole_texts_give_the_same_ids():
     import pyarrow as pa
 
     texts = TEXTS + pq.read_table(DATA / "sf0.001/documents.parquet")["text"].to_pylist()[:60]
-    tool = pieces.Encoder(room=50)  # it forgets again and again
+    tool = pieces.Encoder(pieces.raw_model(), room=50)  # it forgets again and again
     size, flat = tool.encode(pa.array(texts))
     at = 0
     for t, n in zip(texts, size):
@@ -51,7 +51,7 @@ def test_unigram_model_written_by_hand(tmp_path):
     path.write_bytes(raw)
     model = pieces.parse(raw)
     assert model.kind == 1 and model.byte_fallback and model.unk == 0 and len(model.pieces) == len(own)
-    texts = ["abc", "abcab", "a b  c", "aaab abc bca", "", "ab é", " abc ", "cccaab", "abz"]
+    texts = ["abc", "abcab", "a b  c", "aaab abc bca", "", "ab é", " abc ", "cccaab", "abz", "a<s>b</s>", "<unk>"]
     assert pieces.verify(texts, str(path)) == []
 
 
