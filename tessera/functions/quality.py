@@ -21,7 +21,7 @@ def document_quality(text: Column) -> Column:
     length = F.when(size < 10, 0.3).when(size < 100, 0.7).otherwise(1.0)
     broken = count_of(text, BROKEN) / n
     encoding = F.when(broken == 0, 1.0).when(broken > 0.1, 0.1).when(broken > 0.05, 0.3).when(broken > 0.01, 0.6).otherwise(0.8)
-    ink = F.length(F.regexp_replace(text, r"[ \n\t]", "")) / n
+    ink = F.length(F.translate(text, " \n\t", "")) / n
     density = F.when(ink < 0.1, 0.2).when(ink < 0.3, 0.5).when(ink > 0.95, 0.7).otherwise(1.0)
     lines = _lines(text)
     unique = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))

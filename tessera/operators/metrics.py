@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, filtered_tokens, query_hash, sentences, token_set
+from ..functions.text import filtered_tokens, query_hash, sentences, token_set
+from .search import vector_topk
 
 
 def recall_at_k(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -77,14 +78,13 @@ def checklist(value: Column, target: float, weight: float, minimise: bool) -> Co
 def cache_lookup(queries: DataFrame, cache: DataFrame, least: float = 0.95) -> DataFrame:
     """(query_id, entry_id, kind): the entry with the same hash, else the nearest by cosine of at least `least`.
 
-    queries: (query_id, text, vec); cache: (entry_id, text, vec). The cache side of the vector search is the smaller table.
+    queries: (query_id, text, vec); cache: (entry_id, text, vec).
     """
     keyed = cache.select("entry_id", query_hash(F.col("text")).alias("h"))
     exact = queries.select("query_id", query_hash(F.col("text")).alias("h")).join(keyed, "h").groupBy("query_id").agg(F.min("entry_id").alias("entry_id"))
     rest = queries.join(exact, "query_id", "left_anti").select("query_id", "vec")
-    near = rest.crossJoin(cache.select("entry_id", F.col("vec").alias("cvec"))).withColumn("score", F.round(cosine(F.col("vec"), F.col("cvec")), 6)).where(F.col("score") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
-    near = near.withColumn("r", F.row_number().over(order)).where("r = 1")
+    near = vector_topk(cache.select(F.col("entry_id").alias("id"), "vec"), rest.withColumnRenamed("vec", "qvec"), 1).where(F.col("score") >= least)
+    near = near.withColumnRenamed("id", "entry_id")
     return exact.select("query_id", "entry_id", F.lit("exact").alias("kind")).unionByName(near.select("query_id", "entry_id", F.lit("semantic").alias("kind")))
 
 

@@ -1,29 +1,79 @@
 """Keyword and vector search of many queries at once, and fusion of their ranked lists.
 
-Queries arrive as rows. Their side is broadcast by the planner where it is small and shuffled by term where it is not;
-documents are never crossed with queries: candidates come from shared terms, or, for vectors, from one pass over the
-vectors in blocks against the broadcast queries (checked in `vector_topk`).
+Queries arrive as rows; documents are never crossed with queries. Keyword search reads each text once: what it has of the
+queries' words goes to a stored table of postings, from which all statistics and scores follow by joins. Vector search is
+one pass over the vectors in blocks against the broadcast queries, and leaves a partition as its best k rows for each query.
+What is broadcast is checked: more words, passages or queries than the bounds below are taken another way.
+
+Null texts count as empty ones; a vector that is null, empty, zero or of another length than the query has the cosine 0.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import cosine, tokens
+from ..functions.text import tokens
+from ..session import stored
 
 K1, B = 1.2, 0.75
-#: vectors of queries up to this number are broadcast; more are searched in slices of this size
+#: vectors of queries, or passages, up to this number are broadcast; more are searched in slices of this size
 QUERIES_AT_ONCE = 20_000
-
-
-def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, term, tf, dl): how often each word occurs in each text, and the length of the text in words."""
-    words = docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("words"))
-    flat = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return flat.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+#: distinct words of queries up to this number are looked for while texts are read; with more, all postings are stored
+TERMS_AT_ONCE = 500_000
+ROWS_AT_ONCE = 100_000
+SCORES_AT_ONCE = 4_000_000
+_WORD = re.compile(r"\w+")
+
+
+def _counted(id_: pa.DataType, held, stats: bool):
+    """Words of each text with their numbers; with stats a row without a word: number and length of all texts."""
+
+    def rows(ids, at, terms, tf, dl) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())], ["id", "term", "tf", "dl"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, n, total = held.value if held else None, 0, 0
+        for batch in batches:
+            ids = batch.column("id")
+            at, terms, tf, dl = [], [], [], []
+            for i, t in enumerate(batch.column("text")):
+                words = _WORD.findall((t.as_py() or "").lower())
+                n, total = n + 1, total + len(words)
+                for w, c in Counter(words).items():
+                    if wanted is None or w in wanted:
+                        at.append(i)
+                        terms.append(w)
+                        tf.append(c)
+                        dl.append(len(words))
+                if len(at) > ROWS_AT_ONCE:
+                    yield rows(ids, at, terms, tf, dl)
+                    at, terms, tf, dl = [], [], [], []
+            if at:
+                yield rows(ids, at, terms, tf, dl)
+        if stats and n:
+            yield rows(pa.nulls(1, id_), [0], [None], [n], [total])
+
+    return run
+
+
+def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text", only: list[str] | None = None, stats: bool = False) -> DataFrame:
+    """(id, term, tf, dl): how often each word occurs in each text, and the length of the text in words.
+
+    Counted inside each text: nothing is shuffled. only: just these words; stats: rows without a word give tf texts of dl words.
+    """
+    context, kind = docs.sparkSession.sparkContext, docs.schema[id_].dataType
+    held = None if only is None else context.broadcast(frozenset(only))
+    own = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
+    return own.mapInArrow(_counted(to_arrow_type(kind), held, stats), f"id {kind.simpleString()}, term string, tf long, dl long")
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -39,9 +89,17 @@ def top(df: DataFrame, k: int, by: list[str], score: str = "score", id_: str = "
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, id, score) of all pairs with a common word; queries: (query_id, text)."""
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    posted = postings(docs, id_, text).join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.select("term").distinct()
+    few = terms.limit(TERMS_AT_ONCE + 1).count() <= TERMS_AT_ONCE
+    only = [r["term"] for r in terms.toLocalIterator()] if few else None
+    return scored_postings(stored(postings(docs, id_, text, only, stats=True), "postings"), asked)
+
+
+def scored_postings(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id, score) from a stored table of postings with statistics; asked: (query_id, term), distinct."""
+    sizes = index.where("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum("dl") / F.sum("tf")).alias("avgdl"))
+    posted = index.where("term IS NOT NULL").join(asked.select("term").distinct(), "term", "left_semi")
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -53,22 +111,131 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, id_: str = "doc_i
     return top(bm25_scores(docs, queries, id_), k, ["query_id"])
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, floor: bool = True) -> DataFrame:
-    """(query_id, id, score, rank) by cosine; vectors: (id, vec), queries: (query_id, qvec); floor: negative scores are 0.
+def _containing(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, passages, anchors = held.value
+        for batch in batches:
+            rows, hits = [], []
+            for i, t in enumerate(batch.column("text")):
+                t = t.as_py() or ""
+                for w in anchors.keys() & set(_WORD.findall(t.lower())):
+                    for p in anchors[w]:
+                        if passages[p] in t:
+                            rows.append(i)
+                            hits.append(names[p])
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), batch.column("id").take(pa.array(rows, pa.int64()))], ["query_id", "id"])
+
+    return run
 
-    Exact. Queries are broadcast while there are few (checked); beyond that they are taken in slices by hash.
+
+def containing(docs: DataFrame, passages: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """(query_id, id) of all texts that have a passage word for word; passages: (query_id, text). Candidates share its longest whole word.
+
+    Null and blank passages, and those without a whole word between two others, are in none.
     """
-    score = cosine(F.col("vec"), F.col("qvec"))
-    if floor:
-        score = F.greatest(score, F.lit(0.0))
-    slices = -(-queries.count() // QUERIES_AT_ONCE)
-    parts = []
-    for s in range(max(slices, 1)):
-        own = queries if slices <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
-        parts.append(top(vectors.crossJoin(F.broadcast(own)).select("query_id", "id", F.round(score, 6).alias("score")), k, ["query_id"]))
+    kind, parts = docs.schema[id_].dataType.simpleString(), []
+    own = docs.select(F.col(id_).alias("id"), "text")
+    for part in _slices(passages.where("text IS NOT NULL AND query_id IS NOT NULL")):
+        rows = part.select(F.col("query_id").cast("long"), "text").collect()
+        anchors: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            words = _WORD.findall(r["text"].lower())[1:-1]  # the first and last may be parts of longer words
+            if words:
+                anchors.setdefault(max(words, key=lambda w: (len(w), w)), []).append(i)
+        held = docs.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], [r["text"] for r in rows], anchors))
+        parts.append(own.mapInArrow(_containing(held), f"query_id long, id {kind}"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _slices(queries: DataFrame) -> list[DataFrame]:
+    """Parts of at most about QUERIES_AT_ONCE rows."""
+    n = -(-queries.count() // QUERIES_AT_ONCE)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == s) for s in range(n)]
+
+
+def _unit(rows) -> np.ndarray:
+    m = np.asarray(rows, np.float64)
+    size = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def _nearest(held, k: int | None, floor: bool, tagged: str | None, kinds: list[pa.DataType]):
+    """The k best ids for each query, of a partition; an id that occurs again counts with its best score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, by_size, tags = held.value
+        best_q, best_s, best_i = [], [], []
+
+        def kept() -> None:
+            q, s, i = (np.concatenate(x) for x in (best_q, best_s, best_i))
+            order = np.lexsort((-s, i, q))
+            q, s, i = q[order], s[order], i[order]
+            first = np.ones(len(q), bool)
+            first[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+            q, s, i = q[first], s[first], i[first]
+            order = np.lexsort((i, -s, q))
+            q, s, i = q[order], s[order], i[order]
+            at = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])[: len(q)])
+            place = np.arange(len(q)) - np.repeat(at, np.diff(np.append(at, len(q))))
+            use = place < k if k else np.ones(len(q), bool)
+            best_q[:], best_s[:], best_i[:] = [q[use]], [s[use]], [i[use]]
+
+        for batch in batches:
+            ids = np.array(batch.column("id").to_pylist())
+            vectors = batch.column("vec").to_pylist()
+            mine = np.array(batch.column("tag").to_pylist()) if tagged else None
+            step = max(1, SCORES_AT_ONCE // max(len(names), 1))
+            for lo in range(0, len(ids), step):
+                own = vectors[lo : lo + step]
+                size = np.array([len(v) if v and None not in v else 0 for v in own])
+                s = np.zeros((len(own), len(names)))
+                for d, (at, m) in by_size.items():
+                    rows = np.flatnonzero(size == d)
+                    if d and len(rows):
+                        s[np.ix_(rows, at)] = _unit([own[r] for r in rows]) @ m.T
+                s = np.round(np.maximum(s, 0) if floor else s, 6)
+                if tagged:
+                    same = mine[lo : lo + step, None] == tags[None]
+                    s[same if tagged == "other" else ~same] = -np.inf
+                cut = np.full(len(names), -np.inf)
+                if k and len(s) > k and len(np.unique(ids[lo : lo + step])) == len(s):  # ids that repeat are joined first
+                    cut = np.partition(s, len(s) - k, axis=0)[len(s) - k]
+                r, q = np.nonzero((s >= cut) & np.isfinite(s))
+                best_q.append(q)
+                best_s.append(s[r, q])
+                best_i.append(ids[lo + r])
+                if sum(map(len, best_q)) > SCORES_AT_ONCE // 4:
+                    kept()
+        if best_q:
+            kept()
+            out = best_q[0]
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in out], kinds[0]), pa.array(best_i[0].tolist(), kinds[1]), pa.array(best_s[0])], ["query_id", "id", "score"])
+
+    return run
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int | None = 10, floor: bool = True, tagged: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank) by cosine; vectors: (id, vec), queries: (query_id, qvec); floor: negative scores are 0.
+
+    Exact. An id that several rows have counts with its best score. k: None for all. tagged: both have a column `tag`; a query
+    sees the vectors of the "same" or of an "other" tag only: the filter runs before the search.
+    """
+    context, parts = vectors.sparkSession.sparkContext, []
+    kinds = [queries.schema["query_id"].dataType, vectors.schema["id"].dataType]
+    schema, kinds = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double", [to_arrow_type(x) for x in kinds]
+    for part in _slices(queries):
+        rows = part.collect()
+        by_size: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            by_size.setdefault(len(r["qvec"]) if r["qvec"] and None not in r["qvec"] else 0, []).append(i)
+        units = {d: (np.array(at), _unit([rows[i]["qvec"] for i in at]) if d else None) for d, at in by_size.items()}
+        held = context.broadcast(([r["query_id"] for r in rows], units, np.array([r["tag"] for r in rows]) if tagged else None))
+        found = vectors.select("id", "vec", *["tag"] * bool(tagged)).where("id IS NOT NULL").mapInArrow(_nearest(held, k, floor, tagged, kinds), schema)
+        parts.append(found.groupBy("query_id", "id").agg(F.max("score").alias("score")))
+    found = reduce(DataFrame.unionByName, parts)
+    return top(found, k, ["query_id"]) if k else found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+
+
 def best_per_chunk(hits: DataFrame) -> DataFrame:
     """Question hits (query_id, chunk_id, score) as chunk hits: the best score of each chunk."""
     return hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))

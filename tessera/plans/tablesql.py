@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import answers, chunks, facts, graph, metrics, search, store
+from ..session import shared_folder
 from ..streaming import ingest
 from .tables import read
 from .texts import CHUNKS_SQL, filtered, query, windows, words
@@ -82,16 +81,19 @@ def vector_topk(spark, sf_dir):
 @query("vector_topk_filtered", f"SELECT * FROM {topk_sql(f'(SELECT * FROM {_VECTORS} WHERE label <> query_id)', 10)}")
 def vector_topk_filtered(spark, sf_dir):
     """The filter runs before the search: k hits come back where there are so many."""
-    score = F.round(F.greatest(text.cosine(F.col("vec"), F.col("qvec")), F.lit(0.0)), 6)
-    pairs = vectors(spark, sf_dir).join(F.broadcast(centres(spark, sf_dir)), F.col("label") != F.col("query_id"))
-    return search.top(pairs.select("query_id", "id", score.alias("score")), 10, ["query_id"])
+    return search.vector_topk(vectors(spark, sf_dir).withColumn("tag", F.col("label")), centres(spark, sf_dir).withColumn("tag", F.col("query_id")), 10, tagged="other")
 
 
 @query("hype_best_per_chunk", f"SELECT query_id, label AS chunk_id, max(score) AS score FROM {_VECTORS} GROUP BY ALL")
 def hype_best_per_chunk(spark, sf_dir):
-    score = F.round(F.greatest(text.cosine(F.col("vec"), F.col("qvec")), F.lit(0.0)), 6)
-    hits = vectors(spark, sf_dir).crossJoin(F.broadcast(centres(spark, sf_dir))).select("query_id", F.col("label").alias("chunk_id"), score.alias("score"))
-    return search.best_per_chunk(hits)
+    hits = search.vector_topk(vectors(spark, sf_dir).select(F.col("label").alias("id"), "vec"), centres(spark, sf_dir), None)
+    return search.best_per_chunk(hits.select("query_id", F.col("id").alias("chunk_id"), "score"))
+
+
+@query("vector_topk_signed", f"SELECT * FROM {topk_sql(_VECTORS.replace('greatest(list_cosine_similarity(embedding::DOUBLE[], qvec), 0)', 'list_cosine_similarity(embedding::DOUBLE[], qvec)'), 400)}")
+def vector_topk_signed(spark, sf_dir):
+    """Cosine without a floor: far vectors have negative scores."""
+    return search.vector_topk(vectors(spark, sf_dir), centres(spark, sf_dir), 400, floor=False)
 
 
 DEPTH, WEIGHTS = 15, {"original": 0.35, "hype": 0.15, "bm25": 0.5}
@@ -107,11 +109,9 @@ def fused(spark, sf_dir):
     """Vectors of documents and queries are those of the same number; vectors 2n and 2n + 1 are questions of document n."""
     vecs = vectors(spark, sf_dir)
     ask = read(spark, sf_dir, "benchmark").join(vecs, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), F.col("vec").alias("qvec"))
-    pairs = vecs.crossJoin(F.broadcast(ask)).select("query_id", "id", F.round(F.greatest(text.cosine(F.col("vec"), F.col("qvec")), F.lit(0.0)), 6).alias("score"))
-    questions_ = pairs.groupBy("query_id", F.floor(F.col("id") / 2).alias("id")).agg(F.max("score").alias("score"))
     lists = {
-        "original": search.top(pairs, DEPTH, ["query_id"]),
-        "hype": search.top(questions_, DEPTH, ["query_id"]),
+        "original": search.vector_topk(vecs.select("id", "vec"), ask, DEPTH),
+        "hype": search.vector_topk(vecs.select(F.floor(F.col("id") / 2).alias("id"), "vec"), ask, DEPTH),
         "bm25": search.bm25_topk(read(spark, sf_dir, "documents"), asked(spark, sf_dir), DEPTH),
     }
     return search.fused(lists, WEIGHTS)
@@ -132,10 +132,10 @@ def chunk_hits(spark, sf_dir, k=20):
 
 @query(
     "doc_coherence_boost",
-    f"SELECT query_id, id, doc, round(score * CASE WHEN rank <= 12 THEN 1 + 0.05 * least(sum(CASE WHEN rank <= 12 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, doc) - 1, 4) ELSE 1 END, 8) AS score FROM (SELECT *, id // 10000 AS doc FROM {_CHUNK_HITS})",
+    f"SELECT query_id, id, doc, round(score * CASE WHEN rank <= 12 THEN 1 + 0.05 * least(sum(CASE WHEN rank <= 12 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, doc) - 1, 4) ELSE 1 END, 8) AS score FROM (SELECT *, CAST(split_part(id, '-', 1) AS BIGINT) AS doc FROM {_CHUNK_HITS})",
 )
 def doc_coherence_boost(spark, sf_dir):
-    hits = chunk_hits(spark, sf_dir).select("query_id", "id", F.floor(F.col("id") / 10000).alias("doc"), "score")
+    hits = chunk_hits(spark, sf_dir).select("query_id", "id", F.substring_index("id", "-", 1).cast("long").alias("doc"), "score")
     return search.coherence_boost(hits, within=12)
 
 
@@ -308,7 +308,7 @@ def semantic_cache_lookup(spark, sf_dir):
 @query("recall_at_k", f"SELECT i.query_id, round(coalesce(r, 1), 6) AS recall FROM (SELECT DISTINCT query_id FROM {_BM25}) i LEFT JOIN (SELECT query_id, count(h.id) / count(*) AS r FROM (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) g LEFT JOIN {topk_sql(_BM25, 5)} h USING (query_id, id) GROUP BY query_id) USING (query_id)")
 def recall_at_k(spark, sf_dir):
     hits = bm25_topk(spark, sf_dir)
-    relevant = read(spark, sf_dir, "documents").join(F.broadcast(read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    relevant = search.containing(read(spark, sf_dir, "documents"), asked(spark, sf_dir))
     return metrics.recall_at_k(hits, relevant, 5)
 
 
@@ -424,8 +424,7 @@ def event_session(spark, sf_dir):
 @query("stream_incremental_ingest", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_incremental_ingest(spark, sf_dir):
     """The table that a stream of all files of `events` leaves; batches are upserts by event_id."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
-    folder = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    folder = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     stream = ingest.read_table_stream(spark, f"{sf_dir}/events.parquet*", read(spark, sf_dir, "events").schema)
     ingest.ingest(stream, f"{folder}/table", f"{folder}/state", ["event_id"], ["ts"], lambda df: df.select("event_id", "ts", "user_id", "event_type", "value")).awaitTermination()
     return spark.read.parquet(f"{folder}/table").select("event_id", "user_id", "event_type", "value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import html, profile, quality, questions, text
+from ..functions import html, profile, quality, questions, rules, text
 from ..operators import chunks
 from .tables import read
 
@@ -48,6 +48,7 @@ def rlike(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, {q(pattern)})"
 
 
+CODE_SQL = r"```|(?m)^\s{4,}(?:class |def |for |from |if |import )"
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 
 
@@ -82,7 +83,7 @@ def filtered_token_sets(spark, sf_dir):
     "text_measures",
     rf"""SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round_even(len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) / len(w), 3) END AS numeric_density,
         CAST(len(w) + floor({hits("text", text.HANGUL)} * 0.7) AS INTEGER) AS token_estimate, length(text) > 0 AND {hits("text", text.HANGUL)} > 0.2 * length(text) AS korean,
-        {rlike("text", text.TABLE)} AS has_table, {rlike("text", text.CODE)} AS has_code, {rlike("text", text.LIST_ITEM)} AS has_list, {rlike("text", text.LEGAL)} AS has_legal,
+        {rlike("text", text.TABLE)} AS has_table, {rlike("text", CODE_SQL)} AS has_code, {rlike("text", text.LIST_ITEM)} AS has_list, {rlike("text", text.LEGAL)} AS has_legal,
         {ends_well("text")} AS ends_well, {starts_mid("text")} AS starts_mid
         FROM (SELECT doc_id, text, {blank_words("text")} AS w FROM documents)""",
 )
@@ -121,11 +122,12 @@ def char_bigram_similarity(spark, sf_dir):
     "language_mix",
     f"""SELECT doc_id, round(ko / greatest(ko + zh + en, 1), 2) AS ko, round(zh / greatest(ko + zh + en, 1), 2) AS zh, round(en / greatest(ko + zh + en, 1), 2) AS en,
         CASE WHEN ko + zh + en = 0 THEN 'unknown' WHEN ko >= zh AND ko >= en THEN 'ko' WHEN zh >= en THEN 'zh' ELSE 'en' END AS main FROM
-        (SELECT doc_id, {hits("h", text.HANGUL)} AS ko, {hits("h", chr(91) + chr(92) + "x{4E00}-" + chr(92) + "x{9FFF}]")} AS zh, {hits("h", "[a-zA-Z]")} AS en FROM (SELECT doc_id, substring(text, 1, 5000) AS h FROM documents))""",
+        (SELECT doc_id, {hits("h", text.HANGUL)} AS ko, {hits("h", chr(91) + chr(92) + "x{4E00}-" + chr(92) + "x{9FFF}]")} AS zh, {hits("h", "[a-zA-Z]")} AS en FROM (SELECT doc_id, text AS h FROM documents))""",
 )
 def language_mix(spark, sf_dir):
-    shares = profile.language_shares(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in shares.items()), profile.primary_language(F.col("text")).alias("main"))
+    counted = read(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in profile.language_counts(F.col("text")).items()))
+    n = {k: F.col(k) for k in ("ko", "zh", "en")}
+    return counted.select("doc_id", *(c.alias(k) for k, c in profile.language_shares(n).items()), profile.primary_language(n).alias("main"))
 
 
 _QUALITY = rf"""(SELECT doc_id, CASE WHEN size = 0 THEN 0.0 ELSE round(0.3 * CASE WHEN size < 10 THEN 0.3 WHEN size < 100 THEN 0.7 ELSE 1.0 END
@@ -164,8 +166,8 @@ def denoise_text(spark, sf_dir):
 
 
 def _html_sql() -> str:
-    x = "regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->', '', 'g')"
-    x = f"regexp_replace({x}, '(?is)<title[^>]*>.*?</title>', '', 'g')"
+    x = "regexp_replace(html, '(?is)<(?:script|style)[^<>]*>.*?</(?:script|style)>|<!--.*?-->', '', 'g')"
+    x = f"regexp_replace({x}, '(?is)<title[^<>]*>.*?</title>', '', 'g')"
     x = rf"regexp_replace(regexp_replace({x}, {q(html._BLOCK)}, chr(10), 'g'), '<[^>]+>', '', 'g')"
     for name, char in html.ENTITIES:
         x = f"replace({x}, {q(name)}, {q(char)})"
@@ -190,7 +192,7 @@ def html_title(spark, sf_dir):
 
 
 _TAB = f"({hits('text', profile.TABLES[0])} + {hits('text', profile.TABLES[1])} + {hits('text', profile.TABLES[2])})"
-_LST = rf"(len(regexp_extract_all(text, '(?m)^\s*[-*•]\s+')) + len(regexp_extract_all(text, '(?m)^\s*\d+[.)]\s+')))"
+_LST = r"(len(regexp_extract_all(text, '(?m)^[ \t]*[-*•]\s+')) + len(regexp_extract_all(text, '(?m)^[ \t]*\d+[.)]\s+')))"
 _COD = rf"CAST(len(regexp_extract_all(text, '```')) // 2 + len(regexp_extract_all(text, '(?m)^\s{{4,}}\S')) // 3 AS INTEGER)"
 _PAR = r"(len(regexp_extract_all(text, '\n\s*\n')) + 1)"
 _STRUCTURE = f"""CASE WHEN {rlike("text", text.LEGAL)} THEN 'legal_hierarchical' WHEN {rlike("text", profile.HEADINGS)} THEN 'hierarchical' WHEN {_TAB} > 0 THEN 'tabular'
@@ -203,39 +205,57 @@ _PROFILE = f"""(SELECT doc_id, text, structure, tables, lists, code, paragraphs,
 
 
 def profiled(spark, sf_dir):
+    """Each pattern is counted once; what follows from the counts is computed from them."""
     t = F.col("text")
-    return read(spark, sf_dir, "documents").select(
-        "doc_id", "text", profile.structure(t).alias("structure"), profile._tables(t).alias("tables"), profile._lists(t).alias("lists"), profile._code(t).alias("code"), profile.paragraphs(t).alias("paragraphs"), profile.information_type(t).alias("information")
-    )
+    counted = read(spark, sf_dir, "documents").select("doc_id", "text", profile._tables(t).alias("tables"), profile._lists(t).alias("lists"), profile._code(t).alias("code"), profile.paragraphs(t).alias("paragraphs"))
+    counted = counted.withColumn("structure", profile.structure(t, F.col("tables")))
+    legal = F.col("structure") == "legal_hierarchical"
+    return counted.withColumn("information", profile.information_type(F.col("tables"), F.col("code"), F.col("lists"), F.col("paragraphs"), legal))
+
+
+_DEPTH = r"coalesce(list_max(list_transform(regexp_extract_all(text, '(?m)^(#{1,6})\s+', 1), lambda x: length(x))), CAST(list_max(regexp_extract_all(text, '(?i)<h([1-6])', 1)) AS INTEGER), 0)"
 
 
 @query(
     "document_profile",
     f"""SELECT doc_id, structure, CAST(tables AS INTEGER) AS tables, CAST(lists AS INTEGER) AS lists, code, CAST(paragraphs AS INTEGER) AS paragraphs, information,
-        round(len(list_distinct({words("text")})) / greatest(len({words("text")}), 1), 6) AS richness, round(length(regexp_replace(text, '[ \\n\\t]', '', 'g')) / greatest(length(text), 1), 3) AS density FROM {_PROFILE}""",
+        round(len(list_distinct({words("text")})) / greatest(len({words("text")}), 1), 6) AS richness, round(length(regexp_replace(text, '[ \\n\\t]', '', 'g')) / greatest(length(text), 1), 3) AS density, {_DEPTH} AS depth FROM {_PROFILE}""",
 )
 def document_profile(spark, sf_dir):
     t = F.col("text")
-    return profiled(spark, sf_dir).withColumns({"richness": F.round(profile.vocabulary_richness(t), 6), "density": profile.information_density(t)}).drop("text")
+    return profiled(spark, sf_dir).withColumns({"richness": F.round(profile.vocabulary_richness(t), 6), "density": profile.information_density(t), "depth": profile.heading_depth(t)}).drop("text")
 
 
 def _domain_sql() -> str:
-    out = []
-    for d, terms in profile.DOMAINS.items():
-        parts = [f"CASE WHEN list_contains(w, '{t}')" + (f" OR contains(lower(text), '{t}')" if len(t) > 3 else "") + " THEN 1 ELSE 0 END" for t in terms]
+    names, found, scores = list(rules.DOMAIN_TERMS), [], []
+    for d, terms in rules.DOMAIN_TERMS.items():
+        own = "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+        found.append(f"list_sort(list_distinct(list_concat(list_intersect(w, {own}), list_filter({own}, lambda t: length(t) > 3 AND contains(lower(text), t))))) AS {d}_terms")
         bonus = {"legal": "CASE WHEN structure = 'legal_hierarchical' THEN 5 ELSE 0 END", "financial": "CASE WHEN nd > 0.15 THEN 2 ELSE 0 END + CASE WHEN tables >= 3 THEN 1 ELSE 0 END"}.get(d, "0")
-        out.append(f"{' + '.join(parts)} + {bonus} AS {d}")
-    names = list(profile.DOMAINS)
+        scores.append(f"CAST(len({d}_terms) + {bonus} AS INTEGER) AS {d}")
     best = f"greatest({', '.join(names)})"
-    return f"""SELECT doc_id, {", ".join(f"CAST({n} AS INTEGER) AS {n}" for n in names)}, CASE WHEN {best} = 0 THEN 'general' {" ".join(f"WHEN {n} = {best} THEN '{n}'" for n in names)} END AS domain
-        FROM (SELECT doc_id, {", ".join(out)} FROM (SELECT *, {words("text")} AS w, CASE WHEN len(b) = 0 THEN 0.0 ELSE round_even(len(list_filter(b, lambda x: regexp_matches(x, '[0-9]'))) / len(b), 3) END AS nd
-        FROM (SELECT *, {blank_words("text")} AS b FROM {_PROFILE})))"""
+    weight = lambda i: "CAST(CASE domain " + " ".join(f"WHEN '{d}' THEN {w[i]}" for d, w in rules.DOMAIN_WEIGHTS.items()) + f" ELSE {rules.PLAIN_WEIGHTS[i]} END AS DOUBLE)"
+    return f"""SELECT *, {weight(2)} AS bm25_weight FROM (SELECT doc_id, {", ".join(names)}, CASE WHEN {best} = 0 THEN 'general' {" ".join(f"WHEN {n} = {best} THEN '{n}'" for n in names)} END AS domain,
+        CAST(CASE WHEN o[1] = 0 THEN 0 WHEN o[2] = 0 THEN least(1.0, o[1] / 5) ELSE floor(o[1] / (o[1] + o[2]) * least(1.0, o[1] / 3) * 100 + 0.5) / 100 END AS DOUBLE) AS confidence,
+        array_to_string(CASE WHEN {best} = 0 THEN [] {" ".join(f"WHEN {n} = {best} THEN {n}_terms[1:10]" for n in names)} END, ' ') AS terms
+        FROM (SELECT *, list_reverse_sort([{", ".join(names)}]) AS o FROM (SELECT *, {", ".join(scores)} FROM (SELECT *, {", ".join(found)} FROM (SELECT *, {words("text")} AS w, CASE WHEN len(b) = 0 THEN 0.0 ELSE round_even(len(list_filter(b, lambda x: regexp_matches(x, '[0-9]'))) / len(b), 3) END AS nd
+        FROM (SELECT *, {blank_words("text")} AS b FROM {_PROFILE}))))))"""
 
 
 @query("domain_detection", _domain_sql())
 def domain_detection(spark, sf_dir):
     t = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in profile.domain_scores(t).items()), profile.domain(t).alias("domain"))
+    own = profiled(spark, sf_dir).withColumns({"words": text.token_set(t), "lower": F.lower(t), "numeric": text.numeric_density(t)})
+    found = own.withColumns({f"{d}_terms": c for d, c in profile.domain_terms(F.col("words"), F.col("lower")).items()})
+    terms = {d: F.col(f"{d}_terms") for d in rules.DOMAIN_TERMS}
+    scored = found.withColumns(profile.domain_scores(terms, F.col("structure") == "legal_hierarchical", F.col("numeric"), F.col("tables")))
+    scores = {d: F.col(d) for d in terms}
+    none = F.array().cast("array<string>")
+    named = scored.withColumns({"domain": profile.domain(scores), "confidence": profile.domain_confidence(scores)})
+    top = F.when(F.col("domain") == "general", none)
+    for d, x in terms.items():
+        top = top.when(F.col("domain") == d, F.slice(x, 1, 10))
+    return named.select("doc_id", *terms, "domain", "confidence", F.array_join(top, " ").alias("terms"), profile.domain_weight(F.col("domain"), 2).alias("bm25_weight"))
 
 
 @query(
@@ -248,7 +268,7 @@ def auto_chunk_strategy(spark, sf_dir):
 
 
 SIZE, OVERLAP = 128, 16
-CHUNKS_SQL = f"""(SELECT doc_id, CAST(pos // {SIZE - OVERLAP} AS INTEGER) AS chunk_index, doc_id * 10000 + pos // {SIZE - OVERLAP} AS chunk_id, array_to_string(w[pos + 1 : pos + {SIZE}], ' ') AS text, CAST(len(w[pos + 1 : pos + {SIZE}]) AS INTEGER) AS n_words
+CHUNKS_SQL = f"""(SELECT doc_id, CAST(pos // {SIZE - OVERLAP} AS INTEGER) AS chunk_index, concat(doc_id, '-', pos // {SIZE - OVERLAP}) AS chunk_id, array_to_string(w[pos + 1 : pos + {SIZE}], ' ') AS text, CAST(len(w[pos + 1 : pos + {SIZE}]) AS INTEGER) AS n_words
     FROM (SELECT doc_id, w, unnest(range(0, len(w), {SIZE - OVERLAP})) AS pos FROM (SELECT doc_id, {blank_words("text")} AS w FROM documents)))"""
 
 
