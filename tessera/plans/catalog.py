@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tablesql, texts  # noqa: F401 - they register their queries
+from . import factsql, moresql, questionsql, tablesql, texts  # noqa: F401 - they register their queries
 from .texts import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -105,16 +105,19 @@ _FUSED = f"""(SELECT query_id, id, round(CASE WHEN max(s) OVER (PARTITION BY que
     SELECT query_id, id, 0.5 * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) WHEN hi > 0 THEN score / hi ELSE 0 END / (60 + rank) FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM {topk_sql(_BM25, DEPTH)})) GROUP BY query_id, id))"""
 
 
-def fused(spark, sf_dir):
+def fusion_lists(spark, sf_dir):
     """Vectors of documents and queries are those of the same number; vectors 2n and 2n + 1 are questions of document n."""
     vecs = vectors(spark, sf_dir)
     ask = read(spark, sf_dir, "benchmark").join(vecs, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), F.col("vec").alias("qvec"))
-    lists = {
+    return {
         "original": search.vector_topk(vecs.select("id", "vec"), ask, DEPTH),
         "hype": search.vector_topk(vecs.select(F.floor(F.col("id") / 2).alias("id"), "vec"), ask, DEPTH),
         "bm25": search.bm25_topk(read(spark, sf_dir, "documents"), asked(spark, sf_dir), DEPTH),
     }
-    return search.fused(lists, WEIGHTS)
+
+
+def fused(spark, sf_dir):
+    return search.fused(fusion_lists(spark, sf_dir), WEIGHTS)
 
 
 @query("triple_fusion_topk", f"SELECT * FROM {topk_sql(_FUSED, 5)}")
@@ -168,8 +171,8 @@ def chunk_graph_edges(spark, sf_dir):
 
 @query(
     "entity_edges",
-    """WITH m AS (SELECT DISTINCT l_partkey AS e, l_orderkey AS c, o_custkey AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey), k AS (SELECT *, count(*) OVER (PARTITION BY e) AS n FROM m)
-        SELECT a.c AS src, b.c AS dst, 'entity' AS edge_type, CAST(CASE WHEN a.n <= 5 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS weight FROM k a JOIN k b ON a.e = b.e AND a.d <> b.d AND a.c < b.c WHERE a.n BETWEEN 2 AND 20""",
+    """WITH m AS MATERIALIZED (SELECT DISTINCT l_partkey AS e, l_orderkey AS c, o_custkey AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey), k AS MATERIALIZED (SELECT m.*, n FROM m JOIN (SELECT e, count(*) AS n FROM m GROUP BY e HAVING count(*) BETWEEN 2 AND 20) USING (e))
+        SELECT a.c AS src, b.c AS dst, 'entity' AS edge_type, CAST(CASE WHEN a.n <= 5 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS weight FROM k a JOIN k b USING (e) WHERE a.d <> b.d AND a.c < b.c""",
 )
 def entity_edges(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -188,15 +191,15 @@ def graph_two_hop(spark, sf_dir):
     return graph.two_hops(seeds, graph.both_ways(graph.sibling_edges(own)))
 
 
-_FACTS = "(SELECT o_orderkey AS chunk_id, 'security' AS type, 'CUST-' || o_custkey AS entity, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS severity, lower(o_orderstatus) AS status FROM orders)"
-_INDEX = f"""(SELECT DISTINCT unnest([upper(entity), 'type:' || type, 'status:' || status] || list_transform(list_filter(['critical', 'high', 'medium', 'low'], lambda x, i: i >= list_position(['critical', 'high', 'medium', 'low'], severity)), lambda x: 'severity_gte:' || x)) AS key, chunk_id FROM {_FACTS})"""
+_FACTS = "(SELECT o_orderkey AS chunk_id, 'security' AS type, 'CUST-' || o_custkey AS entity, CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' ELSE 'Low' END AS severity, lower(o_orderstatus) AS status FROM orders)"
+_INDEX = f"""(SELECT DISTINCT unnest([upper(entity), 'type:' || type, 'severity:' || severity, 'status:' || status] || list_transform(list_filter(['Critical', 'High', 'Medium', 'Low'], lambda x, i: i >= list_position(['Critical', 'High', 'Medium', 'Low'], severity)), lambda x: 'severity_gte:' || x)) AS key, chunk_id FROM {_FACTS})"""
 _CRITERIA = f"(SELECT DISTINCT severity || '/' || status AS query_id, unnest(['severity_gte:' || severity, 'status:' || status, 'type:none']) AS key FROM {_FACTS})"
 
 
 def order_facts(spark, sf_dir):
     """Orders as facts: priority is severity, customer the entity."""
     level = F.col("o_orderpriority")
-    severity = F.when(level == "1-URGENT", "critical").when(level == "2-HIGH", "high").when(level == "3-MEDIUM", "medium").otherwise("low")
+    severity = F.when(level == "1-URGENT", "Critical").when(level == "2-HIGH", "High").when(level == "3-MEDIUM", "Medium").otherwise("Low")
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("chunk_id"), F.lit("security").alias("type"), F.concat(F.lit("CUST-"), F.col("o_custkey")).alias("entity"), severity.alias("severity"), F.lower("o_orderstatus").alias("status")
     )
@@ -427,7 +430,7 @@ def stream_incremental_ingest(spark, sf_dir):
     folder = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     stream = ingest.read_table_stream(spark, f"{sf_dir}/events.parquet*", read(spark, sf_dir, "events").schema)
     ingest.ingest(stream, f"{folder}/table", f"{folder}/state", ["event_id"], ["ts"], lambda df: df.select("event_id", "ts", "user_id", "event_type", "value")).awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("event_id", "user_id", "event_type", "value")
+    return store.KeyedTable(spark, f"{folder}/table", ["event_id"]).read().select("event_id", "user_id", "event_type", "value")
 
 
 def _hits(spark, sf_dir):

@@ -327,9 +327,9 @@ _KIND = f"""CASE WHEN {rlike("text", questions.CODE_LIKE)} THEN 'conceptual' WHE
         CAST(CASE WHEN hard > 0 THEN least(round(0.6 + 0.15 * hard, 2), 1.0) WHEN soft > 0 THEN least(round(0.6 + 0.15 * soft, 2), 1.0) WHEN length(text) > 10 THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence, kind,
         CAST(CASE kind WHEN 'term_specific' THEN 0.65 WHEN 'comparative' THEN 0.2 ELSE 0.25 END AS DOUBLE) AS bm25_weight, NOT regexp_matches(low, '^(?:hello|hey|hi|감사|안녕)|^(?:what time|몇 시)|^\\d+\\s*[*/+-]\\s*\\d+') AS needs_retrieval,
         CASE WHEN {_has("low", ("vs", "compare", "대비", "difference", "차이", "비교"))} THEN 'comparative' WHEN {rlike("low", questions.CONDITIONAL)} THEN 'conditional' WHEN {_has("low", ("process", "how to", "과정", "steps", "방법", "어떻게"))} THEN 'procedural'
-        WHEN {_has("low", ("all", "list", "목록", "나열", "모든"))} OR {rlike("low", questions.TEMPORAL)} OR regexp_matches(low, '가장\\s*(?:많|큰|높|낮|적)|몇\\s*(?:건|개|명|회)|총\\s*(?:합계|규모|금액|인원)') THEN 'aggregation' WHEN {_has("low", ("reason", "why", "이유", "왜"))} THEN 'analytical' ELSE 'factual' END AS query_type
+        WHEN {_has("low", ("all", "list", "목록", "나열", "모든"))} OR {rlike("low", rules.TEMPORAL)} OR regexp_matches(low, '가장\\s*(?:많|큰|높|낮|적)|몇\\s*(?:건|개|명|회)|총\\s*(?:합계|규모|금액|인원)') THEN 'aggregation' WHEN {_has("low", ("reason", "why", "이유", "왜"))} THEN 'analytical' ELSE 'factual' END AS query_type
         FROM (SELECT conv_id, turn, text, lower(text) AS low, {_KIND} AS kind, {_one(_has("lower(text)", questions.COMPLEX))} + {_one("length(text) - length(translate(text, '?？', '')) >= 2")} + {_one(rlike("lower(text)", questions.CONDITIONAL))} AS hard,
-        {_one(_has("lower(text)", questions.MEDIUM))} + {_one("length(text) > 100")} + {_one(rlike("lower(text)", questions.TEMPORAL))} AS soft FROM conversations WHERE role = 'user')""",
+        {_one(_has("lower(text)", questions.MEDIUM))} + {_one("length(text) > 100")} + {_one(rlike("lower(text)", rules.TEMPORAL))} AS soft FROM conversations WHERE role = 'user')""",
 )
 def adaptive_weights(spark, sf_dir):
     t = F.col("text")

@@ -8,29 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.store import latest, replace_table, upserted
+from ..operators.store import KeyedTable, latest
 
 
 def read_table_stream(spark: SparkSession, path: str, schema: StructType, files: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list, prepare: Callable[[DataFrame], DataFrame] = lambda df: df):
-    """Upserts what arrives into a table and returns the started query; each batch replaces the table in one swap.
+def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, buckets: int = 64):
+    """Upserts what arrives into a keyed table and returns the started query; a batch rewrites the buckets that its keys fall into, no others.
 
-    A batch that is run again gives the same table: rows are replaced by key.
+    A batch that is run again after a failure changes nothing: the table's version names the last batch that it holds.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = latest(prepare(batch), keys, order)
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        replace_table(upserted(spark.read.parquet(target), fresh, keys) if there else fresh, target)
+    def write(batch: DataFrame, number: int) -> None:
+        KeyedTable(batch.sparkSession, target, keys, buckets).upsert(latest(prepare(batch), keys, order), number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, change) of two listings (path, modified): added, modified (another time) or deleted."""
+    both = before.select("path", F.col("modified").alias("a")).join(after.select("path", F.col("modified").alias("b")), "path", "full_outer")
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(F.col("a") != F.col("b"), "modified")
+    return both.select("path", change.alias("change")).where("change IS NOT NULL")
+
+
+def debounced(changes: DataFrame, gap: str = "2 seconds", delay: str | None = None) -> DataFrame:
+    """(path, start, change): a file's changes (path, ts, change) with less than `gap` between them as one; a deletion among them wins, else the last counts."""
+    if delay:
+        changes = changes.withWatermark("ts", delay)
+    found = changes.groupBy("path", F.session_window("ts", gap).alias("w")).agg(F.bool_or(F.col("change") == "deleted").alias("gone"), F.max_by("change", F.struct("ts", "change")).alias("last"))
+    return found.select("path", F.col("w.start").alias("start"), F.when(F.col("gone"), "deleted").otherwise(F.col("last")).alias("change"))
+
+
 def unseen(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
     """First rows of each key; state is kept no longer than the watermark."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessera import plugins
 from tessera.functions import profile, quality, questions, text
-from tessera.operators import answers, chunks, facts, graph, metrics, search, store
+from tessera.operators import answers, chunks, dialogue, facts, graph, metrics, search, store
 from tessera.sources import files
 from tessera.streaming import ingest
 
@@ -54,8 +54,30 @@ def test_quality(value):
 def test_profile(value):
     assert value(profile.structure, "제 3 조 목적") == "legal_hierarchical" and value(profile.structure, "# T\ntext") == "hierarchical"
     assert value(profile.structure, "a\n\nb\n\nc\n\nd") == "paragraphed" and value(profile.structure, "a") == "flat"
-    assert value(profile.domain, "contract clause liability") == "legal" and value(profile.domain, "zzz") == "general"
-    assert value(profile.primary_language, "한국어 abc") == "ko" and value(profile.primary_language, "123") == "unknown"
+    assert value(lambda t: profile.primary_language(profile.language_counts(t)), "한국어 abc") == "ko" and value(lambda t: profile.primary_language(profile.language_counts(t)), "123") == "unknown"
+    assert value(lambda t: profile.language_counts(t)["en"], "x" * 6000 + " 한국") == 6000 and value(lambda t: profile.language_counts(t)["ko"], "x" * 6000 + " 한국") == 2
+    assert value(profile.heading_depth, "# a\n### b") == 3 and value(profile.heading_depth, "<H2>x") == 2 and value(profile.heading_depth, "x") == 0
+    assert value(profile.sentence_length, "One two. Three four five six.") == 3
+
+
+def test_domain(value):
+    def told(t):
+        found = profile.domain_terms(text.token_set(t), F.lower(t))
+        scores = profile.domain_scores(found, profile.structure(t) == "legal_hierarchical", text.numeric_density(t), F.lit(0))
+        return F.struct(profile.domain(scores).alias("domain"), profile.domain_confidence(scores).alias("c"), found["medical"].alias("medical"))
+
+    for t, domain, c in (
+        ("the clause on liability and arbitration", "legal", 0.6),
+        ("each patient and the dosage of treatment in a clinical trial", "medical", 1.0),
+        ("kubernetes cluster", "technical", 0.4),
+        ("dividend and amortization", "financial", 0.4),
+        ("a refund for a ticket", "support", 0.4),
+        ("zzz", "general", 0.0),
+        ("clause refund", "legal", 0.17),
+    ):
+        got = value(told, t)
+        assert (got["domain"], got["c"]) == (domain, c), t
+    assert value(told, "patients with adverse reactions")["medical"] == ["adverse", "patient"]
 
 
 def test_questions(value):
@@ -142,23 +164,92 @@ def test_graph(spark):
     assert graph.entity_edges(names).count() == 3
 
 
+BRIEF = """[SEC-001] and SEC-002: 심각 취약점, 상태: 2024-03-05 진행 중
+매출: 25억원, 비용 약 1.5만
+자금 용도
+- 인프라 확충: 30억원
+개발팀 인원: 12명, 개발팀 팀장: 김하나
+v2.5.0 (2024-10-15) 릴리스
+[PAT-002] 발명자: 김하나, 이둘
+출원 완료
+한빛은행 Pro 계약"""
+
+
 def test_facts(spark, value):
-    df = spark.createDataFrame([(1, "Critical issue SEC-001 and SEC-002, still open"), (2, "PAT-002 granted"), (3, "SEC-001 low")], "chunk_id long, text string")
+    df = spark.createDataFrame([(1, BRIEF), (2, None), (3, ""), (4, "SEC-009 low"), (5, "취약점 High, low, HIGH"), (6, "PAT-1 and nothing else")], "chunk_id long, text string")
+    rows = facts.extracted_facts(df).collect()
+    kinds = [(r["type"], r["entity"], r["severity"], r["status"], r["action_date"]) for r in rows if r["type"] == "security_issue" and r["chunk_id"] == 1]
+    assert kinds == [("security_issue", "SEC-001", "Critical", "진행중", "2024-03-05"), ("security_issue", "SEC-002", "Critical", "진행중", "2024-03-05")]
+    one = lambda kind: [r for r in rows if r["type"] == kind and r["chunk_id"] == 1]
+    assert [(r["metric"], r["value"]) for r in one("finance_metric")] == [("매출", "25억"), ("비용", "1.5만")]
+    assert [(r["item"], r["value"]) for r in one("fund_allocation")] == [("인프라 확충", "30억")]
+    assert [(r["team"], r["headcount"]) for r in one("team_info")] == [("개발팀", "12")] and [r["leader"] for r in one("team_leader")] == ["김하나"]
+    assert [(r["version"], r["release_date"]) for r in one("product_version")] == [("v2.5.0", "2024-10-15")]
+    assert [(r["entity"], r["inventors"], r["status"]) for r in one("patent")] == [("PAT-002", ["김하나", "이둘"], "출원완료")]
+    assert [(r["customer"], r["tier"]) for r in one("customer_contract")] == [("한빛은행", "Pro")]
+    assert [(r["type"], r["severities"]) for r in rows if r["chunk_id"] == 5] == [("security_summary", ["High", "Low"])]
+    assert {r["chunk_id"] for r in rows} == {1, 4, 5}
     found = facts.extracted_facts(df)
-    assert {(r["chunk_id"], r["entity"], r["severity"], r["status"]) for r in found.collect()} == {(1, "SEC-001", "critical", "open"), (1, "SEC-002", "critical", "open"), (2, "PAT-002", None, None), (3, "SEC-001", "low", None)}
     index = facts.entity_index(found)
     at = lambda k: {r["chunk_id"] for r in index.where(F.col("key") == k).collect()}
-    assert at("severity_gte:high") == {1} and at("severity_gte:low") == {1, 3} and at("SEC-001") == {1, 3}
-    criteria = spark.createDataFrame([(1, "SEC-001"), (1, "severity_gte:high"), (1, "nothing"), (2, "nothing")], "query_id long, key string")
-    assert [tuple(r) for r in facts.combined_lookup(index, criteria).collect()] == [(1, 1)]
-    assert {r["chunk_id"] for r in facts.combined_lookup(index, criteria, union=True).collect()} == {1, 3}
+    assert at("severity_gte:High") == {1} and at("severity_gte:Low") == {1, 4} and at("SEC-001") == {1} and at("person:이둘") == {1} and at("customer:한빛은행") == {1} and at("fund_item:인프라 확충") == {1}
+    criteria = spark.createDataFrame([(1, "SEC-001"), (1, "severity_gte:High"), (1, "nothing"), (2, "nothing"), (3, "severity_gte:Low"), (3, "SEC-009")], "query_id long, key string")
+    assert sorted(tuple(r) for r in facts.combined_lookup(index, criteria).collect()) == [(1, 1), (3, 4)]
+    assert sorted(tuple(r) for r in facts.combined_lookup(index, criteria, union=True).collect()) == [(1, 1), (3, 1), (3, 4)]
     hits = spark.createDataFrame([(1, 1, 0.5), (1, 8, 0.9)], "query_id long, chunk_id long, score double")
     extra = spark.createDataFrame([(1, 1), (1, 3)], "query_id long, chunk_id long")
     assert {r["chunk_id"]: r["score"] for r in facts.injected(hits, extra).collect()} == {1: 0.8, 8: 0.9, 3: 0.8}
-    assert value(facts.asked_entities, "sec-001 or high, still open?") == ["SEC-001", "severity_gte:high", "status:open"]
-    assert value(facts.version_terms, "v2.5.0 (2024)") == ["2.5.0", "v2.5.0"]
-    assert value(facts.amount_terms, "3.2억 and 40%") == ["3.2억", "40%"]
-    assert value(facts.text_domains, "CVE-1 with revenue") == ["security", "finance"]
+    assert value(facts.asked_entities, "sec-001 high 이상, 조치 완료된 v2.5") == ["SEC-001", "V2.5", "severity_gte:High", "status:완료"]
+    assert value(facts.asked_domain, "특허 계약") == "patent" and value(facts.asked_domain, "x") is None
+    assert value(facts.version_terms, "v2.5.0 (2024)") == ["v2.5", "2.5 버전"]
+    assert value(facts.amount_terms, "3.2억 and 40만") == ["약 3억", "억 단위", "3억원대", "만원 단위"]
+    assert value(facts.date_terms, "2024-03-05 2024년 3월 2023/11/1") == ["2024년 상반기", "Q1 2024", "2024년 Q1", "3월", "2023년 하반기", "Q4 2023", "2023년 Q4", "11월"]
+    assert value(facts.status_terms, "상태: 완료") == ["조치 완료된", "조치 완료", "해결됨", "처리 완료"]
+    assert value(facts.severity_terms, "medium risk") == ["낮음 이상", "낮음 등급 이상", "Low 이상", "Low 등급 이상"]
+    assert value(facts.text_domains, "CVE-1 매출") == ["security", "finance"]
+    blocks = {r["domain"]: r["text"] for r in facts.fact_blocks(found).collect()}
+    assert blocks["contract"] == "[검증된 고객 데이터 (전체 목록)]\n  | 고객: 한빛은행 | 등급: Pro" and blocks["security"].count("\n") == 3
+    assert {r["domain"]: r["text"].count("\n") for r in facts.fact_blocks(found, lines=1).collect()}["security"] == 1
+    asked = spark.createDataFrame([(7, "고객사 목록은?"), (8, "nothing")], "query_id long, text string")
+    own = spark.createDataFrame([(7, "c1", "t", 0.5), (8, "c1", "t", 0.5)], "query_id long, chunk_id string, text string, score double")
+    assert sorted((r["query_id"], r["chunk_id"], r["score"]) for r in facts.with_fact_block(own, asked, facts.fact_blocks(found)).collect()) == [(7, "c1", 0.5), (7, "facts", 0.55), (8, "c1", 0.5)]
+
+
+def test_decomposition(value):
+    for t, parts in (
+        ("회의록의 채용 계획과 로드맵의 채용 계획이 일치하나요?", 3),
+        ("CTO가 겸임하는 팀은 개발팀이고, 그 팀의 예산은 모두 얼마인가요?", 2),
+        ("Series C 200억원이 성공하면 총 누적 투자액은 얼마인가요?", 3),
+        ("one thing", 1),
+        ("", 1),
+    ):
+        assert len(value(questions.decomposed, t)) == parts, t
+    assert value(questions.decomposed, "회의록의 채용 계획과 로드맵의 채용 계획이 일치하나요?")[:2] == ["회의록의 채용 계획은?", "로드맵의 채용 계획은?"]
+    assert value(questions.decomposed, "베타 대비 알파의 기술적 장점은?")[:2] == ["베타의 기술적 장점은은?", "알파의 기술적 장점은과 차별화 요소는?"]
+    assert value(questions.decomposed, "Series C가 실패하면 현재 런웨이로 언제까지 운영 가능한가요?")[:2] == ["현재 런웨이는 얼마인가요?", "Series C 준비 상황은?"]
+
+
+def test_expected_parts(value):
+    parts = lambda t: (lambda p: p and (p["kind"], p["n"], p["items"]))(value(questions.expected_parts, t))
+    assert parts("3건의 계약") == ("count", 3, []) and parts("1건의 계약") is None and parts("hi") is None
+    assert parts("A vs B") == ("comparison", 2, ["A", "B"]) and parts("매출과 비용 및 이익을 알려줘")[0] == "enumeration"
+    assert parts("모두 알려줘") == ("collection", None, []) and parts("what is it") is None
+    count = lambda a: value(questions.counted_items, a)
+    assert count("1. a\n2. b\n2) c") == 2 and count("- a\n- b\n* c") == 3 and count("**a**: x **b**: y") == 2 and count("a\nb\nc") == 3 and count("a b") == 1
+
+
+def test_dialogue(spark):
+    known = {"Acme": "company", "Rocket": "product"}
+    history = [("user", "Tell me about Acme"), ("assistant", "It makes **Rocket**, and **결론** here"), ("user", "and more")]
+    assert dialogue.resolved("what does it cost?", history, known) == "what does Rocket cost?"
+    assert dialogue.resolved("그 회사의 매출은?", history, known) == "Acme의 매출은?" and dialogue.resolved("그 제품은?", history, known) == "Rocket은?"
+    assert dialogue.resolved("what does it cost?", history[:1], known) == "what does it cost?" and dialogue.resolved("plain words", history, known) == "plain words"
+    rows = [(1, i, r, t) for i, (r, t) in enumerate([*history, ("assistant", "ok"), ("user", "what does it cost?"), ("user", None)])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r["standalone"] for r in dialogue.rewritten(df, known).collect()}
+    assert got[4] == "what does Rocket cost?" and got[0] == "Tell me about Acme" and got[5] is None
+    topics = {r["turn"]: (r["topic"], r["augmented"]) for r in dialogue.continued_topics(df, ["Acme", "Rocket"]).collect()}
+    assert topics[4] == ("Rocket", "Rocket what does it cost?") and topics[0][0] is None and topics[2] == ("Rocket", "Rocket and more")
 
 
 def test_stores(spark, tmp_path):
@@ -167,10 +258,23 @@ def test_stores(spark, tmp_path):
     changes = store.change_set(old, new)
     assert {tuple(r) for r in changes.collect()} == {(1, "deleted"), (2, "modified"), (4, "added")}
     assert sorted(map(tuple, store.applied(old, new, changes).collect())) == sorted(map(tuple, new.collect()))
-    path = str(tmp_path / "t")
-    store.replace_table(old, path)
-    store.replace_table(store.upserted(spark.read.parquet(path), new, ["doc_id"]), path)
-    assert spark.read.parquet(path).count() == 4
+    table = store.KeyedTable(spark, str(tmp_path / "t"), ["doc_id"], buckets=8)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    assert table.upsert(old, 0) and table.upsert(new, 1) and not table.upsert(old, 1)
+    assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]
+    first, now = table.manifest(1), table.manifest()
+    changed = {b for b in now["buckets"] if now["buckets"][b] != first["buckets"].get(b)}
+    assert (first["version"], now["version"], now["batch"]) == (1, 2, 1) and len(changed) <= 3
+    table.upsert(new.limit(0), 2)
+    assert table.read().count() == 4
+    assert sorted(r["doc_id"] for r in store.by_ids(old, new).collect()) == [2, 3]
+    assert sorted(map(tuple, store.updated(old, spark.createDataFrame([(1, "z"), (2, None), (9, "q")], "doc_id long, text string")).collect())) == [(1, "z"), (2, "b"), (3, "c")]
+    ways = store.Backends(parquet=lambda path: path)
+    ways.register("other", lambda path, x=1: (path, x))
+    assert ways.names() == ["other", "parquet"] and ways.open("other", "p", x=2) == ("p", 2)
+    with pytest.raises(KeyError):
+        ways.open("none")
     with pytest.raises(ValueError):
         store.listed(old, {"a; drop": 1}, ["doc_id"], 1)
     rows = spark.createDataFrame([(1, None, None), (2, ["u"], []), (3, [], ["x"])], "id long, acl_users array<string>, acl_roles array<string>")
@@ -193,6 +297,11 @@ def test_answers(spark, value):
     assert mapped("x [2] y [Source 3] [9] [2]") == [2, 3] and mapped("none") == [1, 2, 3]
     conf = lambda a, s: spark.createDataFrame([(a, s)], "a string, s double").select(answers.confidence(F.col("a"), F.col("s")).alias("v")).first()["v"]
     assert conf("not strongly_supported", 0.0) == "strongly_supported" and conf("x", 0.6) == "partially_supported" and conf("x", 0.1) == "insufficient_evidence"
+    assert answers.flattened("### 확정 (2건)\n1. a\n2. b\n## other\n- c\n### 진행 중\n- d") == "1. a [확정]\n2. b [확정]\n## other\n- c\n- d [진행 중]"
+    assert value(answers.flattened_statuses, "### 완료\n- x") == "- x [완료]" and value(answers.cleaned, "text\n신뢰도: strongly_supported ") == "text"
+    assert value(lambda t: answers.truncated(t, F.lit(20)), "One two three. Four five six seven.") == "One two three...."
+    assert answers.unfounded("고객 가나은행과 다라전자 계약", ["가나은행"], {}, []) == ["다라전자"] and answers.unfounded("고객 다라전자", ["가나"], {}, ["다라전자 문서"]) == []
+    assert answers.unfounded("매출은 30원", [], {"매출": "20원"}, []) == ["매출"] and answers.unfounded("매출은 20원", [], {"매출": "20원"}, []) == []
     assert value(answers.looks_insufficient, "short") and not value(answers.looks_insufficient, "A long enough answer that says what was asked for.")
     short = answers.compress("cats sleep", "Intro here. Dogs bark. Cats sleep long. Birds fly. The end.", 0.6)
     assert short == "Intro here. Cats sleep long. The end."
@@ -201,6 +310,13 @@ def test_answers(spark, value):
     assert {(r["n_merged"], r["text"], r["score"]) for r in answers.merged_neighbours(hits).collect()} == {(2, "a\nb", 0.9), (1, "d", 0.2)}
     made = answers.generated(spark.createDataFrame([(1, "p")], "id long, prompt string"), lambda ps: [p.upper() for p in ps]).first()
     assert made["answer"] == "P"
+    rows = spark.createDataFrame([(1, i, 1.0 / (i + 1), "q", f"text {i}") for i in range(12)], "query_id long, id long, score double, question string, text string")
+    counted = lambda ps: ["" if "text 3" in p and "[" not in p else str(p.count("\n")) for p in ps]
+    assert answers.map_reduced(rows, counted).first()["answer"] == "10"
+    told = spark.createDataFrame([(1, "q", "short"), (2, "q", "A long enough answer that says what was asked for."), (3, "q", None)], "query_id long, question string, answer string")
+    again = lambda bad: bad.select("query_id", F.when(F.col("query_id") == 1, "Now it is long enough, and says what was asked.").alias("answer"))
+    done = {r["query_id"]: (r["answer"], r["tried"]) for r in answers.corrected(told, [("retry", answers.looks_insufficient, again), ("more", answers.looks_insufficient, again)]).collect()}
+    assert done[1] == ("Now it is long enough, and says what was asked.", ["retry"]) and done[2][1] == [] and done[3] == (None, ["retry", "more"])
 
 
 def test_files(spark, tmp_path):
@@ -225,7 +341,7 @@ def test_stream_equals_batch(spark, tmp_path):
         events.where(F.col("event_id") % 3 == k).write.mode("append").parquet(str(tmp_path / "in"))
     stream = ingest.read_table_stream(spark, str(tmp_path / "in"), events.schema, files=1)
     ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["event_id"], ["ts"]).awaitTermination()
-    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(events.columns).collect())) == sorted(map(str, events.collect()))
+    assert sorted(map(str, store.KeyedTable(spark, str(tmp_path / "out"), ["event_id"]).read().select(events.columns).collect())) == sorted(map(str, events.collect()))
     query = ingest.unseen(ingest.read_table_stream(spark, str(tmp_path / "in"), events.schema), "event_id", "ts").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("seen").count() == 50
