@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.html import html_text
 from ..functions.text import array_jaccard, token_set
 from ..operators import answers, chunks, dialogue, facts, graph, metrics, search, store
+from ..sources import files
 from ..streaming import ingest
 from . import factsql, tablesql
 from .tables import read
@@ -359,3 +361,53 @@ def rate_limit_replay(spark, sf_dir):
 @query("perturbed_corpus")
 def perturbed_corpus(spark, sf_dir):
     return factsql.briefs(spark, sf_dir).select("chunk_id", F.md5(metrics.perturbed(F.col("text"), 7)).alias("content"))
+
+
+# ---- sources
+
+
+@query("url_filter", r"SELECT page_id, host <> '' AND NOT regexp_matches(host, '^(?:localhost|.*\.local|.*\.internal|0\..*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(?:1[6-9]|2\d|3[01])\..*|\[.*\])$') AS allowed FROM (SELECT page_id, regexp_extract(lower(CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, 'https://', 'ftp://') WHEN 2 THEN 'http://10.0.0.' || page_id ELSE 'http://u@example.local/' || page_id END), '^https?://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]+)', 1) AS host FROM pages)")
+def url_filter(spark, sf_dir):
+    k = F.col("page_id")
+    url = F.when(k % 4 == 0, F.col("url")).when(k % 4 == 1, F.replace("url", F.lit("https://"), F.lit("ftp://"))).when(k % 4 == 2, F.concat(F.lit("http://10.0.0."), k.cast("string"))).otherwise(F.concat(F.lit("http://u@example.local/"), k.cast("string")))
+    return read(spark, sf_dir, "pages").select("page_id", files.allowed_url(url).alias("allowed"))
+
+
+@query("sync_count", "SELECT count(*) AS added FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01 00:00:00'")
+def sync_count(spark, sf_dir):
+    return files.synced_since(read(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("modified_at")), "1997-01-01 00:00:00")
+
+
+_KINDS = tuple(files.MIME)
+_FILE = f"CASE c_custkey % {len(_KINDS) + 1} " + " ".join(f"WHEN {i} THEN '/data/part.{i}/File ' || c_custkey || '.{k.upper() if i % 2 else k}'" for i, k in enumerate(_KINDS)) + " ELSE '/data/x.y/none' || c_custkey END"
+
+
+@query("file_kinds", rf"SELECT c_custkey, CASE lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in files.MIME.items())} ELSE 'application/octet-stream' END AS mime, regexp_extract(path, '([^/]+?)(?:\.[^./]*)?$', 1) AS title FROM (SELECT c_custkey, {_FILE} AS path FROM customer)")
+def file_kinds(spark, sf_dir):
+    k = F.col("c_custkey")
+    path = F.concat(F.lit("/data/x.y/none"), k.cast("string"))
+    for i, ext in enumerate(_KINDS):
+        path = F.when(k % (len(_KINDS) + 1) == i, F.concat(F.lit(f"/data/part.{i}/File "), k.cast("string"), F.lit(f".{ext.upper() if i % 2 else ext}"))).otherwise(path)
+    rows = read(spark, sf_dir, "customer").select("c_custkey", path.alias("path"))
+    return rows.select("c_custkey", files.mime_type(F.col("path")).alias("mime"), files.file_stem(F.col("path")).alias("title"))
+
+
+@query(
+    "parser_comparison",
+    f"SELECT source_id, parser, CAST(n AS INTEGER) AS text_length, CAST(w AS INTEGER) AS word_count, CAST(CASE WHEN max(n) OVER s > 0 THEN round((max(n) OVER s - min(n) OVER s) / max(n) OVER s, 6) ELSE 0 END AS DOUBLE) AS text_diff_ratio FROM (SELECT page_id AS source_id, 'blocks' AS parser, length(text) AS n, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w FROM ({SQL['html_to_text']}) UNION ALL SELECT page_id, 'tags', length(t), len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS t FROM pages)) WINDOW s AS (PARTITION BY source_id)",
+)
+def parser_comparison(spark, sf_dir):
+    """Two ways to read a page: text by blocks, and what is left without tags."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"), "html")
+    both = pages.select("source_id", F.lit("blocks").alias("parser"), html_text(F.col("html")).alias("text")).unionByName(pages.select("source_id", F.lit("tags").alias("parser"), F.regexp_replace("html", "<[^>]+>", "").alias("text")))
+    return files.compared_parsers(both)
+
+
+_BLOCKS = ("paragraph", "heading_1", "heading_2", "heading_3", "bulleted_list_item", "numbered_list_item", "to_do", "quote", "code", "divider", "image")
+_LINES = ("text", "'# ' || text", "'## ' || text", "'### ' || text", "'- ' || text", "'1. ' || text", "CASE WHEN turn % 2 = 0 THEN '- [x] ' ELSE '- [ ] ' END || text", "'> ' || text", "'```' || role || chr(10) || text || chr(10) || '```'", "'---'", "NULL")
+
+
+@query("block_lines", f"SELECT conv_id, turn, md5(CASE (conv_id + turn) % {len(_BLOCKS)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_LINES))} END) AS line FROM conversations")
+def block_lines(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, _BLOCKS)), ((F.col("conv_id") + F.col("turn")) % len(_BLOCKS) + 1).cast("int"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(files.block_line(kind, F.col("text"), F.col("turn") % 2 == 0, F.col("role"))).alias("line"))

@@ -1,5 +1,8 @@
 """Worked examples of rules that the synthetic tables do not reach: Hangul, Markdown, files, chunk folds, graph, answers."""
 
+import time
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 from tessera import plugins
@@ -322,19 +325,55 @@ def test_answers(spark, value):
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_bytes("안녕".encode("cp949"))
-    (tmp_path / "sub/b.md").write_text("---\ntitle: T\n---\n# Body")
+    (tmp_path / "sub/b.md").write_text("---\ntitle: T\nauthor: A\nyear: 2024\n---\n# Body")
     (tmp_path / "c.csv").write_text("x,y\n1,2,3\n")
     (tmp_path / "d.txt").write_text(" \n")
     (tmp_path / "e.xyz").write_text("?")
     (tmp_path / "f.docx").write_bytes(b"no zip")
+
+    def archive(name, members):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for k, v in members.items():
+                z.writestr(k, v)
+
+    archive("g.pptx", {"ppt/slides/slide2.xml": "<s xmlns:a='x'><a:p><a:t>two</a:t></a:p></s>", "ppt/slides/slide1.xml": "<s xmlns:a='x'><a:p><a:t>o</a:t><a:t>ne</a:t></a:p></s>", "ppt/slides/slide10.xml": "<s/>"})
+    sheet = "<w xmlns='m'><sheetData><row><c r='A1' t='s'><v>0</v></c><c r='B1' t='inlineStr'><is><t>h2</t></is></c></row><row><c r='B2'><v>7</v></c><c r='C2'><v>8</v></c></row></sheetData></w>"
+    archive("h.xlsx", {"xl/workbook.xml": "<w xmlns='m'><sheets><sheet name='Plan'/></sheets></w>", "xl/sharedStrings.xml": "<s xmlns='m'><si><t>h1</t></si></s>", "xl/worksheets/sheet1.xml": sheet})
+    archive("i.hwpx", {"Contents/section0.xml": "<h xmlns:p='x'><p:p><p:t>한</p:t><p:t>글</p:t></p:p></h>", "mimetype": "x"})
+    archive("j.hwpx", {"Contents/section0.xml": "<h/>"})
+    archive("k.unknown", {"word/document.xml": "<d xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'><w:p><w:t>doc</w:t></w:p></d>"})
     got = {r["title"]: r for r in files.parsed(files.read_files(spark, str(tmp_path))).collect()}
-    assert got["a"]["text"] == "안녕" and got["b"]["text"] == "# Body" and "Row 1: x: 1 | y: 2 | Column 3: 3" in got["c"]["text"]
+    assert got["g"]["text"] == "--- Slide 1 ---\none\n\n--- Slide 2 ---\ntwo" and got["h"]["text"] == "Sheet: Plan\nColumns: h1, h2\nRow 1: h1:  | h2: 7 | Column 3: 8"
+    assert got["i"]["text"] == "한글" and "no text" in got["j"]["error"] and got["k"]["text"] == "doc" and got["c"]["text"].startswith("Table: c\n")
+    assert got["a"]["text"] == "안녕" and got["T"]["text"] == "# Body" and got["T"]["author"] == "A" and got["T"]["custom"] == {"year": "2024"} and "Row 1: x: 1 | y: 2 | Column 3: 3" in got["c"]["text"]
     assert got["d"]["error"] == "empty" and got["e"]["error"] == "no parser for .xyz" and "BadZipFile" in got["f"]["error"]
     assert got["a"]["mime"] == "text/plain" and files.front_matter("--- x") == ({}, "--- x")
     urls = spark.createDataFrame([("https://a.org/x",), ("http://127.0.0.1/",), ("file:///etc",), ("http://u@10.1.1.1/",), ("https://[::1]/",)], "u string")
     assert [r[0] for r in urls.select(files.allowed_url(F.col("u"))).collect()] == [True, False, False, False, False]
 
 
+def test_parsers(spark, tmp_path):
+    p = files.default_parsers().register("txt", lambda raw, title: "short", "brief")
+    assert p.variants("TXT") == ["brief", "default"] and p.get("txt")(b"x", "") == "x"
+    p.activate("txt", "brief")
+    assert p.get("txt")(b"x", "") == "short" and p.get("nothing") is None
+    with pytest.raises(KeyError):
+        p.activate("txt", "none")
+    (tmp_path / "a.txt").write_text("one two three")
+    rows = files.compared_parsers(files.parser_trials(files.read_files(spark, str(tmp_path)), p, "txt")).collect()
+    assert {(r["parser"], r["text_length"], r["word_count"], r["text_diff_ratio"]) for r in rows} == {("default", 13, 3, 0.615385), ("brief", 5, 1, 0.615385)}
+    assert files.strip_tags("<p>a<script>x</script>b<!-- c --><style>" + "<script>" * 3) == "ab"
+    began = time.process_time()
+    for x in ("<script>", "<!--", "<p ", "<style", "<"):
+        files.strip_tags(x * 100_000)
+    assert time.process_time() - began < 5
+
+
+def test_paged_source(spark):
+    spark.dataSource.register(files.paged_source("pages_of_three", "page int, name string", [1, 2, 3], lambda page: [(page, f"item {page}.{i}") for i in range(page)]))
+    assert spark.read.format("pages_of_three").load().count() == 6
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(i, f"2024-01-01 00:{i % 60:02d}:00", "a", float(i)) for i in range(50)], "event_id long, t string, event_type string, value double").withColumn("ts", F.to_timestamp("t")).drop("t")
     for k in range(3):
