@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,16 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _closed(text: Column, begin: str, end: str, sign: str) -> Column:
     """Puts a sign before each `begin` that an `end` follows: from there a search for the end succeeds, so all of them take one pass."""
-    head = F.regexp_extract(text, f"(?is)^(.*{end})", 1)
-    return F.concat(F.regexp_replace(head, f"(?i){begin}", f"{sign}$0"), F.substr(text, F.length(head) + 1))
+    mark = lambda t, n: F.concat(F.regexp_replace(F.left(t, n), f"(?i){begin}", f"{sign}$0"), F.substr(t, n + 1))
+    head = lambda t: F.length(F.regexp_extract(t, f"(?is)^(.*{end})", 1))
+    return let(text, lambda t: let(head(t), lambda n: F.when(n == 0, t).otherwise(mark(t, n))))
 
 
 def html_text(html: Column) -> Column:
@@ -31,10 +39,10 @@ def html_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?is)\x03<(?:script|style)[^<>]*+>.*?</(?:script|style)>|\x02<!--.*?-->", "")
     text = F.regexp_replace(_closed(text, "<title", "</title>", "\x04"), r"(?is)\x04<title[^<>]*+>.*?</title>", "")
     text = F.translate(text, "\x02\x03\x04", "")
-    tagged = F.regexp_extract(text, "(?s)^(.*>)", 1)  # behind the last > there is no tag
-    rest = F.substr(text, F.length(tagged) + 1)
-    text = unescaped(F.concat(F.regexp_replace(F.regexp_replace(tagged, _BLOCK, "\n"), r"<[^>]+>", ""), rest))
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != ""), "\n")
+    # behind the last > there is no tag
+    bare = lambda t, n: F.concat(F.regexp_replace(F.regexp_replace(F.left(t, n), _BLOCK, "\n"), r"<[^>]+>", ""), F.substr(t, n + 1))
+    text = let(text, lambda t: let(F.length(t) - F.length(F.substring_index(t, ">", -1)), lambda n: bare(t, n)))
+    return F.array_join(F.filter(F.transform(F.split(unescaped(text), "\n"), stripped), lambda x: x != ""), "\n")
 
 
 def html_title(html: Column) -> Column:

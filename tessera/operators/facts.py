@@ -188,7 +188,12 @@ def contextual_text(prefix: Column, text: Column) -> Column:
 
 
 def entity_index(facts: DataFrame) -> DataFrame:
-    """(key, chunk_id), distinct: ids in capitals, type:, severity:, status:, tier:, deployment: (without blanks), person:, customer:,
+    """(key, chunk_id), distinct; see `entity_keys`."""
+    return entity_keys(facts).distinct()
+
+
+def entity_keys(facts: DataFrame) -> DataFrame:
+    """(key, chunk_id), a row for each key of each fact: ids in capitals, type:, severity:, status:, tier:, deployment: (without blanks), person:, customer:,
     fund_item:, and severity_gte: for the fact's level and all below. facts: chunk_id and any of a fact's columns."""
     has = lambda c: F.col(c) if c in facts.columns else F.lit(None).cast("string")
     tag = lambda name, c: F.concat(F.lit(f"{name}:"), c)
@@ -201,7 +206,7 @@ def entity_index(facts: DataFrame) -> DataFrame:
     people = F.transform(F.col("inventors"), lambda x: tag("person", x)) if "inventors" in facts.columns else F.lit(None)
     none = F.array().cast("array<string>")
     both = F.concat(F.array_compact(F.array(*keys)), F.coalesce(at_least, none), F.coalesce(people.cast("array<string>"), none))
-    return facts.select(F.explode(F.array_distinct(both)).alias("key"), "chunk_id").distinct()
+    return facts.select(F.explode(F.array_distinct(both)).alias("key"), "chunk_id")
 
 
 ASKED_STATUS = r"(?:조치\s*)?(완료|미조치|미해결|진행\s*중|보류)"

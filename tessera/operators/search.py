@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -35,45 +36,57 @@ _WORD = re.compile(r"\w+")
 
 
 def _counted(id_: pa.DataType, held, stats: bool):
-    """Words of each text with their numbers; with stats a row without a word: number and length of all texts."""
+    """Words of each text with their numbers; with stats a row without words: number and length of all texts."""
 
-    def rows(ids, at, terms, tf, dl) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())], ["id", "term", "tf", "dl"])
+    def rows(ids, terms, tf, size, dl) -> pa.RecordBatch:
+        at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(tf, pa.int64())), pa.array(dl, pa.int64())], LISTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, n, total = held.value if held else None, 0, 0
         for batch in batches:
-            ids = batch.column("id")
-            at, terms, tf, dl = [], [], [], []
-            for i, t in enumerate(batch.column("text")):
-                words = _WORD.findall((t.as_py() or "").lower())
+            first, terms, tf, size, dl = 0, [], [], [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                words = _WORD.findall((t or "").lower())
                 n, total = n + 1, total + len(words)
-                for w, c in Counter(words).items():
-                    if wanted is None or w in wanted:
-                        at.append(i)
-                        terms.append(w)
-                        tf.append(c)
-                        dl.append(len(words))
-                if len(at) > ROWS_AT_ONCE:
-                    yield rows(ids, at, terms, tf, dl)
-                    at, terms, tf, dl = [], [], [], []
-            if at:
-                yield rows(ids, at, terms, tf, dl)
+                own = Counter(words if wanted is None else filter(wanted.__contains__, words))
+                terms += own.keys()
+                tf += own.values()
+                size.append(len(own))
+                dl.append(len(words))
+                if len(terms) > ROWS_AT_ONCE:
+                    yield rows(batch.column("id").slice(first, i + 1 - first), terms, tf, size, dl)
+                    first, terms, tf, size, dl = i + 1, [], [], [], []
+            if size:
+                yield rows(batch.column("id").slice(first), terms, tf, size, dl)
         if stats and n:
-            yield rows(pa.nulls(1, id_), [0], [None], [n], [total])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_), pa.nulls(1, pa.list_(pa.string())), pa.array([[n]], pa.list_(pa.int64())), pa.array([total], pa.int64())], LISTS)
 
     return run
 
 
-def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text", only: list[str] | None = None, stats: bool = False) -> DataFrame:
-    """(id, term, tf, dl): how often each word occurs in each text, and the length of the text in words.
+LISTS = ["id", "terms", "tfs", "dl"]
+
+
+def term_lists(docs: DataFrame, id_: str = "doc_id", text: str = "text", only: list[str] | None = None, stats: bool = False) -> DataFrame:
+    """(id, terms, tfs, dl): the words of each text, how often each occurs, and the length of the text in words. Nothing is shuffled.
 
-    Counted inside each text: nothing is shuffled. only: just these words; stats: rows without a word give tf texts of dl words.
+    only: just these words; stats: rows with null terms give tfs[0] texts of dl words together.
     """
     context, kind = docs.sparkSession.sparkContext, docs.schema[id_].dataType
     held = None if only is None else context.broadcast(frozenset(only))
     own = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(_counted(to_arrow_type(kind), held, stats), f"id {kind.simpleString()}, term string, tf long, dl long")
+    return own.mapInArrow(_counted(to_arrow_type(kind), held, stats), f"id {kind.simpleString()}, terms array<string>, tfs array<long>, dl long")
+
+
+def flat_postings(lists: DataFrame) -> DataFrame:
+    """Term lists as rows (id, term, tf, dl)."""
+    return lists.where("terms IS NOT NULL").select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), "dl")
+
+
+def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, term, tf, dl): how often each word occurs in each text, and the length of the text in words."""
+    return flat_postings(term_lists(docs, id_, text))
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -87,19 +100,106 @@ def top(df: DataFrame, k: int, by: list[str], score: str = "score", id_: str = "
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, id, score) of all pairs with a common word; queries: (query_id, text)."""
+class _Best:
+    """The k best ids for each query, as scores come in; an id that occurs again counts with its best score."""
+
+    def __init__(self, k: int | None):
+        self.k, self.parts, self.held = k, [], 0
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: rows are ids, columns queries; -inf: not a hit."""
+        cut = np.full(scores.shape[1], -np.inf)
+        if self.k and len(scores) > self.k and len(np.unique(ids)) == len(ids):  # ids that repeat are joined first
+            cut = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
+        r, q = np.nonzero((scores >= cut) & np.isfinite(scores))
+        self.parts.append((q, scores[r, q], ids[r]))
+        self.held += len(q)
+        if self.held > SCORES_AT_ONCE // 4:
+            self.parts = [self.result()]
+            self.held = 0
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        q, s, i = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((-s, i, q))
+        q, s, i = q[order], s[order], i[order]
+        first = np.ones(len(q), bool)
+        first[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+        q, s, i = q[first], s[first], i[first]
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        at = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])[: len(q)])
+        place = np.arange(len(q)) - np.repeat(at, np.diff(np.append(at, len(q))))
+        use = place < self.k if self.k else np.ones(len(q), bool)
+        return q[use], s[use], i[use]
+
+    def batch(self, names: list, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        q, s, i = self.result()
+        return pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], kinds[0]), pa.array(i.tolist(), kinds[1]), pa.array(s)], ["query_id", "id", "score"])
+
+
+def _ranked(held, k: int, kinds: list[pa.DataType]):
+    """The k best texts of a partition for each query, from their term lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, idf, start, many, asked, average = held.value
+        terms, best, step = pa.array(terms, pa.string()), _Best(k), max(1, SCORES_AT_ONCE // max(len(names), 1))
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                own = batch.slice(lo, step)
+                size = pc.fill_null(pc.list_value_length(own.column("terms")), 0).to_numpy()
+                at = pc.index_in(own.column("terms").flatten(), value_set=terms)
+                known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+                at = pc.fill_null(at, 0).to_numpy()[known]
+                doc = np.repeat(np.arange(len(own)), size)[known]
+                tf, dl = own.column("tfs").filter(pc.is_valid(own.column("terms"))).flatten().to_numpy()[known], own.column("dl").to_numpy()[doc]
+                part = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+                n = many[at]
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                key = np.repeat(doc, n) * len(names) + asked[np.repeat(start[at], n) + inner]
+                score = np.bincount(key, np.repeat(part, n), len(own) * len(names)).reshape(len(own), len(names))
+                hit = score > 0
+                hit[~pc.is_valid(own.column("id")).to_numpy(zero_copy_only=False)] = False
+                rows = np.flatnonzero(hit.any(1))
+                if len(rows):
+                    best.add(np.where(hit, np.round(score, 6), -np.inf)[rows], np.array(own.column("id").take(pa.array(rows)).to_pylist()))
+        yield best.batch(names, kinds)
+
+    return run
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, id_: str = "doc_id") -> DataFrame:
+    """(query_id, id, score, rank) of each query's k best texts; queries: (query_id, text).
+
+    Texts are read once, into a stored table of term lists; the words' frequencies are counted in it, and a second pass over it scores in blocks and
+    leaves each partition's k best. More than TERMS_AT_ONCE words, or QUERIES_AT_ONCE queries, are joined with the table instead.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
-    few = terms.limit(TERMS_AT_ONCE + 1).count() <= TERMS_AT_ONCE
-    only = [r["term"] for r in terms.toLocalIterator()] if few else None
-    return scored_postings(stored(postings(docs, id_, text, only, stats=True), "postings"), asked)
+    bound = TERMS_AT_ONCE + QUERIES_AT_ONCE
+    rows = asked.limit(bound + 1).collect()
+    terms = sorted({r["term"] for r in rows})
+    names = sorted({r["query_id"] for r in rows})
+    if len(rows) > bound or len(names) > QUERIES_AT_ONCE:
+        index = stored(term_lists(docs, id_, stats=True), "postings")
+        return top(scored_postings(index, asked), k, ["query_id"])
+    index = stored(term_lists(docs, id_, only=terms, stats=True), "postings")
+    sizes = index.where("terms IS NULL").agg(F.sum(F.get("tfs", F.lit(0))).alias("n"), F.sum("dl").alias("dl")).first()
+    found = {r["term"]: r["count"] for r in index.where("terms IS NOT NULL").select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
+    n, df = sizes["n"] or 0, np.array([found.get(t, 0) for t in terms])
+    place, number = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(names)}
+    pairs = np.array(sorted((place[r["term"]], number[r["query_id"]]) for r in rows), np.int64).reshape(-1, 2)
+    many = np.bincount(pairs[:, 0], minlength=len(terms))
+    kinds = [queries.schema["query_id"].dataType, docs.schema[id_].dataType]
+    held = docs.sparkSession.sparkContext.broadcast((names, terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), np.cumsum(many) - many, many, pairs[:, 1], (sizes["dl"] or 0) / n if n else 1.0))
+    schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
+    return top(index.mapInArrow(_ranked(held, k, [to_arrow_type(x) for x in kinds]), schema), k, ["query_id"])
 
 
 def scored_postings(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, id, score) from a stored table of postings with statistics; asked: (query_id, term), distinct."""
-    sizes = index.where("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum("dl") / F.sum("tf")).alias("avgdl"))
-    posted = index.where("term IS NOT NULL").join(asked.select("term").distinct(), "term", "left_semi")
+    """(query_id, id, score) of all pairs with a common word, from stored term lists with statistics; asked: (query_id, term), distinct."""
+    sizes = index.where("terms IS NULL").agg(F.sum(F.get("tfs", F.lit(0))).alias("n"), (F.sum("dl") / F.sum(F.get("tfs", F.lit(0)))).alias("avgdl"))
+    posted = flat_postings(index.where("id IS NOT NULL")).join(asked.select("term").distinct(), "term", "left_semi")
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -107,10 +207,6 @@ def scored_postings(index: DataFrame, asked: DataFrame) -> DataFrame:
     return hits.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, id_: str = "doc_id") -> DataFrame:
-    return top(bm25_scores(docs, queries, id_), k, ["query_id"])
-
-
 def _containing(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, passages, anchors = held.value
@@ -164,22 +260,7 @@ def _nearest(held, k: int | None, floor: bool, tagged: str | None, kinds: list[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, by_size, tags = held.value
-        best_q, best_s, best_i = [], [], []
-
-        def kept() -> None:
-            q, s, i = (np.concatenate(x) for x in (best_q, best_s, best_i))
-            order = np.lexsort((-s, i, q))
-            q, s, i = q[order], s[order], i[order]
-            first = np.ones(len(q), bool)
-            first[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
-            q, s, i = q[first], s[first], i[first]
-            order = np.lexsort((i, -s, q))
-            q, s, i = q[order], s[order], i[order]
-            at = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])[: len(q)])
-            place = np.arange(len(q)) - np.repeat(at, np.diff(np.append(at, len(q))))
-            use = place < k if k else np.ones(len(q), bool)
-            best_q[:], best_s[:], best_i[:] = [q[use]], [s[use]], [i[use]]
-
+        best = _Best(k)
         for batch in batches:
             ids = np.array(batch.column("id").to_pylist())
             vectors = batch.column("vec").to_pylist()
@@ -197,19 +278,9 @@ def _nearest(held, k: int | None, floor: bool, tagged: str | None, kinds: list[p
                 if tagged:
                     same = mine[lo : lo + step, None] == tags[None]
                     s[same if tagged == "other" else ~same] = -np.inf
-                cut = np.full(len(names), -np.inf)
-                if k and len(s) > k and len(np.unique(ids[lo : lo + step])) == len(s):  # ids that repeat are joined first
-                    cut = np.partition(s, len(s) - k, axis=0)[len(s) - k]
-                r, q = np.nonzero((s >= cut) & np.isfinite(s))
-                best_q.append(q)
-                best_s.append(s[r, q])
-                best_i.append(ids[lo + r])
-                if sum(map(len, best_q)) > SCORES_AT_ONCE // 4:
-                    kept()
-        if best_q:
-            kept()
-            out = best_q[0]
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in out], kinds[0]), pa.array(best_i[0].tolist(), kinds[1]), pa.array(best_s[0])], ["query_id", "id", "score"])
+                best.add(s, ids[lo : lo + step])
+        if best.parts:
+            yield best.batch(names, kinds)
 
     return run
 

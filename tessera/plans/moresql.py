@@ -11,7 +11,7 @@ from ..operators import answers, chunks, dialogue, facts, graph, metrics, search
 from ..sources import files
 from ..streaming import ingest
 from . import factsql, tablesql
-from .tables import read
+from .tables import read, read_texts
 from .tablesql import _BM25, _DOCS, _HYPE, _ITEMS, _ORIGINAL, _PAIR, DEPTH, answered, asked, bm25_sql, topk_sql, turns, vectors
 from .texts import CHUNKS_SQL, SQL, filtered, q, query, windows, words
 
@@ -21,7 +21,7 @@ from .texts import CHUNKS_SQL, SQL, filtered, q, query, windows, words
 @query("documents_by_ids", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
 def documents_by_ids(spark, sf_dir):
     ids = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
-    return store.by_ids(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), ids)
+    return store.by_ids(read_texts(spark, sf_dir, "documents").select("doc_id", "n_chars"), ids)
 
 
 @query("documents_updated", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
@@ -38,7 +38,7 @@ def chunks_in_order(spark, sf_dir):
 
 @query("store_status", f"SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM {CHUNKS_SQL}) AS chunks, (SELECT bool_or(source = 'src1') FROM documents) AS has_source")
 def store_status(spark, sf_dir):
-    return store.status(read(spark, sf_dir, "documents"), windows(spark, sf_dir), "src1")
+    return store.status(read_texts(spark, sf_dir, "documents"), windows(spark, sf_dir), "src1")
 
 
 @query("vector_upsert", "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 10 = 0")
@@ -124,7 +124,7 @@ def contextual_index_text(spark, sf_dir):
 
 @query("text_blocks")
 def text_blocks(spark, sf_dir):
-    return chunks.folded(read(spark, sf_dir, "documents"), "blocks")
+    return chunks.folded(read_texts(spark, sf_dir, "documents"), "blocks")
 
 
 # ---- answers
@@ -164,7 +164,7 @@ def insufficient_answers(spark, sf_dir):
 
 
 def document_hits(spark, sf_dir, k=20):
-    docs = read(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir, "documents")
     return search.bm25_topk(docs, asked(spark, sf_dir), k).join(docs.select(F.col("doc_id").alias("id"), "text", "lang"), "id")
 
 
@@ -299,7 +299,7 @@ _LONG = f"list_filter({_SENTENCES.format('text')}, lambda s: length(s) > 20)"
         SELECT * FROM u ORDER BY md5(CAST(source AS VARCHAR) || strategy), source LIMIT 30""",
 )
 def synthetic_questions(spark, sf_dir):
-    return metrics.synthetic_questions(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), 30)
+    return metrics.synthetic_questions(read_texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), 30)
 
 
 GRID = [{"original": a / 4, "hype": b / 4, "bm25": (4 - a - b) / 4} for a in range(5) for b in range(5 - a)]
@@ -316,7 +316,7 @@ _GRID = "(" + " UNION ALL ".join(f"SELECT {i} AS setting, {g['original']} AS ori
         SELECT setting, round(avg(recall), 6) AS recall FROM (SELECT setting, query_id, count(r) / count(*) AS recall FROM (SELECT setting, g.* FROM g CROSS JOIN {_GRID}) LEFT JOIN b USING (setting, query_id, id) GROUP BY ALL) GROUP BY setting""",
 )
 def weights_autotune(spark, sf_dir):
-    return metrics.tuned(tablesql.fusion_lists(spark, sf_dir), search.containing(read(spark, sf_dir, "documents"), asked(spark, sf_dir)), GRID)
+    return metrics.tuned(tablesql.fusion_lists(spark, sf_dir), search.containing(read_texts(spark, sf_dir, "documents"), asked(spark, sf_dir)), GRID)
 
 
 _CASES = "(SELECT text AS answer, CASE turn % 3 WHEN 0 THEN ['DIE', 'zzz'] WHEN 1 THEN ['zzz'] ELSE [] END AS keywords, CASE WHEN conv_id % 2 = 0 THEN 'all' ELSE 'any' END AS match_mode, turn % 7 = 6 AS expect_insufficient, CASE WHEN conv_id % 4 = 0 THEN 'insufficient_evidence' ELSE 'x' END AS confidence, CASE WHEN conv_id % 3 = 0 THEN 'hard' ELSE 'easy' END AS difficulty, turn * 1.5 + conv_id % 10 AS latency FROM conversations)"
@@ -370,7 +370,7 @@ def perturbed_corpus(spark, sf_dir):
 def url_filter(spark, sf_dir):
     k = F.col("page_id")
     url = F.when(k % 4 == 0, F.col("url")).when(k % 4 == 1, F.replace("url", F.lit("https://"), F.lit("ftp://"))).when(k % 4 == 2, F.concat(F.lit("http://10.0.0."), k.cast("string"))).otherwise(F.concat(F.lit("http://u@example.local/"), k.cast("string")))
-    return read(spark, sf_dir, "pages").select("page_id", files.allowed_url(url).alias("allowed"))
+    return read_texts(spark, sf_dir, "pages").select("page_id", files.allowed_url(url).alias("allowed"))
 
 
 @query("sync_count", "SELECT count(*) AS added FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01 00:00:00'")
@@ -398,7 +398,7 @@ def file_kinds(spark, sf_dir):
 )
 def parser_comparison(spark, sf_dir):
     """Two ways to read a page: text by blocks, and what is left without tags."""
-    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"), "html")
+    pages = read_texts(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"), "html")
     both = pages.select("source_id", F.lit("blocks").alias("parser"), html_text(F.col("html")).alias("text")).unionByName(pages.select("source_id", F.lit("tags").alias("parser"), F.regexp_replace("html", "<[^>]+>", "").alias("text")))
     return files.compared_parsers(both)
 

@@ -10,3 +10,13 @@ from ..session import ship
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with much work for each row, spread over all cores where it is read as fewer parts than there are cores: a file of one row group is one
+    part. So many parts hold little, hence what is moved is small; larger tables are left as they are.
+    Filters and column choice reach the scan all the same.
+    """
+    rows = read(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import answers, chunks, facts, graph, metrics, search, store
 from ..session import shared_folder
 from ..streaming import ingest
-from .tables import read
+from .tables import read, read_texts
 from .texts import CHUNKS_SQL, filtered, query, windows, words
 
 _W = words("text")
@@ -18,7 +18,7 @@ _POSTED = f"(SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT d
 
 @query("tokenize_term_stats", f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM {_POSTED} GROUP BY term")
 def tokenize_term_stats(spark, sf_dir):
-    return search.term_stats(search.postings(read(spark, sf_dir, "documents")))
+    return search.term_stats(search.postings(read_texts(spark, sf_dir, "documents")))
 
 
 def bm25_sql(docs: str, queries: str) -> str:
@@ -43,7 +43,7 @@ def asked(spark, sf_dir):
 
 @query("bm25_topk", f"SELECT * FROM {topk_sql(_BM25, 5)}")
 def bm25_topk(spark, sf_dir):
-    return search.bm25_topk(read(spark, sf_dir, "documents"), asked(spark, sf_dir), 5)
+    return search.bm25_topk(read_texts(spark, sf_dir, "documents"), asked(spark, sf_dir), 5)
 
 
 _PAIRS = f"(SELECT item_id, doc_id, n / (x.n_x + y.n_y - n) AS overlap FROM (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(list_distinct({_W})) AS term FROM benchmark) JOIN (SELECT doc_id, unnest(list_distinct({_W})) AS term FROM documents) USING (term) GROUP BY ALL) JOIN (SELECT item_id, len(list_distinct({_W})) AS n_x FROM benchmark) x USING (item_id) JOIN (SELECT doc_id, len(list_distinct({_W})) AS n_y FROM documents) y USING (doc_id))"
@@ -112,7 +112,7 @@ def fusion_lists(spark, sf_dir):
     return {
         "original": search.vector_topk(vecs.select("id", "vec"), ask, DEPTH),
         "hype": search.vector_topk(vecs.select(F.floor(F.col("id") / 2).alias("id"), "vec"), ask, DEPTH),
-        "bm25": search.bm25_topk(read(spark, sf_dir, "documents"), asked(spark, sf_dir), DEPTH),
+        "bm25": search.bm25_topk(read_texts(spark, sf_dir, "documents"), asked(spark, sf_dir), DEPTH),
     }
 
 
@@ -200,7 +200,7 @@ def order_facts(spark, sf_dir):
     """Orders as facts: priority is severity, customer the entity."""
     level = F.col("o_orderpriority")
     severity = F.when(level == "1-URGENT", "Critical").when(level == "2-HIGH", "High").when(level == "3-MEDIUM", "Medium").otherwise("Low")
-    return read(spark, sf_dir, "orders").select(
+    return read_texts(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("chunk_id"), F.lit("security").alias("type"), F.concat(F.lit("CUST-"), F.col("o_custkey")).alias("entity"), severity.alias("severity"), F.lower("o_orderstatus").alias("status")
     )
 
@@ -220,7 +220,7 @@ def entity_lookup_combined(spark, sf_dir):
     name = F.concat_ws("/", "severity", "status")
     keys = F.array(F.concat(F.lit("severity_gte:"), F.col("severity")), F.concat(F.lit("status:"), F.col("status")), F.lit("type:none"))
     criteria = own.select(name.alias("query_id"), F.explode(keys).alias("key")).distinct()
-    return facts.combined_lookup(facts.entity_index(own), criteria)
+    return facts.combined_lookup(facts.entity_keys(own), criteria)
 
 
 @query(
@@ -245,7 +245,7 @@ _AFTER = "(SELECT doc_id, CASE WHEN source = 'src1' THEN text || ' edited' ELSE
 
 def two_versions(spark, sf_dir):
     """Documents before (all but French) and after (all but Spanish, one source edited)."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir, "documents")
     after = docs.where("lang <> 'es'").select("doc_id", F.when(F.col("source") == "src1", F.concat("text", F.lit(" edited"))).otherwise(F.col("text")).alias("text"))
     return docs.where("lang <> 'fr'").select("doc_id", "text"), after
 
@@ -281,7 +281,7 @@ def cascade_delete(spark, sf_dir):
 
 @query("document_listing_page", "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20")
 def document_listing_page(spark, sf_dir):
-    return store.listed(read(spark, sf_dir, "documents"), {"lang": "en"}, [F.desc("n_chars"), "doc_id"], 20, 20).select("doc_id", "n_chars")
+    return store.listed(read_texts(spark, sf_dir, "documents"), {"lang": "en"}, [F.desc("n_chars"), "doc_id"], 20, 20).select("doc_id", "n_chars")
 
 
 @query("acl_filter", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE' OR c_nationkey IN (3, 7)")
@@ -311,7 +311,7 @@ def semantic_cache_lookup(spark, sf_dir):
 @query("recall_at_k", f"SELECT i.query_id, round(coalesce(r, 1), 6) AS recall FROM (SELECT DISTINCT query_id FROM {_BM25}) i LEFT JOIN (SELECT query_id, count(h.id) / count(*) AS r FROM (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) g LEFT JOIN {topk_sql(_BM25, 5)} h USING (query_id, id) GROUP BY query_id) USING (query_id)")
 def recall_at_k(spark, sf_dir):
     hits = bm25_topk(spark, sf_dir)
-    relevant = search.containing(read(spark, sf_dir, "documents"), asked(spark, sf_dir))
+    relevant = search.containing(read_texts(spark, sf_dir, "documents"), asked(spark, sf_dir))
     return metrics.recall_at_k(hits, relevant, 5)
 
 
@@ -362,7 +362,7 @@ def checklist_score(spark, sf_dir):
 
 @query("metrics_rollup", "SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS chars, CAST(sum(toxic) AS BIGINT) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, source)")
 def metrics_rollup(spark, sf_dir):
-    both = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    both = read_texts(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
     return both.rollup("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("chars"), F.sum("toxic").alias("toxic"))
 
 
@@ -394,12 +394,12 @@ def citation_mapping(spark, sf_dir):
 
 @query("context_budget", "SELECT source, doc_id, used FROM (SELECT source, doc_id, CAST(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) WHERE used <= 16000")
 def context_budget(spark, sf_dir):
-    return answers.within_budget(read(spark, sf_dir, "documents"), "source", ["doc_id"], "text", 16000).select("source", "doc_id", "used")
+    return answers.within_budget(read_texts(spark, sf_dir, "documents"), "source", ["doc_id"], "text", 16000).select("source", "doc_id", "used")
 
 
 @query("dedup_exact", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def dedup_exact(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
+    return read_texts(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
 _WIN = "event_type, count(*) AS n, round(sum(value), 4) AS total"
@@ -434,7 +434,7 @@ def stream_incremental_ingest(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    return search.bm25_topk(read(spark, sf_dir, "documents"), asked(spark, sf_dir), 20).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return search.bm25_topk(read_texts(spark, sf_dir, "documents"), asked(spark, sf_dir), 20).join(read_texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
 
 
 @query("mmr_diversity")
@@ -455,17 +455,17 @@ def extractive_compression(spark, sf_dir):
 
 @query("packed_sentence_chunks")
 def packed_sentence_chunks(spark, sf_dir):
-    return chunks.folded(read(spark, sf_dir, "documents"), "fixed")
+    return chunks.folded(read_texts(spark, sf_dir, "documents"), "fixed")
 
 
 @query("semantic_chunks")
 def semantic_chunks(spark, sf_dir):
-    return chunks.folded(read(spark, sf_dir, "documents"), "semantic")
+    return chunks.folded(read_texts(spark, sf_dir, "documents"), "semantic")
 
 
 @query("structural_chunks")
 def structural_chunks(spark, sf_dir):
-    return chunks.folded(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "structural")
+    return chunks.folded(read_texts(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "structural")
 
 
 @query("coherence_gate")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, profile, quality, questions, rules, text
 from ..operators import chunks
-from .tables import read
+from .tables import read, read_texts
 
 QUERIES, SQL = {}, {}
 
@@ -76,7 +76,7 @@ def completeness_sql(x: str) -> str:
 )
 def filtered_token_sets(spark, sf_dir):
     own = text.filtered_tokens(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(own).alias("n_tokens"), F.array_join(F.sort_array(own), " ").alias("tokens"))
+    return read_texts(spark, sf_dir, "documents").select("doc_id", F.size(own).alias("n_tokens"), F.array_join(F.sort_array(own), " ").alias("tokens"))
 
 
 @query(
@@ -89,7 +89,7 @@ def filtered_token_sets(spark, sf_dir):
 )
 def text_measures(spark, sf_dir):
     t = F.col("text")
-    return read(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir, "documents").select(
         "doc_id",
         text.numeric_density(t).alias("numeric_density"),
         text.token_estimate(t).alias("token_estimate"),
@@ -125,7 +125,7 @@ def char_bigram_similarity(spark, sf_dir):
         (SELECT doc_id, {hits("h", text.HANGUL)} AS ko, {hits("h", chr(91) + chr(92) + "x{4E00}-" + chr(92) + "x{9FFF}]")} AS zh, {hits("h", "[a-zA-Z]")} AS en FROM (SELECT doc_id, text AS h FROM documents))""",
 )
 def language_mix(spark, sf_dir):
-    counted = read(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in profile.language_counts(F.col("text")).items()))
+    counted = read_texts(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in profile.language_counts(F.col("text")).items()))
     n = {k: F.col(k) for k in ("ko", "zh", "en")}
     return counted.select("doc_id", *(c.alias(k) for k, c in profile.language_shares(n).items()), profile.primary_language(n).alias("main"))
 
@@ -141,7 +141,7 @@ _QUALITY = rf"""(SELECT doc_id, CASE WHEN size = 0 THEN 0.0 ELSE round(0.3 * CAS
 
 @query("document_quality", f"SELECT doc_id, CAST(score AS DOUBLE) AS score FROM {_QUALITY}")
 def document_quality(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", quality.document_quality(F.col("text")).alias("score"))
+    return read_texts(spark, sf_dir, "documents").select("doc_id", quality.document_quality(F.col("text")).alias("score"))
 
 
 @query("quality_vs_labels", f"SELECT l.quality, count(*) AS n, round(avg(score), 6) AS average, CAST(min(score) AS DOUBLE) AS least FROM labels l JOIN {_QUALITY} USING (doc_id) GROUP BY l.quality")
@@ -162,7 +162,7 @@ def _denoise_sql(x: str) -> str:
 
 @query("denoise_text", f"SELECT doc_id, md5({_denoise_sql('text')}) AS content FROM documents")
 def denoise_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(quality.denoised(F.col("text"))).alias("content"))
+    return read_texts(spark, sf_dir, "documents").select("doc_id", F.md5(quality.denoised(F.col("text"))).alias("content"))
 
 
 def _html_sql() -> str:
@@ -183,12 +183,12 @@ def _title_sql() -> str:
 
 @query("html_to_text", f"SELECT page_id, {_html_sql()} AS text FROM pages")
 def html_to_text(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", html.html_text(F.col("html")).alias("text"))
+    return read_texts(spark, sf_dir, "pages").select("page_id", html.html_text(F.col("html")).alias("text"))
 
 
 @query("html_title", rf"SELECT page_id, {_title_sql()} AS title, CAST(len(regexp_extract_all(html, '(?i)<h[1-6][\s>]')) AS INTEGER) AS headings FROM pages")
 def html_title(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", html.html_title(F.col("html")).alias("title"), html.heading_count(F.col("html")).alias("headings"))
+    return read_texts(spark, sf_dir, "pages").select("page_id", html.html_title(F.col("html")).alias("title"), html.heading_count(F.col("html")).alias("headings"))
 
 
 _TAB = f"({hits('text', profile.TABLES[0])} + {hits('text', profile.TABLES[1])} + {hits('text', profile.TABLES[2])})"
@@ -207,7 +207,7 @@ _PROFILE = f"""(SELECT doc_id, text, structure, tables, lists, code, paragraphs,
 def profiled(spark, sf_dir):
     """Each pattern is counted once; what follows from the counts is computed from them."""
     t = F.col("text")
-    counted = read(spark, sf_dir, "documents").select("doc_id", "text", profile._tables(t).alias("tables"), profile._lists(t).alias("lists"), profile._code(t).alias("code"), profile.paragraphs(t).alias("paragraphs"))
+    counted = read_texts(spark, sf_dir, "documents").select("doc_id", "text", profile._tables(t).alias("tables"), profile._lists(t).alias("lists"), profile._code(t).alias("code"), profile.paragraphs(t).alias("paragraphs"))
     counted = counted.withColumn("structure", profile.structure(t, F.col("tables")))
     legal = F.col("structure") == "legal_hierarchical"
     return counted.withColumn("information", profile.information_type(F.col("tables"), F.col("code"), F.col("lists"), F.col("paragraphs"), legal))
@@ -273,7 +273,7 @@ CHUNKS_SQL = f"""(SELECT doc_id, CAST(pos // {SIZE - OVERLAP} AS INTEGER) AS chu
 
 
 def windows(spark, sf_dir):
-    return chunks.word_windows(read(spark, sf_dir, "documents"), SIZE, OVERLAP)
+    return chunks.word_windows(read_texts(spark, sf_dir, "documents"), SIZE, OVERLAP)
 
 
 @query("fixed_word_chunks", f"SELECT * FROM {CHUNKS_SQL}")
@@ -341,7 +341,7 @@ def adaptive_weights(spark, sf_dir):
 
 @query("malicious_input_filter", f"SELECT doc_id, {rlike('text', questions.MALICIOUS)} AS malicious FROM documents")
 def malicious_input_filter(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", questions.is_malicious(F.col("text")).alias("malicious"))
+    return read_texts(spark, sf_dir, "documents").select("doc_id", questions.is_malicious(F.col("text")).alias("malicious"))
 
 
 @query("needs_aggregation", f"SELECT conv_id, turn, NOT {rlike('text', questions.SINGLE_FACT)} AND {rlike('text', questions.AGGREGATE)} AS aggregates FROM conversations")

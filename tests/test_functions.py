@@ -406,8 +406,8 @@ def test_every_hit_is_compressed(spark):
 
     folder = str(DATA / "sf0.001")
     query = {r["query_id"]: r["text"] for r in tablesql.asked(spark, folder).collect()}
-    docs = {r["doc_id"]: r["text"] for r in tablesql.read(spark, folder, "documents").collect()}
-    hits = search.bm25_topk(tablesql.read(spark, folder, "documents"), tablesql.asked(spark, folder), 20).collect()
+    docs = {r["doc_id"]: r["text"] for r in tablesql.read_texts(spark, folder, "documents").collect()}
+    hits = search.bm25_topk(tablesql.read_texts(spark, folder, "documents"), tablesql.asked(spark, folder), 20).collect()
     want = sorted((h["query_id"], h["id"], answers.compress(query[h["query_id"]], docs[h["id"]])) for h in hits)
     got = sorted(tuple(r) for r in tablesql.extractive_compression(spark, folder).collect())
     assert got == want and max(h["rank"] for h in hits) > 1
