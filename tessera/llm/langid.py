@@ -53,17 +53,26 @@ def grams(off: np.ndarray, data: np.ndarray, i: int, j: int) -> tuple[np.ndarray
     return g[ok], seen[np.minimum(at, len(ok))]
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams of texts by language, and how often each occurs."""
+    for batch in batches:
+        off, data = strings(batch.column("text"), lower=True)
+        names = batch.column("lang").dictionary_encode()
+        lang = names.indices.to_numpy()
+        for i, j in chunks(off):
+            g, first = grams(off, data, i, j)
+            key, n = np.unique(np.repeat(lang[i:j].astype(np.uint64), np.diff(first)) << U64(32) | g, return_counts=True)
+            rows = [names.dictionary.take(pa.array((key >> U64(32)).astype(np.int64))), pa.array((key & U64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(rows, ["lang", "gram", "n"])
+
+
 class LanguageFilter:
     """The bit-sliced filter; picklable."""
 
-    def __init__(self, texts: dict[str, list[str]], least: int = LEAST, hashes: int = HASHES):
-        self.names, self.hashes = sorted(texts), hashes
-        sets = []
-        for name in self.names:
-            off, data = strings(pa.array(texts[name], pa.string()), lower=True)
-            found = [grams(off, data, i, j)[0] for i, j in chunks(off)]
-            g, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_counts=True)
-            sets.append(g[n >= least])
+    def __init__(self, found: dict[str, np.ndarray], hashes: int = HASHES):
+        """found: the n-grams of each language."""
+        self.names, self.hashes = sorted(found), hashes
+        sets = [found[name] for name in self.names]
         self.size = power_of_two(16 * max([256, *map(len, sets)]))
         self.planes = []
         fill = []
@@ -114,16 +123,15 @@ class LanguageFilter:
         return np.concatenate(best).tolist(), np.concatenate(score), np.concatenate(total)
 
 
-def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageFilter:
-    """A filter from at most `per_language` labelled rows of each language."""
+def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE, least: int = LEAST) -> LanguageFilter:
+    """A filter from at most `per_language` labelled rows of each language; their texts stay on the executors."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
     sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    texts: dict[str, list[str]] = {}
-    for row in sample.select("lang", "text").toLocalIterator():
-        texts.setdefault(row["lang"], []).append(row["text"])
-    return LanguageFilter(texts)
+    seen = sample.select("lang", "text").mapInArrow(tidy(counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    kept = seen.groupBy("lang").agg(F.collect_list(F.when(F.col("n") >= least, F.col("gram"))).alias("grams"))  # 4 bytes each: at most some MB
+    return LanguageFilter({r["lang"]: np.sort(np.array(r["grams"], np.int64).astype(np.uint32)) for r in kept.toLocalIterator()})
 
 
 def _labels(model):
