@@ -54,6 +54,8 @@ RARE = 8
 PAIRS_AT_ONCE = 1_000_000
 GRAMS_AT_ONCE = 1_500_000
 BROADCAST_IDS = 2_000_000
+KEYS = 4096  #: groups that a batch sends to at most; more fragments are parted in a second step
+REGROUP_BYTES = 64 << 20
 HOT = 4_000_000  #: documents of an n-gram from which its postings are spread by entity
 HOT_SAMPLE = 50_000  #: documents that are looked at to find such n-grams
 LOW = U64((1 << 40) - 1)
@@ -161,8 +163,42 @@ def hot_grams(docs: DataFrame, rows: int, n: int, bits: int, hot: int = HOT, sam
     return np.sort(np.array([r["gram"] for r in seen.select("gram").toLocalIterator()], np.int64).view(U64))
 
 
-def _segments(n: int, fragments: int, hot: np.ndarray):
-    """Segments by fragment; postings of hot n-grams, with their number in place of the hash, by entity behind the fragments."""
+def _joint(blobs: list[tuple[int, bytes]], width: int) -> pa.RecordBatch:
+    """Blobs of `width` successive keys as one row."""
+    out: dict[int, list[tuple[int, bytes]]] = {}
+    for f, blob in blobs:
+        out.setdefault(f // width, []).append((f, blob))
+    rows = [pack(np.array([f for f, _ in own], np.int64), np.array([len(b) for _, b in own], np.int64), np.frombuffer(b"".join(b for _, b in own), np.uint8)) for own in out.values()]
+    return pa.RecordBatch.from_pydict({"key": list(out), "blob": rows}, BLOBS)
+
+
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joint rows, those of a key one after the other, as blobs of single fragments, each made of many batches' parts."""
+    held: dict[int, list[bytes]] = {}
+    size, last = 0, None
+
+    def merged() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"key": list(held), "blob": [pack(*(np.concatenate(x) for x in zip(*map(unpack, parts)))) for parts in held.values()]}, BLOBS)
+
+    for batch in batches:
+        for key, blob in zip(batch.column("key").to_pylist(), batch.column("blob").to_pylist()):
+            if held and (key != last or size > REGROUP_BYTES):
+                yield merged()
+                held, size = {}, 0
+            last, size = key, size + len(blob)
+            fragment, length, raw = unpack(blob)
+            end = np.cumsum(length).tolist()
+            for f, lo, hi in zip(fragment.tolist(), [0, *end], end):
+                held.setdefault(f, []).append(raw[lo:hi].tobytes())
+    if held:
+        yield merged()
+
+
+def _segments(n: int, fragments: int, hot: np.ndarray, width: int):
+    """Segments by fragment; postings of hot n-grams, with their number in place of the hash, by entity behind the fragments.
+
+    width: so many successive keys are sent as one row.
+    """
     bits = 40 + fragments.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +232,7 @@ def _segments(n: int, fragments: int, hot: np.ndarray):
             there, many = _runs(row[at])
             out["key"].append(f)
             out["blob"].append(pack(*_split(g[at]), many, sig[there], sig[mine], size[mine].astype(np.int32)))
-        return pa.RecordBatch.from_pydict(out, BLOBS)
+        return pa.RecordBatch.from_pydict(out, BLOBS) if width == 1 else _joint(list(zip(out["key"], out["blob"])), width)
 
     return run
 
@@ -396,7 +432,7 @@ def _overlaps(fragments: int, threshold: float, hot: int):
     return run
 
 
-def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int) -> tuple[DataFrame, DataFrame]:
+def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int, keys: int = KEYS) -> tuple[DataFrame, DataFrame]:
     """Distinct (doc_id, sig); (a, b, overlap, jaccard) of signatures of different sets that reach the threshold."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
@@ -405,7 +441,11 @@ def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int) -> tuple[
     signed = stored(docs.mapInArrow(tidy(_signatures(n, bits)), "doc_id long, sig long").distinct(), "signatures")
     frequent = hot_grams(docs, total["rows"], n, bits, hot)
     blobs = "key int, blob binary"
-    parts = docs.mapInArrow(tidy(_segments(n, fragments, frequent)), blobs).groupBy("key").applyInArrow(tidy_group(_repeated(fragments)), blobs)
+    width = max(1, fragments // keys)
+    parts = docs.mapInArrow(tidy(_segments(n, fragments, frequent, width)), blobs)
+    if width > 1:
+        parts = parts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_refined), blobs)
+    parts = parts.groupBy("key").applyInArrow(tidy_group(_repeated(fragments)), blobs)
     parts = parts.groupBy("key").applyInArrow(tidy_group(_survivors(fragments, threshold)), blobs)
     counted = "a long, b long, size_a long, size_b long, n long, gram long"
     counted = stored(parts.groupBy("key").applyInArrow(tidy_group(_overlaps(fragments, threshold, len(frequent))), counted), "overlaps")
@@ -433,9 +473,9 @@ def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int) -> tuple[
     return signed, both.select("a", "b", "overlap", jaccard(F.col("overlap")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, hot: int = HOT, keys: int = KEYS) -> DataFrame:
     """(doc_a, doc_b, overlap, jaccard), doc_a < doc_b: pairs of different sets, each by the lowest id that has it."""
-    signed, pairs = _similar_sets(docs, n, threshold, hot)
+    signed, pairs = _similar_sets(docs, n, threshold, hot, keys)
     lowest = signed.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc"))
     for side in "ab":
         pairs = pairs.join(lowest.select(F.col("sig").alias(side), F.col("doc").alias(f"doc_{side}")), side)

@@ -91,8 +91,9 @@ def test_small_texts_as_brute_force(spark, n, threshold):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert found(df, n, threshold) == brute(rows, n, threshold)
     assert found_classes(df, n, threshold) == brute_classes(rows, n, threshold)
-    if threshold < 0.5:  # n-grams of so many documents take the way of hot ones
+    if threshold < 0.5:  # n-grams of so many documents take the way of hot ones; fragments are parted in two steps
         assert found(df, n, threshold, hot=8) == brute(rows, n, threshold)
+        assert found(df, n, threshold, hot=8, keys=2) == brute(rows, n, threshold)
 
 
 def test_a_third_of_all_rows_are_copies_and_a_third_shares_a_passage(spark):
