@@ -34,7 +34,7 @@ FACT_DOMAINS = {
     "security": r"(?i)CVE-|CORS|SEC-[0-9]{3}|SQL\s*Injection|보안\s*(?:감사|이슈)|취약점",
     "finance": r"ARR|Series\s*[A-D]|런웨이|매출|비용|소진율|예산|투자|파이프라인|현금",
     "hr": "부서|인원|조직|직급|채용|팀장|헤드카운트",
-    "product": r"(?i)changelog|v[0-9]+\.[0-9]+|릴리스|버그\s*수정|버전|변경\s*이력|신기능",
+    "product": r"(?i)changelog|v[0-9]{1,18}\.[0-9]|릴리스|버그\s*수정|버전|변경\s*이력|신기능",
     "patent": r"IP\s*현황|PAT-[0-9]{3}|PCT|등록|발명자|출원|특허",
     "contract": r"Enterprise|PoC|Pro|계약|고객사|온프레미스|월\s*매출|클라우드",
 }

@@ -1,7 +1,7 @@
 """Facts in text: extraction by rules, search terms, entity index, look-ups, and facts as context of an answer.
 
 A fact is a struct of FIELDS; what its kind does not have is null. Null texts have no facts. The severity and the status of a
-text are the first ones named, and go with all ids in it.
+text are the first ones named, and go with all ids in it. Numbers have 18 digits and names 40 letters at most, which keeps patterns linear.
 """
 
 from __future__ import annotations
@@ -14,15 +14,15 @@ from ..functions import rules
 FIELDS = "type entity severity status action_date customer tier deployment metric item value team headcount leader version release_date".split()
 FACT = ", ".join(f"{c}: string" for c in FIELDS) + ", inventors: array<string>, severities: array<string>"
 FACTS = f"array<struct<{FACT}>>"
-METRIC = r"(매출|ARR|비용|예산|투자|런웨이|소진율|현금|파이프라인|인건비|인프라|마케팅)\s*[:：]?\s*(?:약\s*)?([0-9]+(?:\.[0-9]+)?)\s*(억|천만|백만|만|개월)?\s*(?:원)?"
+METRIC = r"(매출|ARR|비용|예산|투자|런웨이|소진율|현금|파이프라인|인건비|인프라|마케팅)\s*[:：]?\s*(?:약\s*)?([0-9]{1,18}(?:\.[0-9]{1,18})?)\s*(억|천만|백만|만|개월)?\s*(?:원)?"
 FUND_SECTION = r"(?:자금|투자금?|예산)\s*(?:용도|사용|배분|활용|계획)"
-FUND_ITEM = r"[-·•]\s*([^\n]{2,20}?)\s*[:：]\s*([0-9]+(?:\.[0-9]+)?)\s*(억|천만|백만|만)\s*(?:원)?"
-TEAM = r"([\p{L}\p{N}_]+팀)\s*[:：|]?\s*(?:[^\n]*?인원\s*[:：]?\s*)?([0-9]+)\s*명"
-LEADER = r"([\p{L}\p{N}_]+팀)\s*[^\n]*?팀장\s*[:：]?\s*([\p{L}\p{N}_]{2,4})"
-RELEASE = r"v?([0-9]+\.[0-9]+(?:\.[0-9]+)?)\s*\(([0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2})\)"
+FUND_ITEM = r"[-·•]\s*([^\n]{2,20}?)\s*[:：]\s*([0-9]{1,18}(?:\.[0-9]{1,18})?)\s*(억|천만|백만|만)\s*(?:원)?"
+TEAM = r"([\p{L}\p{N}_]{1,40}팀)\s*[:：|]?\s*(?:[^\n]*?인원\s*[:：]?\s*)?([0-9]{1,18})\s*명"
+LEADER = r"([\p{L}\p{N}_]{1,40}팀)\s*[^\n]*?팀장\s*[:：]?\s*([\p{L}\p{N}_]{2,4})"
+RELEASE = r"v?([0-9]{1,18}\.[0-9]{1,18}(?:\.[0-9]{1,18})?)\s*\(([0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2})\)"
 INVENTORS = r"발명자\s*[:：]?\s*([\p{L}\p{N}_, \t]+?)(?:\n|$)"
 PATENT_STATUS = r"(등록\s*완료|출원\s*완료|출원\s*중|PCT\s*완료|심사\s*중)"
-CUSTOMER = r"([\p{L}\p{N}_]+(?:전자|은행|클라우드|자동차|법무법인\s*[\p{L}\p{N}_]+|대학교?))\s*[^\n]*?(Enterprise|Pro|Basic|Free)\s*[^\n]*?(온프레미스|클라우드|하이브리드)?"
+CUSTOMER = r"([\p{L}\p{N}_]{1,40}(?:전자|은행|클라우드|자동차|법무법인\s*[\p{L}\p{N}_]{1,40}|대학교?))\s*[^\n]*?(Enterprise|Pro|Basic|Free)\s*[^\n]*?(온프레미스|클라우드|하이브리드)?"
 #: words without which a pattern that begins with a run of letters is not tried
 _CUSTOMERS = "전자|은행|클라우드|자동차|법무법인|대학"
 
@@ -123,8 +123,8 @@ def derived_date_terms(day: Column) -> Column:
 
 DATE = r"([0-9]{4})[.-/]([0-9]{1,2})[.-/]([0-9]{1,2})".replace("[.-/]", "[./-]")
 MONTH = r"([0-9]{4})년\s*([0-9]{1,2})월"
-AMOUNT = r"([0-9]+(?:\.[0-9]+)?)\s*(억|천만|백만|만)\s*(?:원|달러|엔)?"
-VERSION = r"v?([0-9]+)\.([0-9]+)(?:\.([0-9]+))?"
+AMOUNT = r"([0-9]{1,18}(?:\.[0-9]{1,18})?)\s*(억|천만|백만|만)\s*(?:원|달러|엔)?"
+VERSION = r"v?([0-9]{1,18})\.([0-9]{1,18})(?:\.([0-9]{1,18}))?"
 
 
 def severity_terms(text: Column) -> Column:
@@ -215,14 +215,14 @@ ASKED_FUNDS = r"(?:투자금?|자금|예산)\s*[^\n]{0,10}(?:용도|사용|배
 ASKED_DOMAIN = {
     "security": r"(?i)보안\s*(?:감사|사항|이슈|취약점)|SEC-",
     "patent": "(?i)PAT-|발명|출원|특허",
-    "product": "(?i)v[0-9]+|릴리스|변경|버전",
+    "product": "(?i)v[0-9]{1,18}|릴리스|변경|버전",
     "contract": "(?i)Enterprise|PoC|계약|고객",
 }
 
 
 def asked_entities(text: Column) -> Column:
     """Index keys that a question names: ids and versions, a least severity, a status, the use of funds."""
-    ids = F.transform(_all(text, r"(?i)(PAT-[0-9]{3}|SEC-[0-9]{3}|v[0-9]+\.[0-9]+)"), F.upper)
+    ids = F.transform(_all(text, r"(?i)(PAT-[0-9]{3}|SEC-[0-9]{3}|v[0-9]{1,18}\.[0-9]{1,18})"), F.upper)
     status = F.regexp_replace(_first(text, ASKED_STATUS), r"\s", "")
     status = F.when(status == "미해결", "미조치").otherwise(status)
     extra = F.array(

@@ -173,7 +173,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, id_: str = "doc_i
     """(query_id, id, score, rank) of each query's k best texts; queries: (query_id, text).
 
     Texts are read once, into a stored table of term lists; the words' frequencies are counted in it, and a second pass over it scores in blocks and
-    leaves each partition's k best. More than TERMS_AT_ONCE words, or QUERIES_AT_ONCE queries, are joined with the table instead.
+    leaves each partition's k best; an id of several rows counts with its best. More than TERMS_AT_ONCE words, or QUERIES_AT_ONCE queries, are joined with the table instead.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     bound = TERMS_AT_ONCE + QUERIES_AT_ONCE
@@ -193,7 +193,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, id_: str = "doc_i
     kinds = [queries.schema["query_id"].dataType, docs.schema[id_].dataType]
     held = docs.sparkSession.sparkContext.broadcast((names, terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), np.cumsum(many) - many, many, pairs[:, 1], (sizes["dl"] or 0) / n if n else 1.0))
     schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
-    return top(index.mapInArrow(_ranked(held, k, [to_arrow_type(x) for x in kinds]), schema), k, ["query_id"])
+    found = index.mapInArrow(_ranked(held, k, [to_arrow_type(x) for x in kinds]), schema)
+    return top(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), k, ["query_id"])
 
 
 def scored_postings(index: DataFrame, asked: DataFrame) -> DataFrame:

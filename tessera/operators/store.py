@@ -39,9 +39,9 @@ def listed(docs: DataFrame, filters: dict[str, object], order: list, limit: int,
 
 
 def change_set(before: DataFrame, after: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
-    """(key, change): added, modified or deleted, by content hash; what is equal is left out."""
-    a = before.select(key, F.sha2(content, 256).alias("ha"))
-    b = after.select(key, F.sha2(content, 256).alias("hb"))
+    """(key, change): added, modified or deleted, by content hash; what is equal is left out. A null content is one of its own; null keys are left out."""
+    hashed = lambda rows, name: rows.where(F.col(key).isNotNull()).select(key, F.coalesce(F.sha2(content, 256), F.lit("")).alias(name))
+    a, b = hashed(before, "ha"), hashed(after, "hb")
     state = F.when(F.col("ha").isNull(), "added").when(F.col("hb").isNull(), "deleted").when(F.col("ha") != F.col("hb"), "modified")
     return a.join(b, key, "full_outer").select(key, state.alias("change")).where("change IS NOT NULL")
 
