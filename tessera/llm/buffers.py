@@ -59,6 +59,18 @@ def tidy_group(f: Callable) -> Callable:
     return run
 
 
+def tidy_groups(f: Callable) -> Callable:
+    """The same for a function that reads a group's batches and yields batches."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(key, batches)
+        finally:
+            trim()
+
+    return run
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x + U64((seed * _BASE + 0x632BE59BD9B4E019) & (2**64 - 1))
@@ -115,6 +127,14 @@ def chunks(off: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+def pieces(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of about `size` bytes with their offsets and bytes as of strings(): one range at a time is held lowered or without nulls."""
+    off = np.zeros(len(column) + 1, np.int64)
+    np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(), out=off[1:])
+    for i, j in chunks(off, size):
+        yield i, j, *strings(column.slice(i, j - i), lower)
+
+
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hash of the bytes of each range."""
     n = len(data)

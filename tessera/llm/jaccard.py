@@ -37,22 +37,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import ALNUM, U64, Words, by_group, chunks, mix, pack, spans, strings, tidy, tidy_group, unpack
+from .buffers import ALNUM, U64, Words, by_group, mix, pack, pieces, spans, tidy, tidy_group, tidy_groups, unpack
 from .common import checkpointed, power_of_two, stored, table
 
 GRAM = 5
 THRESHOLD = 0.5
 POSTINGS_A_FRAGMENT = 16_000_000
-PASSES = 8  #: a fragment's postings are grouped in so many ranges of hashes, one after the other
+PASSES = 32  #: a fragment's postings are grouped in so many parts by their hashes, one after the other
+HOMES = 8  #: groups of entities for each fragment
 RARE = 8
-PAIRS_AT_ONCE = 1_000_000
-GRAMS_AT_ONCE = 1_500_000
+PAIRS_AT_ONCE = 300_000
+PAIRS_HELD = 4_000_000  #: pairs of a fragment that are summed there; beyond, partial sums are sent on
+POSTINGS_HELD = 500_000  #: the same for postings that go back to their entity
+GRAMS_AT_ONCE = 1_000_000
 BROADCAST_IDS = 2_000_000
 KEYS = 4096  #: groups that a batch sends to at most; more fragments are parted in a second step
 REGROUP_BYTES = 64 << 20
@@ -119,9 +123,8 @@ def gram_sets(words: Words, n: int, bits: int = 64) -> tuple[np.ndarray, np.ndar
 
 def _entities(batch: pa.RecordBatch, n: int, bits: int):
     """Of each range of rows: row and n-gram of its sets; row, first index, size and signature of each set."""
-    off, data = strings(batch.column("text"), lower=True)
-    for i, j in chunks(off):
-        row, g = gram_sets(Words(off, data, i, j, ALNUM), n, bits)
+    for i, j, off, data in pieces(batch.column("text"), lower=True):
+        row, g = gram_sets(Words(off, data, 0, j - i, ALNUM), n, bits)
         at = np.flatnonzero(_new(row))
         size = np.diff(np.append(at, len(row)))
         sig = mix(np.add.reduceat(mix(g, 5), at) + size.astype(U64), 6) if len(at) else np.zeros(0, U64)
@@ -215,15 +218,16 @@ def _segments(n: int, fragments: int, hot: np.ndarray, width: int):
 
     def sent(parts) -> pa.RecordBatch:
         g, size, sig = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         once = np.zeros(len(sig), bool)
         once[np.unique(sig, return_index=True)[1]] = True  # copies are sent once
         g, size, sig = g[np.repeat(once, size)], size[once], sig[once]
-        row = np.repeat(np.arange(len(sig)), size)
-        key = (g >> U64(40)).astype(np.int64)
+        row = np.repeat(np.arange(len(sig), dtype=np.int32), size)
+        key = (g >> U64(40)).astype(np.int32)
         if len(hot):
             place = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
             is_hot = hot[place] == g
-            key = np.where(is_hot, fragments + (sig[row] & U64(fragments - 1)).astype(np.int64), key)
+            key = np.where(is_hot, fragments + (sig[row] & U64(fragments - 1)).astype(np.int32), key)
             g = np.where(is_hot, place.astype(U64), g)
         none, out = np.zeros(0, np.int64), {"key": [], "blob": []}
         own, segment = dict(by_group((sig & U64(fragments - 1)).astype(np.int64))), dict(by_group(key))
@@ -237,32 +241,44 @@ def _segments(n: int, fragments: int, hot: np.ndarray, width: int):
     return run
 
 
+def _of_part(blob: list[np.ndarray], k: int, high: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of a blob's part k of PASSES, their places in the blob, and which of its entities each belongs to."""
+    at = np.flatnonzero(blob[high] % PASSES == k)
+    return _joined(blob[0][at], blob[1][at]), at, np.searchsorted(np.cumsum(blob[2], dtype=np.int64), at, side="right")
+
+
 def _repeated(fragments: int):
     """n-grams of more than one entity go to their entity; so does what identifies it."""
-    homes = fragments * PASSES
+    homes = fragments * HOMES
 
-    def run(key, part):
+    def run(key, batches):
         f = min(key[0].as_py(), fragments)
-        found = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint8))]
+        blobs = [unpack(blob.as_buffer()) for batch in batches for blob in batch.column("blob")]
+        own = [np.concatenate(x) for x in zip(*(blob[4:] for blob in blobs))]
+        at = np.unique(own[0], return_index=True)[1]
+        own = [x[at] for x in own]
+        found, held = [], 0
         for k in range(PASSES):
             g, sig = [], []
-            for blob in part.column("blob"):
-                low, high, many, there, *_ = unpack(blob.as_buffer())
-                use = (low if f == fragments else high) % PASSES == k
-                g.append(_joined(low[use], high[use]))
-                sig.append(np.repeat(there, many)[use])
-            g, sig = np.concatenate(g), np.concatenate(sig)
-            names, index = np.unique(sig, return_inverse=True)
-            del sig
-            g, index = _distinct(g, index.astype(U64), max(len(names), 1).bit_length(), 1 << 40)
+            for blob in blobs:
+                own_g, _, whose = _of_part(blob, k, False)
+                g.append(own_g)
+                sig.append(blob[3][whose])
+            names, index = np.unique(np.concatenate(sig), return_inverse=True)
+            g, index = _distinct(np.concatenate(g), index.astype(U64), max(len(names), 1).bit_length(), 1 << 40)
             at = np.flatnonzero(_new(g))
             df = np.diff(np.append(at, len(g)))
             df = np.repeat(df, df) if f < fragments else np.full(len(g), 255)
             more = df > 1
             found.append((g[more].astype(U64), names[index[more].astype(np.int64)], np.minimum(df[more], 255).astype(np.uint8)))
-        own = [np.concatenate(x) for x in zip(*(unpack(blob.as_buffer())[4:] for blob in part.column("blob")))]
-        at = np.unique(own[0], return_index=True)[1]
-        own = [x[at] for x in own]
+            held += len(found[-1][0])
+            if held > POSTINGS_HELD:
+                yield sent(f, found, own)
+                found, held, own = [], 0, [x[:0] for x in own]
+        if held or len(own[0]):
+            yield sent(f, found, own)
+
+    def sent(f: int, found, own) -> pa.RecordBatch:
         g, name, df = (np.concatenate(x) for x in zip(*found))
         none, keys, blobs = np.zeros(0, np.int64), [], []
         posted, named = dict(by_group(_home(name, homes))), dict(by_group(_home(own[0], homes)))
@@ -272,7 +288,7 @@ def _repeated(fragments: int):
             there, many = _runs(name[at])
             keys.append(b)
             blobs.append(pack(np.array([f], np.int32), *_split(g[at]), many, there, df[at], *(x[mine] for x in own)))
-        return pa.table({"key": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        return pa.RecordBatch.from_pydict({"key": keys, "blob": blobs}, BLOBS)
 
     return run
 
@@ -319,9 +335,8 @@ def _survivors(fragments: int, threshold: float):
     return run
 
 
-def _count(sizes: np.ndarray, starts: np.ndarray, who: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (lower * n + higher) of the members of each group, and in how many groups they meet."""
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _count(sizes: np.ndarray, starts: np.ndarray, who: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (lower * n + higher) of the members of each group, and in how many groups they meet; a pair can come more than once."""
     cost = np.cumsum(sizes * (sizes - 1) // 2)
     lo = 0
     while lo < len(sizes):
@@ -330,30 +345,24 @@ def _count(sizes: np.ndarray, starts: np.ndarray, who: np.ndarray, n: int) -> tu
         inner = np.arange(z.sum()) - np.repeat(np.cumsum(z) - z, z)
         right = np.repeat(s, z) + inner
         left = np.repeat(np.repeat(s, z), inner) + np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner)
-        key, count = np.unique(who[left] * n + who[np.repeat(right, inner)], return_counts=True)
-        keys.append(key)
-        counts.append(count)
+        yield np.unique(who[left] * n + who[np.repeat(right, inner)], return_counts=True)
         lo = hi
-    return np.concatenate(keys), np.concatenate(counts)
 
 
-def _count_dense(sizes: np.ndarray, starts: np.ndarray, who: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _count_dense(sizes: np.ndarray, starts: np.ndarray, who: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The same for few large groups that share most members: a product of their incidence matrix."""
     at = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     members, index = np.unique(who[at], return_inverse=True)
     column = np.repeat(np.arange(len(sizes)), sizes)
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    width = max(1, (1 << 24) // len(members))
+    width, rows = (max(1, (1 << bits) // len(members)) for bits in (22, 20))
     for c in range(0, len(sizes), width):
         grid = np.zeros((len(members), min(width, len(sizes) - c)), np.float32)
         x = (column >= c) & (column < c + width)
         grid[index[x], column[x] - c] = 1
-        for r in range(0, len(members), 1024):
-            both = grid[r : r + 1024] @ grid[r:].T
+        for r in range(0, len(members), rows):
+            both = grid[r : r + rows] @ grid[r:].T
             i, j = np.nonzero(np.triu(both, 1))
-            keys.append(members[r + i] * n + members[r + j])
-            counts.append(both[i, j].astype(np.int64))
-    return np.concatenate(keys), np.concatenate(counts)
+            yield members[r + i] * n + members[r + j], both[i, j].astype(np.int64)
 
 
 def _shared(g: np.ndarray, who: np.ndarray, mark: np.ndarray, n: int, spread: bool):
@@ -376,58 +385,89 @@ def _shared(g: np.ndarray, who: np.ndarray, mark: np.ndarray, n: int, spread: bo
     found = [_count(many[~large], start[~large], member, n)]
     if large.any():
         found.append(_count_dense(many[large], start[large], member, n))
-    return found, late
+    return chain(*found), late
+
+
+def _summed(found: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once with the sum of its counts (at most 2^32 - 1); pairs are less than `most`. Empties the list, for memory's sake."""
+    bits = 64 - max(most - 1, 1).bit_length()
+    small = max((int(x[1].max()) for x in found if len(x[1])), default=0) < 1 << max(bits, 0)
+    if small:  # both in one word, which is sorted in place
+        key = np.empty(sum(len(x[0]) for x in found), U64)
+        at = 0
+        while found:
+            pair, count = found.pop()
+            key[at : at + len(pair)] = pair.astype(U64) << U64(bits) | count.astype(U64)
+            at += len(pair)
+        key.sort()
+        count = (key & U64((1 << bits) - 1)).astype(np.uint32)
+        key >>= U64(bits)
+    else:
+        key, count = (np.concatenate(x) for x in zip(*found))
+        found.clear()
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+    start = np.flatnonzero(_new(key))
+    return key[start].astype(np.int64), np.add.reduceat(count, start) if len(start) else count
 
 
 def _overlaps(fragments: int, threshold: float, hot: int):
     """Partial overlaps of a fragment, and the n-grams that are only to be looked up: twice their number, odd inside the prefix."""
 
-    def run(key, part):
-        g, sig, mark, table_ = [], [], [], []
+    def run(key, batches):
         f = key[0].as_py()
-        for blob in part.column("blob"):
-            low, high, many, inside, there, size = unpack(blob.as_buffer())
-            g.append(_joined(low, high))
-            sig.append(np.repeat(np.arange(len(there), dtype=np.uint32), many))
-            mark.append(np.unpackbits(inside, count=len(low)))
-            table_.append((there, size))
-        name, size = (np.concatenate(x) for x in zip(*table_))
+        blobs = [unpack(blob.as_buffer()) for batch in batches for blob in batch.column("blob")]
+        name, size = (np.concatenate(x) for x in zip(*(blob[4:] for blob in blobs)))
         names, at = np.unique(name, return_index=True)
         size, n = size[at].astype(np.int64), len(names)
-        whose = [np.searchsorted(names, there).astype(np.int32)[s] for (there, _), s in zip(table_, sig)]
-        g, who, mark = np.concatenate(g), np.concatenate(whose), np.concatenate(mark).astype(bool)
-        del sig, whose
-        found, later, last = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))], 0
-        if f >= fragments:  # hot: only the marked ones meet, all are looked up
-            if f >= 2 * fragments:
-                found += _shared(g, who.astype(np.int64), mark, n, True)[0]
-            later.append((who, (g & LOW).astype(np.int64) * fragments, mark))
-        else:
-            for k in range(PASSES):
-                use = np.flatnonzero(g >> U64(32) & U64(PASSES - 1) == k)
-                pairs, late = _shared(g[use], who[use].astype(np.int64), mark[use], n, False)
-                found += pairs
+        del name, at
+        blobs = [[*blob[:4], np.searchsorted(names, blob[4]).astype(np.int32)] for blob in blobs]
+
+        def part(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            found = []
+            for blob in blobs:
+                g, at, whose = _of_part(blob, k, True)
+                found.append((g, blob[4][whose], np.unpackbits(blob[3], count=len(blob[0]))[at]))
+            g, who, mark = (np.concatenate(x) for x in zip(*found))
+            return g, who.astype(np.int64), mark.astype(bool)
+
+        def sent(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | int, gram: np.ndarray | int) -> pa.RecordBatch:
+            full = lambda x: np.broadcast_to(np.asarray(x, np.int64), len(a)).copy()
+            other = (0, 0) if b is None else (names.view(np.int64)[b], size[b])
+            rows = [names.view(np.int64)[a], full(other[0]), size[a], full(other[1]), full(n), full(gram)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "b", "size_a", "size_b", "n", "gram"])
+
+        def paired(pair: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+            return sent(pair // n, pair % n, total, 0)
+
+        found, held, last = [], 0, 0
+        for k in range(PASSES):
+            g, who, mark = part(k)
+            if not len(g):
+                continue
+            if f >= fragments:  # hot: only the marked ones meet, all are looked up
+                pairs = _shared(g, who, mark, n, True)[0] if f >= 2 * fragments else []
+                late, number = (who, g, mark), (g & LOW).astype(np.int64) * fragments
+            else:
+                pairs, late = _shared(g, who, mark, n, False)
                 seat = np.unique(late[1], return_inverse=True)[1]
-                later.append((late[0], (hot + last + seat) * fragments + f, late[2]))  # numbered within the fragment: short to send
+                number = (hot + last + seat) * fragments + f  # numbered within the fragment: short to send
                 last += int(seat.max()) + 1 if len(seat) else 0
-        pair, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([x[1] for x in found]), len(pair)).astype(np.int64)
-        a, b = pair // max(n, 1), pair % max(n, 1)
-        near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
-        a, b, total = a[near], b[near], total[near]
-        lone, number, inside = (np.concatenate(x) for x in zip(*later))
-        void, none, name = np.zeros(len(lone), np.int64), np.zeros(len(a), np.int64), names.view(np.int64)
-        cat = lambda *v: pa.array(np.concatenate(v).astype(np.int64), pa.int64())
-        return pa.table(
-            {
-                "a": cat(name[a], name[lone]),
-                "b": cat(name[b], void),
-                "size_a": cat(size[a], size[lone]),
-                "size_b": cat(size[b], void),
-                "n": cat(total, void),
-                "gram": cat(none, number * 2 + inside),
-            }
-        )
+            if len(number):
+                yield sent(late[0], None, 0, number * 2 + late[2])
+            for pair, count in pairs:
+                a, b = size[pair // n], size[pair % n]
+                near = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
+                found.append((pair[near], count[near].astype(np.uint32)))
+                held += len(found[-1][0])
+                if held > PAIRS_HELD:
+                    found = [_summed(found, n * n)]
+                    held = len(found[0][0])
+                    if held > PAIRS_HELD // 2:
+                        yield paired(*found[0])
+                        found, held = [], 0
+        if held:
+            yield paired(*_summed(found, n * n))
 
     return run
 
@@ -445,10 +485,10 @@ def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int, keys: int
     parts = docs.mapInArrow(tidy(_segments(n, fragments, frequent, width)), blobs)
     if width > 1:
         parts = parts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_refined), blobs)
-    parts = parts.groupBy("key").applyInArrow(tidy_group(_repeated(fragments)), blobs)
+    parts = parts.groupBy("key").applyInArrow(tidy_groups(_repeated(fragments)), blobs)
     parts = parts.groupBy("key").applyInArrow(tidy_group(_survivors(fragments, threshold)), blobs)
     counted = "a long, b long, size_a long, size_b long, n long, gram long"
-    counted = stored(parts.groupBy("key").applyInArrow(tidy_group(_overlaps(fragments, threshold, len(frequent))), counted), "overlaps")
+    counted = stored(parts.groupBy("key").applyInArrow(tidy_groups(_overlaps(fragments, threshold, len(frequent))), counted), "overlaps")
     pairs = counted.where("n > 0").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("overlap"))
     late = counted.where("n = 0").select(F.col("a").alias("id"), F.col("size_a").alias("size"), "gram")
     short = (late.agg(F.max("gram")).first()[0] or 0) < 2**31

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tests.conftest import DATA
 from tessera.llm import jaccard, queries
-from tessera.llm.buffers import ALNUM, Words, strings
+from tessera.llm.buffers import ALNUM, U64, Words, mix, pack, strings
 
 
 def grams(text, n):
@@ -120,6 +121,69 @@ def test_many_short_texts_in_a_chunk():
         assert list(zip(a.tolist(), b.tolist())) == [(1, 2), (5, 3), (1 << 33, 1 << 29)]
 
 
+def blobs_of(blobs):
+    """Batches of ten blobs, as a group of fragment 0 gets them."""
+    return [pa.RecordBatch.from_pydict({"key": [0] * len(b), "blob": b}, jaccard.BLOBS) for b in (blobs[i : i + 10] for i in range(0, len(blobs), 10))]
+
+
+def test_a_fragment_in_which_all_n_grams_repeat_is_sent_in_parts():
+    """2 million postings, each n-gram in two entities: no part of the result holds them all, nor do all stand in memory as words of 64 bits."""
+    many, docs = 500, 100
+    g = mix(np.arange(1_000_000, dtype=U64)) & jaccard.LOW
+    blobs = []
+    for b in range(40):
+        own = np.concatenate([np.sort(x) for x in g.reshape(-1, many)[b % 20 * docs : b % 20 * docs + docs]])
+        sig = mix(np.arange(docs, dtype=U64) + U64(b * docs + 7))
+        blobs.append(pack(*jaccard._split(own), np.full(docs, many, np.uint32), sig, sig[:5], np.full(5, many, np.int32)))
+    batches = blobs_of(blobs)
+    tracemalloc.start()
+    seen, own, most = [], 0, 0
+    for out in jaccard._repeated(8)((pa.scalar(0),), iter(batches)):
+        parts = [jaccard.unpack(x.as_buffer()) for x in out.column("blob")]
+        most = max(most, sum(len(x[1]) for x in parts))
+        seen.append(np.concatenate([jaccard._joined(x[1], x[2]) for x in parts]))
+        assert all((x[5] == 2).all() for x in parts)
+        own += sum(len(x[6]) for x in parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    seen = np.sort(np.concatenate(seen))
+    assert np.array_equal(seen, np.repeat(np.unique(g), 2)) and own == 200
+    assert most < 700_000 and peak < 2_000_000 * 34  # 16 MB of them are what this test collects
+
+
+def test_partial_sums_of_a_fragment_add_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = mix(np.arange(60, dtype=U64)) & jaccard.LOW
+    sets = [np.sort(rng.choice(pool, 30, replace=False)) for _ in range(40)] + [np.sort(pool)] * 300  # the last make groups of over 256
+    sig = np.sort(mix(np.arange(len(sets), dtype=U64)))
+    size = np.array([len(x) for x in sets], np.int32)
+    blobs = [pack(*jaccard._split(np.concatenate(sets)), size.astype(np.uint32), np.packbits(np.ones(size.sum(), bool)), sig, size)]
+
+    def overlaps():
+        out, rows = {}, 0
+        for batch in jaccard._overlaps(8, 0.1, 0)((pa.scalar(0),), iter(blobs_of(blobs))):
+            for r in batch.to_pylist():
+                if r["n"]:
+                    rows += 1
+                    out[r["a"], r["b"]] = out.get((r["a"], r["b"]), 0) + r["n"]
+        return out, rows
+
+    whole, rows = overlaps()
+    assert rows == len(whole)
+    name = sig.view(np.int64).tolist()
+    assert whole == {(name[i], name[j]): n for i, j in combinations(range(len(sets)), 2) if (n := len(np.intersect1d(sets[i], sets[j])))}
+    monkeypatch.setattr(jaccard, "PAIRS_HELD", 5000)
+    parts, rows = overlaps()
+    assert parts == whole and rows > len(whole)
+
+
+def test_sums_of_pairs_in_one_word_or_two():
+    for most in (50, 1 << 40, 1 << 62):
+        pair, count = np.array([7, 3, 7, most - 1, 3]), np.array([1, 2, 3, 4, 70_000], np.uint32)
+        got = jaccard._summed([(pair[:2], count[:2]), (pair[2:], count[2:])], most)
+        assert [x.tolist() for x in got] == [[3, 7, most - 1], [70_002, 4, 4]]
+
+
 def test_messy_rows_as_brute_force(messy):
     rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
     assert found(messy, 5, 0.5) == brute(rows, 5, 0.5)
