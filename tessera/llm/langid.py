@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import U64, chunks, mix, strings, tidy
+from .buffers import U64, mix, pieces, strings, tidy  # noqa: F401
 from .common import power_of_two, table
 
 PER_LANGUAGE = 300
@@ -56,11 +56,10 @@ def grams(off: np.ndarray, data: np.ndarray, i: int, j: int) -> tuple[np.ndarray
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams of texts by language, and how often each occurs."""
     for batch in batches:
-        off, data = strings(batch.column("text"), lower=True)
         names = batch.column("lang").dictionary_encode()
         lang = names.indices.to_numpy()
-        for i, j in chunks(off):
-            g, first = grams(off, data, i, j)
+        for i, j, off, data in pieces(batch.column("text"), lower=True):
+            g, first = grams(off, data, 0, j - i)
             key, n = np.unique(np.repeat(lang[i:j].astype(np.uint64), np.diff(first)) << U64(32) | g, return_counts=True)
             rows = [names.dictionary.take(pa.array((key >> U64(32)).astype(np.int64))), pa.array((key & U64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)]
             yield pa.RecordBatch.from_arrays(rows, ["lang", "gram", "n"])
@@ -96,11 +95,10 @@ class LanguageFilter:
 
     def decide(self, column: pa.Array, share: float = SHARE) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, corrected share and number of n-grams of each text."""
-        off, data = strings(column, lower=True)
         names = np.array([*self.names, "und"])
         best, score, total = [], [], []
-        for i, j in chunks(off):
-            g, first = grams(off, data, i, j)
+        for i, j, off, data in pieces(column, lower=True):
+            g, first = grams(off, data, 0, j - i)
             n = np.diff(first)
             shares = np.zeros((len(self.names) + 1, j - i))
             for k, plane in enumerate(self.planes):
@@ -153,8 +151,10 @@ def languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 def _known(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            name, _, _ = model.value.decide(batch.column("text"))
-            yield batch.filter(pa.array([x != "und" for x in name], pa.bool_()))
+            for i, j, *_ in pieces(batch.column("text")):  # sent in small batches: a whole one would be held twice
+                part = batch.slice(i, j - i)
+                name, _, _ = model.value.decide(part.column("text"))
+                yield part.filter(pa.array([x != "und" for x in name], pa.bool_()))
 
     return run
 

@@ -1,4 +1,5 @@
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +93,16 @@ def test_more_languages_than_bits(spark, monkeypatch):
     fit = langid.fitted(df)
     assert {r["doc_id"]: r["language"] for r in langid.languages(df, fit).collect()} == dict(enumerate(texts))
     assert langid.identified(df, fit).count() == 600
+
+
+ENGLISH = "these words were written to be read by those who like plain words "
+
+
+def test_a_batch_of_long_texts_is_sent_in_parts():
+    """6 MB in one batch: before, its kept rows came back as one batch and its lowered texts stood beside it."""
+    model = SimpleNamespace(value=langid.LanguageFilter({"en": np.unique(langid.grams(*langid.strings(pa.array([ENGLISH])), 0, 1)[0])}))
+    texts = [ENGLISH.upper() * 400, None, "漢字 " * 200, ENGLISH * 400] * (6_000_000 // (800 * len(ENGLISH)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    out = list(langid._known(model)([batch]))
+    assert [x for part in out for x in part.column("doc_id").to_pylist()] == [i for i in range(len(texts)) if i % 4 in (0, 3)]
+    assert max(sum(len(t) for t in part.column("text").to_pylist()) for part in out) <= 1 << 20
