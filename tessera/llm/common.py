@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """For what runs inside: batches of about `size` bytes go to Python. By default they are cut by rows alone, and the JVM
+    holds a group of large values whole, outside its heap and up to three times while its buffer doubles."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def power_of_two(x: float) -> int:
     return 1 << max(0, int(x) - 1).bit_length()
 
@@ -40,9 +55,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return f"__{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read again."""
-    return stored_at(df, folder(df.sparkSession, name))
+def stored(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+    """The rows, written as Parquet in the shared folder and read again.
+
+    rows_a_file: rows of a file at most, so that narrow rows, which Parquet makes very short, don't come to one task in tens of millions.
+    """
+    return stored_at(df, folder(df.sparkSession, name), rows_a_file)
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -50,6 +68,6 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def stored_at(df: DataFrame, path: str, rows_a_file: int = 0) -> DataFrame:
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

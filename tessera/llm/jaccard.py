@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import ALNUM, U64, Words, by_group, mix, pack, pieces, spans, tidy, tidy_group, tidy_groups, unpack
-from .common import checkpointed, power_of_two, stored, table
+from .common import checkpointed, power_of_two, small_batches, stored, table
 
 GRAM = 5
 THRESHOLD = 0.5
@@ -54,8 +54,10 @@ PASSES = 32  #: a fragment's postings are grouped in so many parts by their hash
 HOMES = 8  #: groups of entities for each fragment
 RARE = 8
 PAIRS_AT_ONCE = 300_000
-PAIRS_HELD = 4_000_000  #: pairs of a fragment that are summed there; beyond, partial sums are sent on
+PAIRS_HELD = 1_500_000  #: pairs of a fragment that are summed there; beyond, partial sums are sent on
 POSTINGS_HELD = 500_000  #: the same for postings that go back to their entity
+ROWS_AT_ONCE = 200_000  #: rows of a batch of partial overlaps
+ROWS_A_FILE = 1_000_000  #: partial overlaps of a stored file: what a task sums before the shuffle
 GRAMS_AT_ONCE = 1_000_000
 BROADCAST_IDS = 2_000_000
 KEYS = 4096  #: groups that a batch sends to at most; more fragments are parted in a second step
@@ -431,14 +433,18 @@ def _overlaps(fragments: int, threshold: float, hot: int):
             g, who, mark = (np.concatenate(x) for x in zip(*found))
             return g, who.astype(np.int64), mark.astype(bool)
 
+        def ranges(rows: int) -> Iterator[slice]:
+            return (slice(lo, lo + ROWS_AT_ONCE) for lo in range(0, rows, ROWS_AT_ONCE))
+
         def sent(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | int, gram: np.ndarray | int) -> pa.RecordBatch:
             full = lambda x: np.broadcast_to(np.asarray(x, np.int64), len(a)).copy()
             other = (0, 0) if b is None else (names.view(np.int64)[b], size[b])
             rows = [names.view(np.int64)[a], full(other[0]), size[a], full(other[1]), full(n), full(gram)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "b", "size_a", "size_b", "n", "gram"])
 
-        def paired(pair: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-            return sent(pair // n, pair % n, total, 0)
+        def paired(pair: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for x in ranges(len(pair)):
+                yield sent(pair[x] // n, pair[x] % n, total[x], 0)
 
         found, held, last = [], 0, 0
         for k in range(PASSES):
@@ -453,8 +459,8 @@ def _overlaps(fragments: int, threshold: float, hot: int):
                 seat = np.unique(late[1], return_inverse=True)[1]
                 number = (hot + last + seat) * fragments + f  # numbered within the fragment: short to send
                 last += int(seat.max()) + 1 if len(seat) else 0
-            if len(number):
-                yield sent(late[0], None, 0, number * 2 + late[2])
+            for x in ranges(len(number)):
+                yield sent(late[0][x], None, 0, number[x] * 2 + late[2][x])
             for pair, count in pairs:
                 a, b = size[pair // n], size[pair % n]
                 near = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
@@ -464,10 +470,10 @@ def _overlaps(fragments: int, threshold: float, hot: int):
                     found = [_summed(found, n * n)]
                     held = len(found[0][0])
                     if held > PAIRS_HELD // 2:
-                        yield paired(*found[0])
+                        yield from paired(*found[0])
                         found, held = [], 0
         if held:
-            yield paired(*_summed(found, n * n))
+            yield from paired(*_summed(found, n * n))
 
     return run
 
@@ -478,8 +484,9 @@ def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int, keys: int
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
     fragments = power_of_two(max(8, (total["bytes"] or 0) / 6 / POSTINGS_A_FRAGMENT))
     bits = 40 + fragments.bit_length() - 1
-    signed = stored(docs.mapInArrow(tidy(_signatures(n, bits)), "doc_id long, sig long").distinct(), "signatures")
-    frequent = hot_grams(docs, total["rows"], n, bits, hot)
+    with small_batches(docs.sparkSession):
+        signed = stored(docs.mapInArrow(tidy(_signatures(n, bits)), "doc_id long, sig long").distinct(), "signatures")
+        frequent = hot_grams(docs, total["rows"], n, bits, hot)
     blobs = "key int, blob binary"
     width = max(1, fragments // keys)
     parts = docs.mapInArrow(tidy(_segments(n, fragments, frequent, width)), blobs)
@@ -488,7 +495,8 @@ def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int, keys: int
     parts = parts.groupBy("key").applyInArrow(tidy_groups(_repeated(fragments)), blobs)
     parts = parts.groupBy("key").applyInArrow(tidy_group(_survivors(fragments, threshold)), blobs)
     counted = "a long, b long, size_a long, size_b long, n long, gram long"
-    counted = stored(parts.groupBy("key").applyInArrow(tidy_groups(_overlaps(fragments, threshold, len(frequent))), counted), "overlaps")
+    with small_batches(docs.sparkSession):
+        counted = stored(parts.groupBy("key").applyInArrow(tidy_groups(_overlaps(fragments, threshold, len(frequent))), counted), "overlaps", ROWS_A_FILE)
     pairs = counted.where("n > 0").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("overlap"))
     late = counted.where("n = 0").select(F.col("a").alias("id"), F.col("size_a").alias("size"), "gram")
     short = (late.agg(F.max("gram")).first()[0] or 0) < 2**31

@@ -1,13 +1,17 @@
 import re
 import tracemalloc
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tessera.llm import jaccard, queries
 from tessera.llm.buffers import ALNUM, U64, Words, mix, pack, strings
+from tessera.llm.common import small_batches, stored
 
 
 def grams(text, n):
@@ -177,6 +181,53 @@ def test_partial_sums_of_a_fragment_add_up(monkeypatch):
     assert parts == whole and rows > len(whole)
 
 
+def test_partial_overlaps_are_sent_in_batches_of_bounded_size():
+    """245,000 pairs and as many as 400,000 n-grams to be looked up: before, batches of all of them."""
+    sets = 700
+    sig = np.sort(mix(np.arange(sets, dtype=U64)))
+    g = np.sort(mix(np.arange(20, dtype=U64)) & jaccard.LOW)
+    blobs = [pack(*jaccard._split(np.tile(g, sets)), np.full(sets, 20, np.uint8), np.packbits(np.ones(20 * sets, bool)), sig, np.full(sets, 20, np.int32))]
+    out = list(jaccard._overlaps(8, 0.5, 0)((pa.scalar(0),), iter(blobs_of(blobs))))
+    assert max(x.num_rows for x in out) <= 200_000
+    rows = pa.Table.from_batches(out)
+    name = sig.view(np.int64)
+    assert sorted(zip(rows["a"].to_pylist(), rows["b"].to_pylist())) == sorted((int(name[i]), int(name[j])) for i, j in combinations(range(sets), 2))
+    assert set(rows["n"].to_pylist()) == {20}
+
+    g = np.sort(mix(np.arange(400_000, dtype=U64)) & jaccard.LOW & ~U64(31 << 32))  # all of them in one part; hot ones, so all are looked up
+    blobs = [pack(*jaccard._split(g), np.full(1, len(g), np.uint32), np.packbits(np.zeros(len(g), bool)), sig[:1], np.full(1, len(g), np.int32))]
+    out = list(jaccard._overlaps(8, 0.5, 5)((pa.scalar(8),), iter(blobs_of(blobs))))
+    assert max(x.num_rows for x in out) <= 200_000 and sum(x.num_rows for x in out) == len(g)
+
+
+def test_groups_go_to_python_in_small_batches(spark, monkeypatch):
+    """A group of 40 MB came as one batch; both steps with Python run with small ones, and the session's setting is as before after them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes for b in batches]})
+
+    blobs = spark.range(40).select(F.lit(1).alias("key"), F.expr("CAST(repeat(chr(65 + id), 1000000) AS BINARY) AS blob"))
+    with small_batches(spark):
+        seen = [r["bytes"] for r in blobs.groupBy("key").applyInArrow(sizes, "bytes long").collect()]
+    assert sum(seen) >= 40_000_000 and max(seen) < 10_000_000
+
+    held = []
+    monkeypatch.setattr(jaccard, "stored", lambda df, *how: held.append(spark.conf.get(name, None)) or stored(df, *how))
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c d")], "doc_id long, text string")
+    for before in (None, "123456789"):
+        if before:
+            spark.conf.set(name, before)
+        assert found(docs, 1, 0.5) == {(1, 2, 3, 0.75)} and spark.conf.get(name, None) == before
+    spark.conf.unset(name)
+    assert held == [str(8 << 20)] * 4
+
+
+def test_a_stored_file_has_a_bounded_number_of_rows(spark):
+    df = stored(spark.range(25_000).coalesce(1), "many", 10_000)
+    assert df.count() == 25_000 and sorted(pq.ParquetFile(f.removeprefix("file://")).metadata.num_rows for f in df.inputFiles()) == [5_000, 10_000, 10_000]
+
+
 def test_sums_of_pairs_in_one_word_or_two():
     for most in (50, 1 << 40, 1 << 62):
         pair, count = np.array([7, 3, 7, most - 1, 3]), np.array([1, 2, 3, 4, 70_000], np.uint32)
