@@ -19,6 +19,10 @@ the segment of its n-grams that falls there; overlaps are counted inside each fr
 5. The partial overlaps are summed per pair, what was looked up is added where it can decide, and the sum is compared with
    the threshold.
 
+Near copies are as many pairs as the square of their number, so their pairs are not sent where only classes are asked for: an n-gram meets
+in the fragment that the most frequent label of its entities names (a hash of an entity's least n-gram, which near copies share), there a pair's
+overlap is counted whole, and where it decides, only numbers of links and a spanning forest go on.
+
 N-grams of more than HOT documents (a sample of documents names them; it steers only the way they take, never the result)
 do not go to the fragment of their hash, which they alone could overfill: they count as of the highest frequency, their
 postings are spread by entity, and only those inside a prefix meet.
@@ -64,6 +68,10 @@ KEYS = 4096  #: groups that a batch sends to at most; more fragments are parted
 REGROUP_BYTES = 64 << 20
 HOT = 4_000_000  #: documents of an n-gram from which its postings are spread by entity
 HOT_SAMPLE = 50_000  #: documents that are looked at to find such n-grams
+SPREAD = 16_384  #: entities of an n-gram for which near copies are counted in one fragment; twice as many in two, and so on
+ROWS_OF_GRID = 128  #: entities of a block of a group of near copies, and cells of what it is multiplied with
+CELLS_OF_GRID = 1 << 22
+SIGNED = U64((1 << 48) - 1)
 LOW = U64((1 << 40) - 1)
 BLOBS = pa.schema([("key", pa.int32()), ("blob", pa.binary())])
 
@@ -123,13 +131,18 @@ def gram_sets(words: Words, n: int, bits: int = 64) -> tuple[np.ndarray, np.ndar
     return _distinct(np.concatenate(rows), np.concatenate(grams) >> U64(64 - bits), bits, len(words.count))
 
 
+def _labelled(sig: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Signatures whose upper 16 bits are a label: a hash of the set's least n-gram, which near copies mostly share."""
+    return mix(least, 8) & ~SIGNED | sig & SIGNED
+
+
 def _entities(batch: pa.RecordBatch, n: int, bits: int):
     """Of each range of rows: row and n-gram of its sets; row, first index, size and signature of each set."""
     for i, j, off, data in pieces(batch.column("text"), lower=True):
         row, g = gram_sets(Words(off, data, 0, j - i, ALNUM), n, bits)
         at = np.flatnonzero(_new(row))
         size = np.diff(np.append(at, len(row)))
-        sig = mix(np.add.reduceat(mix(g, 5), at) + size.astype(U64), 6) if len(at) else np.zeros(0, U64)
+        sig = _labelled(mix(np.add.reduceat(mix(g, 5), at) + size.astype(U64), 6), np.minimum.reduceat(mix(g, 7), at)) if len(at) else np.zeros(0, U64)
         yield i, j, g, i + row[at], at, size, sig
 
 
@@ -249,6 +262,24 @@ def _of_part(blob: list[np.ndarray], k: int, high: bool) -> tuple[np.ndarray, np
     return _joined(blob[0][at], blob[1][at]), at, np.searchsorted(np.cumsum(blob[2], dtype=np.int64), at, side="right")
 
 
+def _meeting(g: np.ndarray, name: np.ndarray, df: np.ndarray, f: int, fragments: int) -> np.ndarray:
+    """The fragment in which each n-gram's entities meet; g is in order, with its entities in theirs.
+
+    It is that of their most frequent label (of equals the least), so that what near copies share is counted in one place. N-grams of many entities
+    that have no label in common stay where they are: they would bring all of a frequent passage to one fragment.
+    """
+    at = np.flatnonzero(_new(g, name >> U64(48)))
+    first = _new(g[at])
+    group = np.cumsum(first) - 1
+    run = np.diff(np.append(at, len(g)))
+    best = np.lexsort((-run, group))[np.flatnonzero(first)]
+    n, many = run[best], df[at[best]]
+    pieces = 1 << np.ceil(np.log2(np.maximum(many / SPREAD, 1))).astype(np.int64)
+    label = mix(name[at[best]] >> U64(48), 9) + (g[at[best]] & (pieces - 1).astype(U64))
+    to = np.where((many <= 255) | (4 * n >= many), (label & U64(fragments - 1)).astype(np.int64), f)
+    return to.astype(np.min_scalar_type(fragments - 1))[group].repeat(run)
+
+
 def _repeated(fragments: int):
     """n-grams of more than one entity go to their entity; so does what identifies it."""
     homes = fragments * HOMES
@@ -272,7 +303,9 @@ def _repeated(fragments: int):
             df = np.diff(np.append(at, len(g)))
             df = np.repeat(df, df) if f < fragments else np.full(len(g), 255)
             more = df > 1
-            found.append((g[more].astype(U64), names[index[more].astype(np.int64)], np.minimum(df[more], 255).astype(np.uint8)))
+            g, name = g[more].astype(U64), names[index[more].astype(np.int64)]
+            to = _meeting(g, name, df[more], f, fragments) if f < fragments else np.zeros(len(g), np.uint8)
+            found.append((g, name, np.minimum(df[more], 255).astype(np.uint8), to))
             held += len(found[-1][0])
             if held > POSTINGS_HELD:
                 yield sent(f, found, own)
@@ -281,7 +314,7 @@ def _repeated(fragments: int):
             yield sent(f, found, own)
 
     def sent(f: int, found, own) -> pa.RecordBatch:
-        g, name, df = (np.concatenate(x) for x in zip(*found))
+        g, name, df, to = (np.concatenate(x) for x in zip(*found))
         none, keys, blobs = np.zeros(0, np.int64), [], []
         posted, named = dict(by_group(_home(name, homes))), dict(by_group(_home(own[0], homes)))
         for b in sorted(posted.keys() | named.keys()):
@@ -289,7 +322,7 @@ def _repeated(fragments: int):
             at = at[np.argsort(name[at], kind="stable")]
             there, many = _runs(name[at])
             keys.append(b)
-            blobs.append(pack(np.array([f], np.int32), *_split(g[at]), many, there, df[at], *(x[mine] for x in own)))
+            blobs.append(pack(np.array([f], np.int32), *_split(g[at]), many, there, df[at], *(x[mine] for x in own), to[at]))
         return pa.RecordBatch.from_pydict({"key": keys, "blob": blobs}, BLOBS)
 
     return run
@@ -303,35 +336,45 @@ def _survivors(fragments: int, threshold: float):
     """Entities that can have a partner send their segments out, with the places inside their prefix marked."""
 
     def run(key, part):
-        g, sig, df, own = [], [], [], []
+        g, sig, df, own, met, twice = [], [], [], [], [], []
         for blob in part.column("blob"):
-            f, low, high, many, there, freq, *mine = unpack(blob.as_buffer())
+            f, *rest = unpack(blob.as_buffer())
+            if len(rest) == 1:
+                twice.append((f, *rest))
+                continue
+            low, high, many, there, freq, *mine, to = rest
             g.append(_joined(low, high) | U64(int(f[0])) << U64(40))
             sig.append(np.repeat(there, many))
             df.append(freq)
             own.append(mine)
+            met.append(to)
+        if not own:
+            return pa.table({"key": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         name, size = (np.concatenate(x) for x in zip(*own))
         names, at = np.unique(name, return_index=True)
-        size = size[at].astype(np.int64)
-        g, sig, df = np.concatenate(g), np.concatenate(sig), np.concatenate(df)
+        size, copies = size[at].astype(np.int64), np.ones(len(names), np.int32)
+        for copied, n in twice:
+            copies[np.searchsorted(names, copied)] = n
+        g, sig, df, met = np.concatenate(g), np.concatenate(sig), np.concatenate(df), np.concatenate(met)
         who = np.searchsorted(names, sig)
-        room = np.bincount(who, minlength=len(names)) - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+        total = np.bincount(who, minlength=len(names))
+        room = total - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
         live = room[who] > 0
-        g, who, df = g[live], who[live], df[live]
+        g, who, df, met = g[live], who[live], df[live], met[live]
         order = np.lexsort((g, df, who))
-        g, who = g[order], who[order]
+        g, who, met = g[order], who[order], met[order]
         at = np.flatnonzero(_new(who))
         place = np.arange(len(who)) - np.repeat(at, np.diff(np.append(at, len(who))))
         inside = (place < room[who]).astype(np.uint8)
-        to = (g >> U64(40)).astype(np.int64)
-        hot = to == fragments  # inside the prefix to a group of the n-gram, else to one of the entity
+        to = met.astype(np.int64)
+        hot = g >> U64(40) == fragments  # inside the prefix to a group of the n-gram, else to one of the entity
         number = (g & LOW).astype(np.int64)
         to = np.where(hot, np.where(inside > 0, 2 * fragments + number, fragments + (names[who] & U64(fragments - 1)).astype(np.int64)), to)
         keys, blobs = [], []
         for f, at in by_group(to):
             there, many = _runs(who[at])
             keys.append(f)
-            blobs.append(pack(*_split(g[at]), many, np.packbits(inside[at]), names[there], size[there].astype(np.int32)))
+            blobs.append(pack(*_split(g[at]), many, np.packbits(inside[at]), names[there], *(x[there].astype(np.int32) for x in (size, total, copies))))
         return pa.table({"key": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
@@ -419,7 +462,7 @@ def _overlaps(fragments: int, threshold: float, hot: int):
     def run(key, batches):
         f = key[0].as_py()
         blobs = [unpack(blob.as_buffer()) for batch in batches for blob in batch.column("blob")]
-        name, size = (np.concatenate(x) for x in zip(*(blob[4:] for blob in blobs)))
+        name, size = (np.concatenate(x) for x in zip(*(blob[4:6] for blob in blobs)))
         names, at = np.unique(name, return_index=True)
         size, n = size[at].astype(np.int64), len(names)
         del name, at
@@ -478,8 +521,199 @@ def _overlaps(fragments: int, threshold: float, hot: int):
     return run
 
 
-def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int, keys: int = KEYS) -> tuple[DataFrame, DataFrame]:
-    """Distinct (doc_id, sig); (a, b, overlap, jaccard) of signatures of different sets that reach the threshold."""
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of so many each, one range after the other."""
+    return np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def _whole(who: np.ndarray, start: np.ndarray, many: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each pair (lower, higher) of the members of groups once, and in how many groups they meet; who: of the n entities, those of each group in order.
+
+    Entities are taken together by the largest group that each is in; of those that share most groups, as near copies do, a block is a product of incidence matrices.
+    """
+    group = np.repeat(np.arange(len(start), dtype=np.int32), many)
+    stop = np.repeat(start + many, many)
+    own = np.argsort(who, kind="stable")
+    count = np.bincount(who, minlength=n)
+    first = np.cumsum(count) - count
+    cost = np.bincount(who, stop - np.arange(len(who)) - 1, n).astype(np.int64)
+    there = np.flatnonzero(count)
+    if not len(there):
+        return
+    leader = np.maximum.reduceat(many[group[own]] << 32 | group[own], first[there])
+    order = np.argsort(leader, kind="stable")
+    there, leader = there[order], leader[order]
+    cost, last = np.cumsum(cost[there]), np.searchsorted(leader, leader, side="right")
+
+    def postings(rows: np.ndarray) -> np.ndarray:
+        return own[_ranges(first[rows], count[rows])]
+
+    def product(rows: np.ndarray, worth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+        groups = np.unique(group[postings(rows)])
+        seen, at = np.zeros(n, bool), np.cumsum(many[groups])
+        cuts = [0, *np.searchsorted(at, np.arange(CELLS_OF_GRID, at[-1], CELLS_OF_GRID)).tolist(), len(groups)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            seen[who[_ranges(start[groups[lo:hi]], many[groups[lo:hi]])]] = True
+        members = np.flatnonzero(seen)
+        if len(rows) * len(members) * len(groups) > 150 * worth:  # a cell of a product costs so much less than a pair that is counted by itself
+            return None
+        seat = np.zeros(n, np.int32)
+        seat[members] = np.arange(len(members))
+        out, width = np.zeros((len(rows), len(members)), np.float32), max(1, CELLS_OF_GRID // len(members))
+        for lo in range(0, len(groups), width):
+            g = groups[lo : lo + width]
+            grid = np.zeros((len(members), len(g)), np.float32)
+            grid[seat[who[_ranges(start[g], many[g])]], np.repeat(np.arange(len(g)), many[g])] = 1
+            out += grid[seat[rows]] @ grid.T
+        out[members[None] <= rows[:, None]] = 0
+        i, j = np.nonzero(out)
+        return iter([(rows[i], members[j], out[i, j].astype(np.int64))])
+
+    def alone(a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out, at = np.zeros(n, np.int64), postings(np.array([a]))
+        upto = np.cumsum(stop[at] - at - 1)
+        cuts = [0, *np.searchsorted(upto, np.arange(CELLS_OF_GRID, upto[-1], CELLS_OF_GRID)).tolist(), len(at)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            out += np.bincount(who[_ranges(at[lo:hi] + 1, (stop[at] - at - 1)[lo:hi])], minlength=n)
+        b = np.flatnonzero(out)
+        return np.full(len(b), a), b, out[b]
+
+    lo = 0
+    while lo < len(there):
+        before = int(cost[lo - 1]) if lo else 0
+        hi = min(lo + ROWS_OF_GRID, int(last[lo]))
+        worth = int(cost[hi - 1]) - before
+        if worth > 4 * PAIRS_AT_ONCE:
+            yield from product(there[lo:hi], worth) or map(alone, there[lo:hi].tolist())
+        else:
+            hi = max(lo + 1, int(np.searchsorted(cost, before + PAIRS_AT_ONCE, side="right")))
+            rows = there[lo:hi]
+            at = postings(rows)
+            more = stop[at] - at - 1
+            pair, times = np.unique(np.repeat(np.repeat(np.arange(len(rows)), count[rows]), more) * n + who[_ranges(at + 1, more)], return_counts=True)
+            yield rows[pair // n], pair % n, times
+        lo = hi
+
+
+def _hooked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Joins the groups of root, changed in place, by pairs; arrays of two rows with pairs that join the same ones: less than there are entities, over all calls."""
+    out = []
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return out
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        high = np.maximum(x, y)
+        np.minimum.at(root, high, np.minimum(x, y))
+        high = np.unique(high)
+        out.append(np.stack([root[high], high]))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+LINKS, EDGE = -1, -2  #: in place of an overlap: how many documents an entity is linked with by decided pairs, and a pair that joins two groups of them
+
+
+def _decided(fragments: int, threshold: float, hot: int):
+    """What _overlaps gives, but of each pair the whole of what it shares in this fragment, and that just where it is neither enough to be similar nor, with all that
+    is counted elsewhere, too little. Similar pairs end here as numbers of links and as pairs that join groups: they are as many as the square of a group of near copies.
+
+    For thresholds over 1/3: what two sets share reaches the threshold at most once then, so what other fragments have of a decided pair is not enough for another.
+    """
+    partial = _overlaps(fragments, threshold, hot)
+
+    def run(key, batches):
+        f, batches = key[0].as_py(), list(batches)
+        blobs = [unpack(blob.as_buffer()) for batch in batches for blob in batch.column("blob")]
+        name, *rest = (np.concatenate(x) for x in zip(*(blob[4:] for blob in blobs)))
+        names, at = np.unique(name, return_index=True)
+        size, total, copies = (x[at].astype(np.int64) for x in rest)
+        n, bits = len(names), max(len(names) - 1, 1).bit_length()
+        if f >= fragments or bits > 23:
+            yield from partial(key, iter(batches))
+            return
+        posted, at = np.empty(sum(len(blob[0]) for blob in blobs), U64), 0  # n-gram, entity and mark in one word, which is sorted in place
+        for low, high, many, mark, there, *_ in blobs:
+            own = posted[at : at + len(low)]
+            own[:] = np.repeat(np.searchsorted(names, there).astype(U64), many)
+            own <<= U64(1)
+            own |= np.unpackbits(mark, count=len(low))
+            own |= _joined(low, high) << U64(bits + 1)
+            at += len(low)
+        del blobs, batches, name, rest
+        posted.sort()
+        mark, who = (posted & U64(1)).astype(bool), (posted >> U64(1) & U64((1 << bits) - 1)).astype(np.int32)
+        posted >>= U64(bits + 1)
+        start = np.flatnonzero(_new(posted))
+        del posted
+        many = np.diff(np.append(start, len(who)))
+        marked = np.add.reduceat(mark, start, dtype=np.int64)
+        same = (names >> U64(48)).astype(np.uint16)[who]  # names are in order of their labels
+        fresh = _new(same)
+        fresh[start] = True
+        at = np.flatnonzero(fresh)
+        alike = np.maximum.reduceat(np.diff(np.append(at, len(who))), np.searchsorted(at, start))
+        del same, fresh, at
+        full = (marked > 0) & ((many <= RARE) | (4 * marked >= many)) | (4 * alike >= many)
+        late = ~full & (many > 1)
+        number = (hot + np.cumsum(late) - 1) * fragments + f
+        place = np.flatnonzero(np.repeat(late, many))
+        left = total - np.bincount(who, minlength=n) + np.bincount(who[place], minlength=n)  # what is not in the counts of this fragment
+
+        def sent(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | int, gram: np.ndarray | int) -> Iterator[pa.RecordBatch]:
+            wide = lambda x, rows: np.broadcast_to(np.asarray(x, np.int64), len(a))[rows].copy()
+            for lo in range(0, len(a), ROWS_AT_ONCE):
+                x = slice(lo, lo + ROWS_AT_ONCE)
+                other = (0, 0) if b is None else (names.view(np.int64)[b[x]], size[b[x]])
+                rows = [names.view(np.int64)[a[x]], *(np.broadcast_to(np.asarray(o, np.int64), len(a[x])).copy() for o in other), wide(n, x), wide(gram, x)]
+                rows.insert(2, size[a[x]])
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["a", "b", "size_a", "size_b", "n", "gram"])
+
+        yield from sent(who[place], None, 0, np.repeat(number[late], many[late]) * 2 + mark[place])
+        use = np.repeat(full & (many > 1), many) | mark & np.repeat(~full & (marked > 1), many)
+        group = np.repeat(np.arange(len(start), dtype=np.int32), many)[use]
+        who = who[use]
+        del mark, place, use
+        start = np.flatnonzero(_new(group))
+        many = np.diff(np.append(start, len(group)))
+        del group
+        root, linked, joined = np.arange(n), np.zeros(n), [np.zeros((2, 0), np.int64)]
+        for a, b, both in _whole(who, start, many, n):
+            near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+            a, b, both = a[near], b[near], both[near]
+            sizes = size[a] + size[b]
+            similar = both / (sizes - both) >= threshold
+            x, y = a[similar], b[similar]
+            linked += np.bincount(x, copies[y], n) + np.bincount(y, copies[x], n)
+            joined += _hooked(root, x, y)
+            most = both + np.minimum(left[a], left[b])
+            still = ~similar & (most / (sizes - most) >= threshold)
+            yield from sent(a[still], b[still], both[still], 0)
+        some = np.flatnonzero(linked)
+        yield from sent(some, None, LINKS, linked[some].astype(np.int64))
+        yield from sent(*np.concatenate(joined, axis=1), EDGE, 0)
+
+    return run
+
+
+def _copied(homes: int):
+    """How many documents have a set goes to its entity's group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, n = batch.column("sig").to_numpy().view(U64), batch.column("copies").to_numpy().astype(np.int32)
+            own = list(by_group(_home(sig, homes)))
+            yield pa.RecordBatch.from_pydict({"key": [k for k, _ in own], "blob": [pack(sig[at], n[at]) for _, at in own]}, BLOBS)
+
+    return run
+
+
+def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int, keys: int = KEYS, decide: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Distinct (doc_id, sig); (a, b, overlap, jaccard) of signatures of different sets that reach the threshold.
+
+    decide: without those that a fragment decides, for which there are (sig, linked), documents that they link it with, in parts, and pairs (a, b) that join the same groups.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
     fragments = power_of_two(max(8, (total["bytes"] or 0) / 6 / POSTINGS_A_FRAGMENT))
@@ -493,10 +727,15 @@ def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int, keys: int
     if width > 1:
         parts = parts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_refined), blobs)
     parts = parts.groupBy("key").applyInArrow(tidy_groups(_repeated(fragments)), blobs)
+    step = _overlaps
+    if decide and 3 * threshold > 1:
+        step, homes = _decided, fragments * HOMES
+        copied = signed.where("sig IS NOT NULL").groupBy("sig").agg(F.count("*").alias("copies")).where("copies > 1")
+        parts = parts.unionByName(copied.mapInArrow(tidy(_copied(homes)), blobs))
     parts = parts.groupBy("key").applyInArrow(tidy_group(_survivors(fragments, threshold)), blobs)
     counted = "a long, b long, size_a long, size_b long, n long, gram long"
     with small_batches(docs.sparkSession):
-        counted = stored(parts.groupBy("key").applyInArrow(tidy_groups(_overlaps(fragments, threshold, len(frequent))), counted), "overlaps", ROWS_A_FILE)
+        counted = stored(parts.groupBy("key").applyInArrow(tidy_groups(step(fragments, threshold, len(frequent))), counted), "overlaps", ROWS_A_FILE)
     pairs = counted.where("n > 0").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("overlap"))
     late = counted.where("n = 0").select(F.col("a").alias("id"), F.col("size_a").alias("size"), "gram")
     short = (late.agg(F.max("gram")).first()[0] or 0) < 2**31
@@ -518,12 +757,13 @@ def _similar_sets(docs: DataFrame, n: int, threshold: float, hot: int, keys: int
     marked = lambda side: F.transform(F.filter(f"grams_{side}", lambda x: x % 2 == 1), lambda x: F.shiftright(x, 1))
     more = F.size(F.array_intersect(grams("a"), grams("b"))) - F.size(F.array_intersect(marked("a"), marked("b")))
     both = pairs.where("most = 0").unionByName(open_.withColumn("overlap", F.col("overlap") + more).select(*pairs.columns))
-    return signed, both.select("a", "b", "overlap", jaccard(F.col("overlap")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    both = both.select("a", "b", "overlap", jaccard(F.col("overlap")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return signed, both, counted.where(F.col("n") == LINKS).select(F.col("a").alias("sig"), F.col("gram").alias("linked")), counted.where(F.col("n") == EDGE).select("a", "b")
 
 
 def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, hot: int = HOT, keys: int = KEYS) -> DataFrame:
     """(doc_a, doc_b, overlap, jaccard), doc_a < doc_b: pairs of different sets, each by the lowest id that has it."""
-    signed, pairs = _similar_sets(docs, n, threshold, hot, keys)
+    signed, pairs, *_ = _similar_sets(docs, n, threshold, hot, keys)
     lowest = signed.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc"))
     for side in "ab":
         pairs = pairs.join(lowest.select(F.col("sig").alias(side), F.col("doc").alias(f"doc_{side}")), side)
@@ -532,14 +772,15 @@ def similar_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD,
 
 def classes(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(doc_id, class_id, links) of each document: the lowest id of its connected group, and how many others it is linked with."""
-    signed, pairs = _similar_sets(docs, n, threshold, hot)
+    signed, pairs, links, joined = _similar_sets(docs, n, threshold, hot, decide=True)
     pairs = checkpointed(pairs.select("a", "b"))
     sets = signed.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("copies"))
-    roots = components(pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))).withColumnRenamed("doc_id", "sig")
+    roots = components(pairs.unionByName(joined).toDF("doc_a", "doc_b")).withColumnRenamed("doc_id", "sig")
     roots = roots.unionByName(roots.select(F.col("root").alias("sig"), "root").distinct())
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copied = sets.where("copies > 1").select(F.col("sig").alias("b"), "copies")
-    linked = both.join(copied, "b", "left").groupBy(F.col("a").alias("sig")).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("linked"))
+    linked = both.join(copied, "b", "left").select(F.col("a").alias("sig"), F.coalesce("copies", F.lit(1)).cast("long").alias("linked"))
+    linked = linked.unionByName(links).groupBy("sig").agg(F.sum("linked").alias("linked"))
     known = sets.join(roots, "sig", "left").join(linked, "sig", "left").where("root IS NOT NULL OR copies > 1")
     lowest = known.where("root IS NOT NULL").groupBy("root").agg(F.min("lowest").alias("first"))
     known = known.join(lowest, "root", "left").select("sig", F.coalesce("first", "lowest").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"))

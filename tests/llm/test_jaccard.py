@@ -269,3 +269,72 @@ def test_one_document_of_each_group_stays(messy):
 def test_empty_table(empty):
     assert jaccard.similar_pairs(empty).count() == 0 and jaccard.classes(empty).count() == 0
     assert jaccard.without_copies(empty).count() == 0
+
+
+def near_copies(groups, many, words=60, seed=5):
+    """Texts of which those of a group differ in a few words; some are copies."""
+    rng, rows = np.random.default_rng(seed), []
+    for k in range(groups):
+        base = [f"g{k}w{j}" for j in range(words)]
+        for i in range(many):
+            own = list(base)
+            for j in rng.integers(0, words, rng.integers(0, 5)):
+                own[j] = f"e{rng.integers(0, 10**6)}"
+            rows.append((k * 10_000 + i, " ".join(own)))
+    return rows
+
+
+def test_near_copies_are_decided_where_they_meet(spark, monkeypatch):
+    """Of 80 near copies each pair was sent from every fragment that they share: 15,000 rows for 8 fragments, and more with each further one."""
+    rows = near_copies(2, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sent = []
+    keep = lambda out, name: (sent.append(out.where("n > 0").count()) if name == "overlaps" else None, out)[1]
+    monkeypatch.setattr(jaccard, "stored", lambda df, name, *how: keep(stored(df, name, *how), name))
+    assert found_classes(df, 5, 0.5) == brute_classes(rows, 5, 0.5)
+    assert sent[0] < 300
+    monkeypatch.setattr(jaccard, "POSTINGS_A_FRAGMENT", 50)
+    assert found_classes(df, 5, 0.5) == brute_classes(rows, 5, 0.5)
+    assert sent[1] < 300
+    monkeypatch.setattr(jaccard, "SPREAD", 8)  # n-grams of a group are counted in many fragments
+    assert found_classes(df, 5, 0.5) == brute_classes(rows, 5, 0.5)
+    assert found_classes(df, 5, 0.5, hot=40) == brute_classes(rows, 5, 0.5)
+    assert found(df, 5, 0.5) == brute(rows, 5, 0.5)
+
+
+def test_pairs_are_counted_whole(monkeypatch):
+    rng = np.random.default_rng(0)
+    for n, many, low, high, at_once, cells in [(50, 200, 2, 20, 300_000, 1 << 22), (300, 200, 150, 290, 20, 1 << 22), (300, 200, 150, 290, 20, 1000), (400, 300, 2, 300, 50, 1 << 22)]:
+        monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", at_once)
+        monkeypatch.setattr(jaccard, "CELLS_OF_GRID", cells)
+        groups = [np.sort(rng.choice(n, rng.integers(low, high), replace=False)) for _ in range(many)]
+        size = np.array([len(g) for g in groups])
+        grid = np.zeros((n, many), np.int64)
+        grid[np.concatenate(groups), np.repeat(np.arange(many), size)] = 1
+        got = np.zeros((n, n), np.int64)
+        for a, b, times in jaccard._whole(np.concatenate(groups).astype(np.int32), np.cumsum(size) - size, size, n):
+            assert not got[a, b].any() and (a < b).all()
+            got[a, b] = times
+        assert np.array_equal(got, np.triu(grid @ grid.T, 1))
+
+
+def test_pairs_that_join_groups():
+    rng = np.random.default_rng(1)
+    root, links, pairs = np.arange(300), [], rng.integers(0, 300, (2, 260))
+    for part in np.array_split(pairs, 9, axis=1):
+        links += jaccard._hooked(root, *part)
+    links = np.concatenate(links, axis=1)
+    own, few = groups(pairs.T.tolist()), groups(links.T.tolist())
+    assert all(own[x] == root[x] == few.get(x, x) for x in own) and links.shape[1] == len(own) - len(set(own.values()))
+
+
+def test_awkward_texts_with_decided_pairs(spark):
+    """Frequent n-grams outside prefixes, sizes far apart, copies and near copies."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = near_copies(3, 25, 30, 2) + [(100_000 + i, passage + " " + " ".join(f"x{i}y{j}" for j in range(5 + i % 70))) for i in range(90)]
+    rows += [(200_000 + i, " ".join(rng.choice([f"v{j}" for j in range(12)], rng.integers(1, 40)))) for i in range(120)]
+    rows += [(300_000 + i, t) for i, (_, t) in enumerate(rows[::7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for n, threshold in ((5, 0.5), (1, 0.5), (2, 0.4), (2, 0.9)):
+        assert found_classes(df, n, threshold) == brute_classes(rows, n, threshold)
