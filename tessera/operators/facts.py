@@ -241,20 +241,29 @@ def asked_domain(text: Column) -> Column:
     return out
 
 
+CRITERIA_AT_ONCE = 20_000
+
+
 def combined_lookup(index: DataFrame, criteria: DataFrame, union: bool = False) -> DataFrame:
     """(query_id, chunk_id) of chunks that meet all criteria (query_id, key) of a query; criteria without any match are left out.
 
     union: one criterion is enough. A query has 63 criteria at most (checked by the sum of bits: more raise an overflow).
-    A criterion is a bit, so that hot keys are combined before the shuffle and the index is read once.
+    A criterion is a bit, so that hot keys are combined before the shuffle. Up to CRITERIA_AT_ONCE criteria are broadcast: the index is not moved to meet
+    them then, and one that comes in partitions by chunk_id (an alias or hash of it) is not moved at all.
     """
     distinct = criteria.distinct()
     numbered = distinct.groupBy("query_id").agg(F.sort_array(F.collect_list("key")).alias("keys")).select("query_id", F.posexplode("keys").alias("bit", "key"))
     numbered = numbered.withColumn("mask", F.when(F.col("bit") < 63, F.expr("shiftleft(1L, bit)")).otherwise(F.raise_error(F.lit("more than 63 criteria"))))
-    found = index.join(numbered, "key").groupBy("query_id", "chunk_id").agg(F.bit_or("mask").alias("met"))
+    rows = numbered.limit(CRITERIA_AT_ONCE + 1).collect()
+    few = len(rows) <= CRITERIA_AT_ONCE
+    small = F.broadcast if few else lambda df: df
+    if few:
+        numbered = index.sparkSession.createDataFrame(rows, numbered.schema)
+    found = index.join(small(numbered), "key").groupBy("query_id", "chunk_id").agg(F.bit_or("mask").alias("met"))
     if union:
         return found.select("query_id", "chunk_id")
     asked = found.groupBy("query_id").agg(F.bit_or("met").alias("asked"))
-    return found.join(asked, "query_id").where("met = asked").select("query_id", "chunk_id")
+    return found.join(small(asked), "query_id").where("met = asked").select("query_id", "chunk_id")
 
 
 def injected(hits: DataFrame, found: DataFrame, score: float = 0.8) -> DataFrame:
