@@ -16,6 +16,16 @@ def exchanges(df, what=""):
     return [x for x in plan.splitlines() if "Exchange hashpartitioning(" + what in x]
 
 
+def test_tables_by_key_have_parts_of_bounded_size(spark, monkeypatch):
+    """Orders were in as many parts as there are cores, of whatever size, and lines met them in the session's number of parts."""
+    monkeypatch.setattr(tables, "PART_BYTES", 4_000)
+    (lines, orders), parts = tables.read_keyed(spark, SF, {"lineitem": "l_orderkey", "orders": "o_orderkey"})
+    assert parts > 30 and lines.rdd.getNumPartitions() == orders.rdd.getNumPartitions() == parts
+    edges = tablesql.entity_edges(spark, SF)
+    assert all(f", {parts})" in x for x in exchanges(edges))
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, graph.entity_edges(lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr("l_partkey AS entity", "l_orderkey AS chunk_id", "o_custkey AS doc_id")).collect()))
+
+
 def test_look_ups_move_orders_once(spark, monkeypatch):
     """Keys were moved to criteria, pairs of query and order to their group, and these to the queries: 12 of them, so 12 groups of any size."""
     found = tablesql.entity_lookup_combined(spark, SF)
