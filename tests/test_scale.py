@@ -33,3 +33,10 @@ def test_look_ups_move_orders_once(spark, monkeypatch):
     whole = sorted(map(tuple, found.collect()))
     monkeypatch.setattr(facts, "CRITERIA_AT_ONCE", 3)
     assert sorted(map(tuple, tablesql.entity_lookup_combined(spark, SF).collect())) == whole and whole
+
+
+def test_keys_of_an_order_stay_with_it(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PART_BYTES", 4_000)
+    own = tablesql.order_facts(spark, SF)
+    index = facts.entity_index(own)
+    assert own.rdd.getNumPartitions() >= 9 and len(exchanges(index)) == 1 and "o_orderkey" in exchanges(index)[0]
