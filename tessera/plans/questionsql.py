@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import questions as Q
-from .tables import read
+from .tables import read_texts
 from .texts import q, query
 
 TEMPLATES = (
@@ -33,7 +33,7 @@ ASKED = f"(SELECT c_custkey AS query_id, replace(CASE c_custkey % {len(TEMPLATES
 def asked(spark, sf_dir):
     k = F.col("c_custkey")
     kind = F.element_at(F.array(*map(F.lit, TEMPLATES)), (k % len(TEMPLATES) + 1).cast("int"))
-    return read(spark, sf_dir, "customer").select(k.alias("query_id"), F.replace(kind, F.lit("#"), k.cast("string")).alias("text"))
+    return read_texts(spark, sf_dir, "customer").select(k.alias("query_id"), F.replace(kind, F.lit("#"), k.cast("string")).alias("text"))
 
 
 def _m(p: str) -> str:
@@ -70,7 +70,7 @@ _PARTS = f"""CASE WHEN {_m(Q.BOTH_SOURCES)} THEN [{_g(Q.BOTH_SOURCES, 1)} || '
 
 @query("query_decomposition", f"SELECT query_id, CAST(unnest(range(0, len(p))) AS INTEGER) AS part, unnest(p) AS question FROM (SELECT query_id, {_PARTS} AS p FROM {ASKED})")
 def query_decomposition(spark, sf_dir):
-    return asked(spark, sf_dir).select("query_id", F.posexplode(Q.decomposed(F.col("text"))).alias("part", "question"))
+    return asked(spark, sf_dir).select("query_id", F.posexplode_outer(Q.decomposed(F.col("text"))).alias("part", "question"))  # never empty; without "outer" a filter on its size does all of it twice
 
 
 _ITEMS = f"list_filter(list_transform(string_split_regex({_g(Q.LISTED, 1)}, {q(Q.JOINT)}), lambda x: trim(x)), lambda x: x <> '')"

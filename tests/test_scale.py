@@ -40,3 +40,14 @@ def test_keys_of_an_order_stay_with_it(spark, monkeypatch):
     own = tablesql.order_facts(spark, SF)
     index = facts.entity_index(own)
     assert own.rdd.getNumPartitions() >= 9 and len(exchanges(index)) == 1 and "o_orderkey" in exchanges(index)[0]
+
+
+def test_questions_and_answers_are_spread_over_cores(spark):
+    """A table of one row group is one task otherwise."""
+    cores = spark.sparkContext.defaultParallelism
+    assert questionsql.asked(spark, SF).rdd.getNumPartitions() == cores
+
+
+def test_questions_are_decomposed_once(spark):
+    plan = questionsql.query_decomposition(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x.strip(" +-:").startswith("Filter") for x in plan.splitlines())
