@@ -145,7 +145,7 @@ _ANSWERS = f"(SELECT c_custkey AS query_id, 'plan ' || c_custkey AS question, CA
 def told(spark, sf_dir):
     k = F.col("c_custkey")
     answer = F.element_at(F.array(*map(F.lit, _TOLD)), (k % len(_TOLD) + 1).cast("int"))
-    return read(spark, sf_dir, "customer").select(k.alias("query_id"), F.concat(F.lit("plan "), k.cast("string")).alias("question"), answer.alias("answer"))
+    return read_texts(spark, sf_dir, "customer").select(k.alias("query_id"), F.concat(F.lit("plan "), k.cast("string")).alias("question"), answer.alias("answer"))
 
 
 _MARKS = " + ".join(f"CASE WHEN regexp_matches(answer, {q('(?i)' + p)}) THEN 1 ELSE 0 END" for p in answers.INSUFFICIENT)

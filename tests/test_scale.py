@@ -45,7 +45,7 @@ def test_keys_of_an_order_stay_with_it(spark, monkeypatch):
 def test_questions_and_answers_are_spread_over_cores(spark):
     """A table of one row group is one task otherwise."""
     cores = spark.sparkContext.defaultParallelism
-    assert questionsql.asked(spark, SF).rdd.getNumPartitions() == cores
+    assert questionsql.asked(spark, SF).rdd.getNumPartitions() == moresql.told(spark, SF).rdd.getNumPartitions() == cores
 
 
 def test_questions_are_decomposed_once(spark):
