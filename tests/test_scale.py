@@ -1,5 +1,7 @@
 """What a task holds and how work is spread: nothing of it may grow with the table."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -51,3 +53,42 @@ def test_questions_and_answers_are_spread_over_cores(spark):
 def test_questions_are_decomposed_once(spark):
     plan = questionsql.query_decomposition(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x.strip(" +-:").startswith("Filter") for x in plan.splitlines())
+
+
+def peak(run) -> int:
+    tracemalloc.start()
+    run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def texts_of(rows, words):
+    rng = np.random.default_rng(4)
+    return [" ".join(f"w{x}" for x in rng.integers(0, 300, words)) + "." for _ in range(rows)]
+
+
+def test_keyword_search_holds_a_part_of_a_batch():
+    """3,000 texts with all of 300 words that each of 60 queries asks for: 54 million pairs at once before, over 1 GB."""
+    texts, terms, queries = texts_of(3000, 300), [f"w{i}" for i in range(300)], 60
+    batch = pa.RecordBatch.from_pydict({"id": list(range(3000)), "text": texts})
+    lists = list(search._counted(pa.int64(), Held(frozenset(terms)), False)(iter([batch])))
+    index = pa.Table.from_batches(lists).combine_chunks().to_batches()[0]
+    many = np.full(300, queries)
+    held = Held((list(range(queries)), terms, np.ones(300), np.cumsum(many) - many, many, np.tile(np.arange(queries), 300), 300.0))
+    out = []
+    most = peak(lambda: out.extend(search._ranked(held, 5, [pa.int64(), pa.int64()])(iter([index]))))
+    assert most < 200 << 20 and out[0].num_rows == 5 * queries
+    parts = pa.Table.from_batches(search._ranked(held, 5, [pa.int64(), pa.int64()])(iter([index.slice(i, 100) for i in range(0, 3000, 100)])))
+    assert sorted(out[0].to_pylist(), key=repr) == sorted(parts.to_pylist(), key=repr)
+
+
+def test_texts_of_a_batch_are_read_in_parts():
+    texts = texts_of(3000, 3000)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(3000)), "text": texts})
+    assert peak(lambda: [None for _ in search._counted(pa.int64(), Held(frozenset()), True)(iter([batch]))]) < 10 << 20  # the texts are 42 MB
