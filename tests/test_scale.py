@@ -92,3 +92,15 @@ def test_texts_of_a_batch_are_read_in_parts():
     texts = texts_of(3000, 3000)
     batch = pa.RecordBatch.from_pydict({"id": list(range(3000)), "text": texts})
     assert peak(lambda: [None for _ in search._counted(pa.int64(), Held(frozenset()), True)(iter([batch]))]) < 10 << 20  # the texts are 42 MB
+
+
+def test_chunks_and_compressed_texts_leave_in_parts(spark, monkeypatch):
+    """A batch's chunks came as one."""
+    text = ("word " * 30 + ". ") * 60
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).coalesce(1)
+    held = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a, **k: held.append(f) or self)
+    chunks.folded(docs, "fixed")
+    for f, extra in zip(held, ({}, {"query": ["word"] * 400})):
+        out = list(f(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": [text] * 400} | extra)])))
+        assert len(out) > 3 and max(b.nbytes for b in out) < 3 << 20 and len({x for b in out for x in b.column("doc_id").to_pylist()}) == 400
