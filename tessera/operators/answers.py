@@ -8,12 +8,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import STATUS_HEADINGS
 from ..functions.text import stripped
 from .chunks import _alike, _keys
+from .search import ranges
 
 #: each of these, however often, is one mark of an answer that lacks something
 INSUFFICIENT = (
@@ -261,13 +263,16 @@ def compress(query: str, text: str, ratio: float = 0.5) -> str:
 
 
 def compressed(rows: DataFrame, ratio: float = 0.5) -> DataFrame:
-    """Rows (query, text) with the text compressed; Arrow batches."""
+    """Rows (query, text) with the text compressed; a batch's texts are taken about a megabyte at a time."""
 
-    @F.pandas_udf("string")
-    def short(query: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else compress(q or "", t, ratio) for q, t in zip(query, text)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in ranges(batch.column("text")):
+                own = batch.slice(lo, hi - lo)
+                short = [None if t is None else compress(q or "", t, ratio) for q, t in zip(own.column("query").to_pylist(), own.column("text").to_pylist())]
+                yield own.set_column(own.schema.get_field_index("text"), "text", pa.array(short, pa.string()))
 
-    return rows.withColumn("text", short("query", "text"))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def mmr_order(scores: list[float], texts: list[str], k: int, balance: float = 0.7) -> list[int]:

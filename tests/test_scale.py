@@ -101,6 +101,7 @@ def test_chunks_and_compressed_texts_leave_in_parts(spark, monkeypatch):
     held = []
     monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a, **k: held.append(f) or self)
     chunks.folded(docs, "fixed")
+    answers.compressed(docs.withColumn("query", F.lit("word")))
     for f, extra in zip(held, ({}, {"query": ["word"] * 400})):
         out = list(f(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": [text] * 400} | extra)])))
         assert len(out) > 3 and max(b.nbytes for b in out) < 3 << 20 and len({x for b in out for x in b.column("doc_id").to_pylist()}) == 400
