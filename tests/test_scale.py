@@ -105,3 +105,9 @@ def test_chunks_and_compressed_texts_leave_in_parts(spark, monkeypatch):
     for f, extra in zip(held, ({}, {"query": ["word"] * 400})):
         out = list(f(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": [text] * 400} | extra)])))
         assert len(out) > 3 and max(b.nbytes for b in out) < 3 << 20 and len({x for b in out for x in b.column("doc_id").to_pylist()}) == 400
+
+
+def test_siblings_come_from_documents_with_seeds(spark):
+    """Chunks were made of all documents three times."""
+    plan = tablesql.sibling_expansion(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(sequence") == plan.count("LeftSemi") > 0
